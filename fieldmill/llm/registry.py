@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from fieldmill.llm import bpe, exact_dedup, packing, simhash, substring_dedup, token_output, topk
+from fieldmill.llm import bpe, exact_dedup, html_text, packing, pii, quality, simhash, substring_dedup, token_output, topk
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
+    "pipeline": pipeline,
+    "op1_pii": pii.op1_pii,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_packing": packing.op6_packing,
+    "op7_html_extraction": html_text.op7_html_extraction,
     "op8_simhash": simhash.op8_simhash,
     "op9_topk": topk.op9_topk,
     "op10_token_output": token_output.op10_token_output,
