@@ -42,31 +42,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _segments(df: DataFrame) -> DataFrame:
-    """A row for each segment of a fingerprint: its number and value."""
-    of = [F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", SEGMENT_BITS * i).bitwiseAND((1 << SEGMENT_BITS) - 1).alias("val")) for i in range(SEGMENTS)]
-    return df.withColumn("_x", F.explode(F.array(*of))).select("*", "_x.seg", "_x.val").drop("_x")
+    """A row for each segment of a fingerprint: its number and value. Fingerprints with different `f` have tables of their own."""
+    of = [F.struct((F.col("f") * SEGMENTS + i).alias("seg"), F.shiftrightunsigned("fp", SEGMENT_BITS * i).bitwiseAND((1 << SEGMENT_BITS) - 1).alias("val")) for i in range(SEGMENTS)]
+    return df.withColumn("_x", F.explode(F.array(*of))).select("*", "_x.seg", "_x.val").drop("_x", "f")
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of nodes that share a segment, are neighbours there in the order of their fingerprints, and differ in at most MOST_BITS bits. rows: node, f, fp."""
+    w = Window.partitionBy("seg", "val").orderBy("fp", "node")
+    pairs = _segments(rows).select("node", "fp", F.lag("node").over(w).alias("src"), F.lag("fp").over(w).alias("sfp"))
+    pairs = pairs.where((F.bit_count(F.col("sfp").bitwiseXOR(F.col("fp"))) <= MOST_BITS) & (F.col("src") != F.col("node")))
+    return pairs.select(F.greatest("src", "node").alias("src"), F.least("src", "node").alias("dst")).distinct()
+
+
+def ball_matches(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of nodes of different labels that differ in at most MOST_BITS bits: every segment's table is asked for all values
+    in the Hamming ball around a segment (the value and its 32 neighbours), and complete distances are verified.
+    rows: node, f, fp; labels: node, component (its own number where a node has none). Columns src, dst, slabel, dlabel."""
+    labelled = common.cut(rows.join(labels, "node", "left").select("node", "f", "fp", F.coalesce("component", "node").alias("label")))
+    table = _segments(labelled)
+    ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
+    probe = table.withColumn("_flip", F.explode(ball)).select(F.col("seg").alias("pseg"), F.col("val").bitwiseXOR(F.col("_flip")).alias("pval"), F.col("fp").alias("pfp"), F.col("node").alias("src"), F.col("label").alias("slabel"))
+    on = (F.col("seg") == F.col("pseg")) & (F.col("val") == F.col("pval")) & (F.col("label") != F.col("slabel")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= MOST_BITS) & (F.col("node") < F.col("src"))
+    return table.join(probe, on).select("src", F.col("node").alias("dst"), "slabel", F.col("label").alias("dlabel"))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (src, dst) between distinct fingerprints with the same components as all pairs of at most MOST_BITS differing bits.
 
-    Every segment's table is asked for the values in the Hamming ball around a fingerprint's segment (the value and its
-    32 neighbours), and complete distances are verified. In a table's entry, fingerprints that share one segment are
-    first linked with their neighbours in the order of the other one; pairs that those links already connect are not
-    returned again, so a dense group gives few links and not all its pairs.
+    Neighbours in a table's entry are linked first. Pairs that those links already connect are not returned again, so a
+    dense group gives few links and not all its pairs.
     """
-    table = _segments(fps.select("fp"))
-    w = Window.partitionBy("seg", "val").orderBy("fp")
-    near = table.withColumn("src", F.lag("fp").over(w)).where(F.bit_count(F.col("src").bitwiseXOR(F.col("fp"))) <= MOST_BITS).select("src", F.col("fp").alias("dst"))
-    near = common.cut(near.distinct())
-    labels = connected_components(near).withColumnRenamed("node", "fp")
-    labelled = common.cut(fps.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("label")))
-    table = _segments(labelled)
-    ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
-    probe = table.withColumn("_flip", F.explode(ball)).select(F.col("seg").alias("pseg"), F.col("val").bitwiseXOR(F.col("_flip")).alias("pval"), F.col("fp").alias("src"), F.col("label").alias("plabel"), (F.col("_flip") == 0).alias("same"))
-    on = (F.col("seg") == F.col("pseg")) & (F.col("val") == F.col("pval")) & (F.col("label") != F.col("plabel")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("src"))) <= MOST_BITS) & (F.col("fp") < F.col("src"))
-    far = table.join(probe, on).select(F.col("plabel").alias("src"), F.col("label").alias("dst"))
-    return near.unionByName(far.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    rows = fps.select(F.col("fp").alias("node"), F.lit(0).alias("f"), "fp")
+    near = common.cut(neighbours(rows))
+    far = ball_matches(rows, connected_components(near)).select(F.greatest("slabel", "dlabel").alias("src"), F.least("slabel", "dlabel").alias("dst")).distinct()
+    return near.unionByName(far)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -90,8 +100,84 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the least identifier."""
-    marks = near_duplicates(docs, id_col, text_col, shingle)
-    drop = marks.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_drop")).distinct()
+#: Of similar_documents(): fingerprints of a text's word set, words of a shingle, least share of common shingles.
+VIEWS, SIMILAR_WORDS, SIMILARITY = 4, 5, 0.8
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), "<u8"))
+
+
+def word_set_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, f, fp: VIEWS independent fingerprints of each text's set of lower-cased words; a text without words has none."""
+    common.arrow_batches(docs.sparkSession)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), common.text_of(text_col).cast("binary").alias("_t"))
+
+    def views(text: bytes) -> list[int] | None:
+        if not (words := text.lower().split()):
+            return None
+        h, out = _hashes(words), []
+        for m in _MIX[:VIEWS]:
+            g = (h ^ (h >> np.uint64(31))) * m
+            g ^= g >> np.uint64(29)
+            ones = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out.append(int(np.packbits(2 * ones > len(g), bitorder="little").view("<i8")[0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(map(views, b["_t"].to_pylist()), pa.list_(pa.int64()))], names=["node", "_fps"])
+
+    return common.cut(rows.mapInArrow(run, "node long, _fps array<long>")).select("node", F.posexplode("_fps").alias("f", "fp"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (src, dst) whose texts share at least SIMILARITY of their sets of SIMILAR_WORDS-word shingles."""
+    pairs = common.cut(pairs.select("src", "dst").distinct())
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("_w")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), common.text_of(text_col).cast("binary").alias("_t")).join(wanted, F.col("_id") == F.col("_w"), "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b["_t"].to_pylist():
+                w = text.lower().split()
+                grams = [b" ".join(w)] if len(w) < SIMILAR_WORDS else map(b" ".join, zip(*(w[i:] for i in range(SIMILAR_WORDS))))
+                out.append(_hashes(grams).tobytes())
+            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(out, pa.binary())], names=["_id", "_g"])
+
+    grams = rows.mapInArrow(sets, "_id long, _g binary")
+    both = pairs.join(grams.select(F.col("_id").alias("src"), F.col("_g").alias("_a")), "src").join(grams.select(F.col("_id").alias("dst"), F.col("_g").alias("_b")), "dst")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = []
+            for x, y in zip(b["_a"].to_pylist(), b["_b"].to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                common_ = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(common_ >= SIMILARITY * (len(x) + len(y) - common_))
+            mask = pa.array(same, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["src"].filter(mask), b["dst"].filter(mask)], names=["src", "dst"])
+
+    return common.cut(both.select("src", "dst", "_a", "_b").mapInArrow(compare, "src long, dst long").distinct())
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, component) of the documents that are linked: at least SIMILARITY of five-word shingles in common.
+
+    Candidates are pairs within MOST_BITS bits in one of VIEWS fingerprints, found by multi-index hashing; a change of a
+    few words moves few bits of a word set's fingerprint, so views of word sets find pairs that a single fingerprint of
+    shingles at this distance would miss. Candidates are held against the texts. Null identifiers take no part; of rows
+    that share an identifier, all stand for it.
+    """
+    rows = word_set_fingerprints(docs, id_col, text_col)
+    near = verified(neighbours(rows), docs, id_col, text_col)
+    far = verified(ball_matches(rows, connected_components(near)), docs, id_col, text_col)
+    return connected_components(near.unionByName(far))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each group of similar documents the one with the least identifier."""
+    drop = similar_documents(docs, id_col, text_col).where("component < node").select(F.col("node").alias("_drop"))
     return docs.join(drop, docs[id_col].cast("long") == drop["_drop"], "left_anti")
