@@ -15,28 +15,34 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 50) -> DataFrame:
-    """(node, component): the least node that each node of an edge can reach.
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 50, rounds: int | None = None) -> DataFrame:
+    """(node, component): the least node that each node of an edge can reach; after a given number of rounds, some node that it can reach.
 
     Each round points a node's larger neighbours at its least neighbour, then its smaller ones. The least neighbour is a
     pre-aggregated minimum that is joined back, so a node of any degree is never gathered; rounds are reliable checkpoints.
     Loops and repeated edges are allowed, edges with a null end are left out; no edges give no rows.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     cur = _cut(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    for done in range(most_rounds):
+        if done == rounds:
+            break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         cur = _cut(small.distinct())
+        if rounds is not None:
+            continue
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    if rounds is not None:
+        cur = cur.groupBy("u").agg(F.min("v").alias("v"))
     return nodes.join(cur, nodes["node"] == cur["u"], "left").select("node", F.coalesce("v", "node").alias("component"))
