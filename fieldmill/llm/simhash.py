@@ -14,6 +14,8 @@ from fieldmill.llm import common
 from fieldmill.operators.components import connected_components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
+#: Rounds of label spreading over neighbours' links before the balls are searched; labels only spare known links.
+LABEL_ROUNDS = 3
 #: Segments of a fingerprint. MOST_BITS // SEGMENTS bits may differ in one of them, which bounds the ball's radius.
 SEGMENTS, SEGMENT_BITS = 2, 32
 
@@ -75,8 +77,8 @@ def links(fps: DataFrame) -> DataFrame:
     """
     rows = fps.select(F.col("fp").alias("node"), F.lit(0).alias("f"), "fp")
     near = common.cut(neighbours(rows))
-    far = ball_matches(rows, connected_components(near)).select(F.greatest("slabel", "dlabel").alias("src"), F.least("slabel", "dlabel").alias("dst")).distinct()
-    return near.unionByName(far)
+    far = ball_matches(rows, connected_components(near, rounds=LABEL_ROUNDS)).select(F.greatest("slabel", "dlabel").alias("src"), F.least("slabel", "dlabel").alias("dst")).distinct()
+    return near.unionByName(common.cut(far))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -173,7 +175,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = word_set_fingerprints(docs, id_col, text_col)
     near = verified(neighbours(rows), docs, id_col, text_col)
-    far = verified(ball_matches(rows, connected_components(near)), docs, id_col, text_col)
+    far = verified(ball_matches(rows, connected_components(near, rounds=LABEL_ROUNDS)), docs, id_col, text_col)
     return connected_components(near.unionByName(far))
 
 
