@@ -1,6 +1,551 @@
-"""The queries of the library and their SQL."""
+"""The queries of the library, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fieldmill.functions import geo, text
+from fieldmill.operators import analytics, dedupe, predicates, shaping
+from fieldmill.plans.spec import NullPolicy, SearchSpec
+from fieldmill.sources.readers import backfill, table
+from fieldmill.streaming import stateful
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Listings are parts whose prices, leases and rooms are unknown for some.
+LISTINGS = """WITH listings AS (SELECT p_partkey AS id, p_name AS title, p_brand AS category, p_type AS property_type,
+ CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 0 ELSE CAST(round(p_retailprice * 100) AS BIGINT) END AS price,
+ CAST(nullif(p_size % 7, 0) AS BIGINT) AS bedrooms, CAST(CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END AS BIGINT) AS min_lease,
+ CAST(p_partkey % 181 AS DOUBLE) - 90 AS lat, CAST(p_partkey % 361 AS DOUBLE) - 180 AS lng, p_partkey % 1000 AS day FROM part)
+"""
+
+
+def listings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(
+        k.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("category"), F.col("p_type").alias("property_type"),
+        F.when(k % 9 == 0, None).when(k % 11 == 0, 0).otherwise(F.round(F.col("p_retailprice") * 100).cast("long")).alias("price"),
+        F.nullif(F.col("p_size") % 7, F.lit(0)).cast("long").alias("bedrooms"), F.when(k % 5 == 0, None).otherwise(F.col("p_size")).cast("long").alias("min_lease"),
+        ((k % 181).cast("double") - 90).alias("lat"), ((k % 361).cast("double") - 180).alias("lng"), (k % 1000).alias("day"),
+    )
+
+
+SPEC = {"columns": {"date": "day"}}
+PAGE = ["id", "title", "price", "day"]
+
+
+@query(LISTINGS + "SELECT id, title, price, day FROM listings ORDER BY day DESC, id DESC LIMIT 20")
+def search_newest(spark, d):
+    return predicates.search(listings(spark, d), SearchSpec(**SPEC)).select(*PAGE)
+
+
+@query(LISTINGS + "SELECT id, title, price, day FROM listings ORDER BY CASE WHEN price IS NULL OR price <= 0 THEN 1 ELSE 0 END, price, day DESC, id DESC LIMIT 50 OFFSET 10")
+def search_price_asc_unknown_last(spark, d):
+    return predicates.search(listings(spark, d), SearchSpec(sort="price_asc", limit=50, offset=10, **SPEC)).select(*PAGE)
+
+
+@query(LISTINGS + "SELECT id, title, price, day FROM listings ORDER BY CASE WHEN price IS NULL OR price <= 0 THEN 1 ELSE 0 END, price DESC, day DESC, id DESC LIMIT 50")
+def search_price_desc_unknown_last(spark, d):
+    return predicates.search(listings(spark, d), SearchSpec(sort="price_desc", limit=50, **SPEC)).select(*PAGE)
+
+
+@query(LISTINGS + "SELECT id, bedrooms FROM listings WHERE bedrooms = 2 OR bedrooms >= 4")
+def search_bedroom_4plus(spark, d):
+    return listings(spark, d).where(predicates.where(SearchSpec(bedrooms=(2, 4)))).select("id", "bedrooms")
+
+
+@query(LISTINGS + "SELECT id, title FROM listings WHERE contains(lower(title), 're') OR contains(lower(category), 're')")
+def search_text_contains(spark, d):
+    return listings(spark, d).where(predicates.where(SearchSpec(text="RE"))).select("id", "title")
+
+
+@query(LISTINGS + "SELECT id, price FROM listings WHERE price >= 100000 AND price <= 120000")
+def search_null_policy_legacy(spark, d):
+    return listings(spark, d).where(predicates.where(SearchSpec(NullPolicy.LEGACY, 100000, 120000))).select("id", "price")
+
+
+@query(LISTINGS + "SELECT id, price FROM listings WHERE price IS NULL OR price <= 0 OR (price >= 100000 AND price <= 120000)")
+def search_null_policy_canonical(spark, d):
+    return listings(spark, d).where(predicates.where(SearchSpec(NullPolicy.CANONICAL, 100000, 120000))).select("id", "price")
+
+
+@query(LISTINGS + "SELECT id, price FROM listings WHERE false")
+def search_contradiction(spark, d):
+    return listings(spark, d).where(predicates.where(SearchSpec(min_price=2, max_price=1))).select("id", "price")
+
+
+@query(LISTINGS + "SELECT id, min_lease FROM listings WHERE min_lease IS NULL OR min_lease <= 12")
+def search_lease_unknown_passes(spark, d):
+    return listings(spark, d).where(predicates.where(SearchSpec(max_lease=12))).select("id", "min_lease")
+
+
+@query(LISTINGS + "SELECT p.*, t.total FROM (SELECT id, price FROM listings WHERE bedrooms >= 4 ORDER BY day DESC, id DESC LIMIT 20) p, (SELECT count(*) AS total FROM listings WHERE bedrooms >= 4) t")
+def search_page_with_total(spark, d):
+    spec = SearchSpec(bedrooms=(4,), **SPEC)
+    rows = listings(spark, d)
+    return predicates.search(rows, spec).select("id", "price").join(F.broadcast(predicates.total(rows, spec)))  # one row
+
+
+@query(LISTINGS + "SELECT id, lat, lng FROM listings WHERE lat BETWEEN -14 AND 14 AND lng BETWEEN -28 AND 28")
+def bbox_padded(spark, d):
+    return listings(spark, d).where(predicates.where(SearchSpec(bounds=(10.0, 20.0, -10.0, -20.0)))).select("id", "lat", "lng")
+
+
+@query(LISTINGS + "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN price > 0 AND bedrooms IS NOT NULL THEN 'EXACT' WHEN price > 0 OR bedrooms IS NOT NULL THEN 'PROBABLE' ELSE 'UNKNOWN' END AS tier FROM listings) GROUP BY tier")
+def offer_tiers(spark, d):
+    price, rooms = F.coalesce(F.col("price") > 0, F.lit(False)), F.col("bedrooms").isNotNull()
+    return listings(spark, d).groupBy(F.when(price & rooms, "EXACT").when(price | rooms, "PROBABLE").otherwise("UNKNOWN").alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query(LISTINGS + "SELECT category, count(*) AS n FROM listings GROUP BY category ORDER BY n DESC, category LIMIT 30")
+def facet_counts(spark, d):
+    return listings(spark, d).groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(30)
+
+
+@query(LISTINGS + "SELECT coalesce(min(price), 0) AS low, coalesce(max(price), 0) AS high FROM listings WHERE price > 0")
+def facet_price_range(spark, d):
+    return listings(spark, d).where("price > 0").agg(F.coalesce(F.min("price"), F.lit(0)).alias("low"), F.coalesce(F.max("price"), F.lit(0)).alias("high"))
+
+
+@query(LISTINGS + "SELECT coalesce(CAST(bedrooms AS VARCHAR), category || ':any') AS area, min(price) AS low, max(price) AS high, count(*) AS n FROM listings GROUP BY 1")
+def group_min_max_key(spark, d):
+    key = F.coalesce(F.col("bedrooms").cast("string"), F.concat("category", F.lit(":any")))
+    return listings(spark, d).groupBy(key.alias("area")).agg(F.min("price").alias("low"), F.max("price").alias("high"), F.count("*").alias("n"))
+
+
+@query(LISTINGS + "SELECT coalesce(CAST(bedrooms AS VARCHAR), 'other') AS rooms, count(*) AS n FROM listings GROUP BY 1")
+def group_null_as_other(spark, d):
+    return listings(spark, d).groupBy(F.coalesce(F.col("bedrooms").cast("string"), F.lit("other")).alias("rooms")).agg(F.count("*").alias("n"))
+
+
+@query(LISTINGS + "SELECT category, bedrooms, count(*) AS n FROM listings GROUP BY CUBE (category, bedrooms)")
+def cube_facets(spark, d):
+    return listings(spark, d).cube("category", "bedrooms").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS runs, round(sum(value), 4) AS total, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY event_type")
+def summary_rolling_hours(spark, d):
+    e = table(spark, d, "events")
+    last = e.agg(F.max("ts").alias("_last"))
+    rows = e.join(F.broadcast(last)).where(F.col("ts") >= F.col("_last") - F.expr("INTERVAL 24 HOURS"))  # one row
+    return rows.groupBy("event_type").agg(F.count("*").alias("runs"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT count(DISTINCT coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'u' || user_id END, 'e' || event_id % 10)) AS actors FROM events")
+def distinct_actors(spark, d):
+    a = F.coalesce(F.when(F.col("event_id") % 3 == 0, None).otherwise(F.concat(F.lit("u"), "user_id")), F.concat(F.lit("e"), F.col("event_id") % 10))
+    return table(spark, d, "events").agg(F.countDistinct(a).alias("actors"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def event_breakdown(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM events WHERE event_type = 'view' AND json_extract_string(props, '$.k') = '7'")
+def json_filter_count(spark, d):
+    return table(spark, d, "events").where((F.col("event_type") == "view") & (F.get_json_object("props", "$.k") == "7")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def dup_key_check(spark, d):
+    return table(spark, d, "documents").groupBy("text").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT o_custkey AS id, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'rejected' WHEN bool_or(o_orderstatus = 'P') THEN 'pending' ELSE 'approved' END AS status FROM orders GROUP BY o_custkey")
+def status_fold(spark, d):
+    s = F.col("o_orderstatus")
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.when(F.bool_or(s == "F"), "rejected").when(F.bool_or(s == "P"), "pending").otherwise("approved").alias("status"))
+
+
+@query("SELECT l_orderkey AS id, min(l_suppkey) AS supplier FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1")
+def having_unique(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_suppkey").alias("supplier"), F.max("l_suppkey").alias("_m")).where("supplier = _m").drop("_m")
+
+
+@query("SELECT k AS id, string_agg(x, ' / ' ORDER BY first, x) AS contacts FROM (SELECT l_orderkey AS k, l_shipdate::DATE::VARCHAR AS x, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2) GROUP BY k")
+def string_agg_ordered(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("x")).agg(F.min("l_linenumber").alias("first"))
+    return rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "x"))), lambda s: s["x"]), " / ").alias("contacts"))
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM part) AS parts")
+def scalar_counts(spark, d):
+    n = lambda t, name: table(spark, d, t).agg(F.count("*").alias(name))
+    return n("orders", "orders").join(F.broadcast(n("customer", "customers"))).join(F.broadcast(n("part", "parts")))  # one row each
+
+
+@query("SELECT code, count(*) AS n, count(*) FILTER (WHERE day = 1) AS recent FROM (SELECT event_type AS code, CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR THEN 1 ELSE 0 END AS day FROM events) GROUP BY code ORDER BY n DESC, code LIMIT 8")
+def warning_histogram(spark, d):
+    e = table(spark, d, "events")
+    rows = e.join(F.broadcast(e.agg(F.max("ts").alias("_last"))))  # one row
+    return rows.groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n"), F.count_if(F.col("ts") >= F.col("_last") - F.expr("INTERVAL 24 HOURS")).alias("recent")).orderBy(F.desc("n"), "code").limit(8)
+
+
+@query(LISTINGS + "SELECT category AS area, count(*) AS n, min(price) FILTER (WHERE price > 0) AS low, max(price) FILTER (WHERE price > 0) AS high, min(id) AS first_id FROM listings WHERE bedrooms IS NULL GROUP BY category")
+def area_rollup(spark, d):
+    p = F.when(F.col("price") > 0, F.col("price"))
+    return listings(spark, d).where("bedrooms IS NULL").groupBy(F.col("category").alias("area")).agg(F.count("*").alias("n"), F.min(p).alias("low"), F.max(p).alias("high"), F.min("id").alias("first_id"))
+
+
+@query("SELECT l_returnflag AS flag, round(median(l_extendedprice), 1) AS mid FROM lineitem GROUP BY 1")
+def median_by_flag(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(F.median("l_extendedprice"), 1).alias("mid"))
+
+
+@query("SELECT quality AS actual, CASE WHEN n_chars >= 600 THEN 1 ELSE 0 END AS expected, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
+def confusion_counts(spark, d):
+    j = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    return j.groupBy(F.col("quality").alias("actual"), F.when(F.col("n_chars") >= 600, 1).otherwise(0).alias("expected")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS posts, count(*) FILTER (WHERE r = 1) AS credited, round(100.0 * count(*) FILTER (WHERE r > 1) / count(*), 2) AS duplicate_rate FROM (SELECT source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) GROUP BY source")
+def first_seen_credit(spark, d):
+    w = Window.partitionBy("_h").orderBy("doc_id")
+    rows = table(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("_h")).withColumn("r", F.row_number().over(w))
+    return rows.groupBy("source").agg(F.count("*").alias("posts"), F.count_if(F.col("r") == 1).alias("credited"), F.round(100.0 * F.count_if(F.col("r") > 1) / F.count("*"), 2).alias("duplicate_rate"))
+
+
+@query("SELECT r_name, n_name, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE l_returnflag = 'R' GROUP BY ALL")
+def star_join(spark, d):
+    t = lambda name: table(spark, d, name)
+    j = t("lineitem").where("l_returnflag = 'R'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    j = j.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return j.groupBy("r_name", "n_name").agg(F.count("*").alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
+def semi_approved(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'O'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_missing(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON c_custkey = s_suppkey OR (c_nationkey = s_nationkey AND c_mktsegment = 'BUILDING')")
+def or_join_union(spark, d):
+    c = table(spark, d, "customer").withColumn("_seg", F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey")))
+    return shaping.or_join(c, table(spark, d, "supplier"), [("c_custkey", "s_suppkey"), ("_seg", "s_nationkey")], ["c_custkey", "s_suppkey"])
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def first_per_group(spark, d):
+    return shaping.first_per_group(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderdate")
+
+
+@query("SELECT DISTINCT a.doc_id FROM documents a JOIN documents b ON a.text = b.text AND a.source <> b.source")
+def self_conflict(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("_h"))
+    mixed = rows.groupBy("_h").agg(F.min("source").alias("_a"), F.max("source").alias("_b")).where("_a <> _b").select("_h")
+    return rows.join(mixed, "_h", "left_semi").select("doc_id").distinct()
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS pos, string_split(text, ' ')[i] AS word FROM documents, LATERAL (SELECT unnest(range(1, 4)) AS i) WHERE i <= len(string_split(text, ' '))")
+def lateral_unnest(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 3)).alias("p", "word")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "word")
+
+
+FILTERS = "filters AS (SELECT s_suppkey AS filter_id, s_nationkey AS user_id, CAST(90000 + s_suppkey % 7 * 5000 AS BIGINT) AS low, CAST(110000 + s_suppkey % 7 * 5000 AS BIGINT) AS high, CAST(1 + s_suppkey % 6 AS BIGINT) AS rooms FROM supplier WHERE s_acctbal > 0)"
+
+
+def _filters(spark, d):
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").where("s_acctbal > 0").select(k.alias("filter_id"), F.col("s_nationkey").alias("user_id"), (90000 + k % 7 * 5000).alias("low"), (110000 + k % 7 * 5000).alias("high"), (1 + k % 6).alias("rooms"))
+
+
+@query(LISTINGS + ", " + FILTERS + " SELECT id, user_id, min(filter_id) AS filter_id FROM listings JOIN filters ON bedrooms = rooms AND price BETWEEN low AND high GROUP BY ALL")
+def theta_saved_filters(spark, d):
+    j = listings(spark, d).join(_filters(spark, d), (F.col("bedrooms") == F.col("rooms")) & F.col("price").between(F.col("low"), F.col("high")))
+    return j.groupBy("id", "user_id").agg(F.min("filter_id").alias("filter_id"))
+
+
+@query(LISTINGS + ", " + FILTERS + " SELECT filter_id, id, CAST(rank AS BIGINT) AS rank FROM (SELECT filter_id, id, row_number() OVER (PARTITION BY filter_id ORDER BY abs(price - (low + high) // 2), id) AS rank FROM listings JOIN filters ON bedrooms = rooms AND price BETWEEN low AND high) WHERE rank <= 5")
+def topn_per_filter(spark, d):
+    j = listings(spark, d).join(_filters(spark, d), (F.col("bedrooms") == F.col("rooms")) & F.col("price").between(F.col("low"), F.col("high")))
+    out = shaping.top_per_group(j, ["filter_id"], [F.abs(F.col("price") - F.expr("(low + high) div 2")), F.col("id")], 5)
+    return out.select("filter_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+def _events(spark, d):
+    return table(spark, d, "events").withColumn("item", F.get_json_object("props", "$.k").cast("long"))
+
+
+@query(f"WITH e AS (SELECT *, {K} AS item FROM events) SELECT p.event_id, (SELECT max(v.ts) FROM e v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts) AS viewed FROM e p WHERE p.event_type = 'purchase'")
+def asof_view_purchase(spark, d):
+    rows = _events(spark, d).where(F.col("event_type").isin("view", "purchase"))
+    return shaping.asof_join(rows, ["user_id"], "ts", F.col("event_type") == "view", F.col("ts"), "viewed", "event_id").select("event_id", "viewed")
+
+
+@query("SELECT a.user_id, a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'signup' AND a.event_id < b.event_id AND abs(CAST(floor(epoch(a.ts)) AS BIGINT) - CAST(floor(epoch(b.ts)) AS BIGINT)) <= 259200")
+def interval_72h(spark, d):
+    rows = table(spark, d, "events").where("event_type = 'signup'")
+    return shaping.interval_pairs(rows, ["user_id"], "event_id", "ts", 72 * 3600).select("user_id", "a", "b")
+
+
+@query("SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def set_union(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "id")
+    return o.where("o_orderstatus = 'F'").select("id").unionByName(o.where("o_orderpriority = '1-URGENT'").select("id")).distinct()
+
+
+@query("SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def set_intersect(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "id")
+    return o.where("o_orderstatus = 'F'").select("id").intersect(o.where("o_orderpriority = '1-URGENT'").select("id"))
+
+
+@query("SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def set_except(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "id")
+    return o.where("o_orderstatus = 'F'").select("id").subtract(o.where("o_orderpriority = '1-URGENT'").select("id"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'INSERT' WHEN b.k IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS change, CASE WHEN a.k IS NULL OR b.k IS NULL THEN '' ELSE 'v' END AS changed FROM (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS v FROM part WHERE p_partkey % 4 <> 0) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
+def row_diff(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
+    return shaping.row_diff(p.where("k % 3 <> 0"), p.where("k % 4 <> 0").withColumn("v", F.when(F.col("k") % 5 == 0, F.col("v") + 1).otherwise(F.col("v"))), "k", ["v"])
+
+
+STAGES = ["view", "signup", "purchase"]
+
+
+@query(f"SELECT event_type AS stage, count(DISTINCT user_id) AS users, count(DISTINCT {K}) AS items, count(*) AS events FROM events WHERE event_type IN ('view', 'signup', 'purchase') GROUP BY 1")
+def funnel_report_stages(spark, d):
+    return analytics.funnel_stages(_events(spark, d), STAGES, "user_id", "item", "event_type")
+
+
+@query("WITH u AS (SELECT count(DISTINCT user_id) FILTER (WHERE event_type = 'view') AS v, count(DISTINCT user_id) FILTER (WHERE event_type = 'signup') AS s, count(DISTINCT user_id) FILTER (WHERE event_type = 'purchase') AS p FROM events) SELECT 'signup' AS stage, round(s / v, 4) AS rate FROM u UNION ALL SELECT 'purchase', round(p / s, 4) FROM u")
+def funnel_rates(spark, d):
+    return analytics.funnel_rates(funnel_report_stages(spark, d), STAGES)
+
+
+@query(f"SELECT {K} AS item, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY n DESC, item LIMIT 10")
+def funnel_top_items(spark, d):
+    return _events(spark, d).where("event_type = 'view'").groupBy("item").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).orderBy(F.desc("n"), "item").limit(10)
+
+
+@query("WITH j AS (SELECT epoch_us(p.ts) - epoch_us((SELECT max(v.ts) FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts)) AS gap FROM events p WHERE p.event_type = 'purchase') SELECT count(*) AS conversions, round(median(gap / 1e6), 1) AS median_seconds FROM j WHERE gap IS NOT NULL")
+def funnel_time_to_convert(spark, d):
+    return analytics.time_to_convert(_events(spark, d), ["user_id"], "ts", "event_type", "view", "purchase", "event_id")
+
+
+@query(f"SELECT count(*) AS pairs, count(*) FILTER (WHERE n > 1) AS repeated, round(avg(n), 4) AS average, max(n) AS most FROM (SELECT user_id, {K} AS item, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL)")
+def repeat_dispatch(spark, d):
+    pairs = _events(spark, d).where("event_type = 'purchase'").groupBy("user_id", "item").agg(F.count("*").alias("n"))
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("n") > 1).alias("repeated"), F.round(F.avg("n"), 4).alias("average"), F.max("n").alias("most"))
+
+
+@query(f"SELECT CASE WHEN props IS NULL OR props = '' THEN 'direct' WHEN {K} IS NULL THEN 'broad' ELSE 'filtered' END AS context, count(*) AS n FROM events GROUP BY 1")
+def search_contexts(spark, d):
+    return table(spark, d, "events").groupBy(analytics.search_context(F.col("props")).alias("context")).agg(F.count("*").alias("n"))
+
+
+AGE = "SELECT o_orderkey AS id, date_diff('day', o_orderdate::DATE, (SELECT max(o_orderdate)::DATE FROM orders)) AS age, o_orderkey % 13 AS demand, o_orderstatus, o_orderkey % 4 AS job, o_orderkey % 200 AS waited FROM orders"
+
+
+def _ages(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    rows = o.join(F.broadcast(o.agg(F.max("o_orderdate").alias("_last"))))  # one row
+    return rows.select(k.alias("id"), F.datediff("_last", "o_orderdate").cast("long").alias("age"), (k % 13).alias("demand"), "o_orderstatus", (k % 4).alias("job"), (k % 200).alias("waited"))
+
+
+@query(f"SELECT id, age, waited FROM ({AGE}) WHERE waited >= CASE WHEN age <= 7 THEN 12 WHEN age <= 30 THEN 72 ELSE 168 END")
+def freshness_due(spark, d):
+    return _ages(spark, d).where(F.col("waited") >= analytics.due_after(F.col("age"))).select("id", "age", "waited")
+
+
+REASON = f"SELECT *, CASE WHEN age <= 30 THEN 'fresh' WHEN demand = 0 THEN 'no_demand' WHEN o_orderstatus = 'P' THEN 'unbound' WHEN job = 0 THEN 'open_job' WHEN waited < 168 THEN 'not_due' END AS reason FROM ({AGE})"
+
+
+def _reasons(spark, d):
+    c = F.col
+    return _ages(spark, d).withColumn("reason", analytics.skip_reason(c("age") > 30, c("demand") > 0, c("o_orderstatus") != "P", c("job") == 0, c("waited") >= analytics.due_after(c("age"))))
+
+
+@query(f"SELECT coalesce(reason, 'planned') AS reason, count(*) AS n FROM ({REASON}) GROUP BY 1")
+def skip_reason_histogram(spark, d):
+    return _reasons(spark, d).groupBy(F.coalesce("reason", F.lit("planned")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, least(100, 70 + age + 5 * demand) AS priority FROM ({REASON}) WHERE reason IS NULL")
+def freshness_plan(spark, d):
+    return _reasons(spark, d).where("reason IS NULL").select("id", analytics.priority(F.col("age"), F.col("demand")).alias("priority"))
+
+
+@query(f"SELECT id, cost FROM (SELECT id, demand, CASE WHEN job = 1 THEN 0 ELSE 1 END AS cost, sum(CASE WHEN job = 1 THEN 0 ELSE 1 END) OVER (ORDER BY demand DESC, id) AS run FROM ({REASON}) WHERE reason IS NULL) WHERE cost = 0 OR run <= 25")
+def budget_admission(spark, d):
+    rows = _reasons(spark, d).where("reason IS NULL").withColumn("cost", F.when(F.col("job") == 1, 0).otherwise(1))
+    return shaping.budgeted(rows, [F.desc("demand"), F.asc("id")], "cost", 25).select("id", "cost")
+
+
+@query(LISTINGS + "SELECT codes, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN price IS NULL THEN 'PRICE_UNKNOWN' END, CASE WHEN bedrooms IS NULL THEN 'ROOMS_UNKNOWN' END, CASE WHEN min_lease > 24 THEN 'LEASE_TOO_LONG' END) AS codes FROM listings) GROUP BY codes")
+def moderation_reasons(spark, d):
+    c = F.col
+    codes = analytics.hold_codes([("PRICE_UNKNOWN", c("price").isNull()), ("ROOMS_UNKNOWN", c("bedrooms").isNull()), ("LEASE_TOO_LONG", c("min_lease") > 24)])
+    return listings(spark, d).groupBy(F.array_join(codes, ",").alias("codes")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+', ' ', 'g'), '\\+?[0-9][0-9() .-]{6,}[0-9]', ' ', 'g'), '@[a-z0-9_]+', ' ', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM documents")
+def text_normalise(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normalise_repost(F.col("text")).alias("norm"))
+
+
+@query("SELECT doc_id, CAST(len(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f]+', ' ', 'g')), ' '), lambda w: (length(w) >= 2 OR regexp_matches(w, '[0-9]')) AND w NOT IN ('a', 'an', 'and', 'at', 'for', 'from', 'in', 'is', 'of', 'on', 'or', 'the', 'to', 'with')))) AS BIGINT) AS n FROM documents")
+def token_sets(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(text.tokens(text.collapse(F.lower("text")))).cast("long").alias("n"))
+
+
+@query("SELECT page_id, CAST(length(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS BIGINT) AS n FROM (SELECT page_id, regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g') AS html FROM pages)")
+def html_strip(spark, d):
+    c = F.regexp_replace("html", r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " ")
+    return table(spark, d, "pages").select("page_id", F.length(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"[ \t\r\n\f]+", " ")).cast("long").alias("n"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), '^(www|m)\\.', '') AS h, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS path,
+ list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|ref)='))) AS q FROM pages)
+SELECT page_id, 'https://' || h || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM p""")
+def url_canonical(spark, d):
+    return table(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '') || '|' || coalesce(lang, '') || '|' || coalesce(source, '')) AS hash FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text"), F.col("lang"), F.col("source")).alias("hash"))
+
+
+@query(LISTINGS + "SELECT id, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(13.36 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(13.36)) * pow(sin(radians(103.86 - lng) / 2), 2)))), 3) AS km FROM listings")
+def haversine(spark, d):
+    return listings(spark, d).select("id", F.round(geo.haversine_km(F.col("lat"), F.col("lng"), F.lit(13.36), F.lit(103.86)), 3).alias("km"))
+
+
+BITS = "SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings"
+
+
+@query(f"WITH h AS ({BITS}), p AS (SELECT a.id AS a, b.id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM h a JOIN h b ON a.id < b.id) SELECT * FROM p WHERE distance <= 7")
+def lsh_band_pairs(spark, d):
+    return dedupe.band_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), dedupe.sign_bits(F.col("embedding")).alias("hash")), 7)
+
+
+SIGNALS = "SELECT doc_id AS id, 'content_hash:' || sha256(text) AS signal FROM documents UNION ALL SELECT doc_id, 'author:' || source || lang || n_chars % 50 FROM documents"
+
+
+def _signals(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"), F.concat("source", "lang", F.col("n_chars") % 50).alias("author"))
+    return dedupe.signal_index(rows)
+
+
+@query(f"SELECT signal, count(*) AS n FROM ({SIGNALS}) GROUP BY signal HAVING count(*) > 1")
+def signal_index(spark, d):
+    return _signals(spark, d).groupBy("signal").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(f"WITH s AS ({SIGNALS}), m AS (SELECT signal, min(id) AS a FROM s GROUP BY signal) SELECT DISTINCT a, id AS b FROM s JOIN m USING (signal) WHERE id <> a")
+def star_pairs(spark, d):
+    return shaping.star_pairs(_signals(spark, d))
+
+
+def _items(spark, d):
+    norm = text.normalise_repost(F.col("text"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), norm.alias("norm"), F.lit(None).cast("string").alias("url"), F.concat("source", F.lit("/"), F.col("n_chars") % 50).alias("author"))
+    return rows.withColumn("content_hash", F.sha2("norm", 256)).withColumn("tokens", text.tokens(F.col("norm")))
+
+
+@query()
+def repost_edges(spark, d):
+    items = _items(spark, d)
+    return dedupe.repost_edges(items, items.count()).withColumn("similarity", F.round("similarity", 4)).withColumn("confidence", F.round("confidence", 4))
+
+
+@query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS cluster FROM documents")
+def exact_clusters(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"))
+    return dedupe.clusters(rows, shaping.star_pairs(dedupe.signal_index(rows)))
+
+
+@query("WITH c AS (SELECT min(doc_id) OVER (PARTITION BY text) AS c FROM documents), g AS (SELECT c, count(*) AS n FROM c GROUP BY c) SELECT count(*) AS clusters, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n > 1) AS multi, CAST(sum(n - 1) AS BIGINT) AS collapsed, max(n) AS largest FROM g")
+def cluster_report(spark, d):
+    g = exact_clusters(spark, d).groupBy("cluster").agg(F.count("*").alias("n"))
+    return g.agg(F.count("*").alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("n") > 1).alias("multi"), F.sum(F.col("n") - 1).alias("collapsed"), F.max("n").alias("largest"))
+
+
+@query("SELECT decision, count(*) AS n FROM (SELECT CASE WHEN p >= 0.9 AND l >= 0.9 THEN 'SAME_LISTING' WHEN p >= 0.9 AND l < 0.7 THEN 'SAME_PROPERTY' WHEN p >= 0.7 THEN 'POSSIBLE' ELSE 'DIFFERENT' END AS decision FROM (SELECT (l_orderkey % 101) / 100.0 AS p, (l_partkey % 101) / 100.0 AS l FROM lineitem)) GROUP BY decision")
+def decision_ladder(spark, d):
+    p, q = (F.col("l_orderkey") % 101) / 100.0, (F.col("l_partkey") % 101) / 100.0
+    return table(spark, d, "lineitem").groupBy(dedupe.decide(p, q).alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f FROM orders) SELECT x.o_custkey, x.o_orderkey AS best_id, y.o_orderkey AS first_id, y.o_orderpriority FROM r x JOIN r y ON x.o_custkey = y.o_custkey AND x.b = 1 AND y.f = 1")
+def golden_record(spark, d):
+    return dedupe.golden(table(spark, d, "orders"), "o_custkey", F.col("o_totalprice"), "o_orderdate", "o_orderkey", ["o_orderpriority"])
+
+
+@query("SELECT user_id AS k, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value > 50 THEN 1 ELSE 0 END + CASE WHEN event_type = 'view' THEN 1 ELSE 0 END DESC, event_id) AS r FROM events) WHERE r = 1")
+def backfill_most_complete(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), F.when(F.col("value") > 50, 1).alias("x"), F.when(F.col("event_type") == "view", 1).alias("y"))
+    return backfill(rows, "k", "id", ["x", "y"]).select("k", "id")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_counts(spark, d):
+    out = stateful.activity(table(spark, d, "events"), "ts", ["event_type"], "1 hour")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL '1 hour', ts) - to_hours(i) AS s FROM events, (SELECT unnest(range(0, 3)) AS i)) GROUP BY ALL")
+def sliding_counts(spark, d):
+    out = stateful.activity(table(spark, d, "events"), "ts", ["event_type"], "3 hours", "1 hour")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def session_counts(spark, d):
+    out = stateful.sessions(table(spark, d, "events"), "ts", "user_id", "30 minutes")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query()
+def terminal_confirmation(spark, d):
+    kind = F.when(F.col("event_type") == "error", "REMOVED").when(F.col("event_type") == "click", "UNKNOWN").otherwise("ALIVE")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("id"), kind.alias("kind"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    return analytics.fold_states(rows, "id", "kind", "at")
+
+
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS version FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE p IS NULL OR p <> role")
+def versions_on_change(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return analytics.versions_on_change(rows, "conv_id", "turn", F.col("role")).select("conv_id", "turn", F.col("version").cast("long").alias("version"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v, greatest(a.t, b.t) AS t FROM (SELECT o_custkey AS k, max(o_orderstatus) AS v, max(o_orderdate) AS t FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, min(o_orderstatus) AS v, min(o_orderdate) AS t FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) b ON a.k = b.k")
+def late_data_merge(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "k")
+    side = lambda odd, f: o.where(F.col("o_orderkey") % 2 == odd).groupBy("k").agg(f("o_orderstatus").alias("v"), f("o_orderdate").alias("t"))
+    return analytics.upsert(side(0, F.max), side(1, F.min), "k", ["v"], {"t": "max"})
+
+
+@query("SELECT user_id, event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS BIGINT) AS before FROM events")
+def rolling_quota(spark, d):
+    t = F.unix_seconds(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy(t).rangeBetween(-86400, -1)
+    return table(spark, d, "events").select("user_id", "event_id", F.count("*").over(w).alias("before"))
