@@ -39,11 +39,12 @@ def repost_rule(s: Column, same_hash: Column, same_url: Column, same_print: Colu
 def repost_edges(items: DataFrame, n: int) -> DataFrame:
     """a, b, similarity, method, confidence of the pairs that a rule accepts. Candidates are stars over capped signals."""
     pairs = star_pairs(capped(signal_index(items), n))
-    cols = ["content_hash", "url", "author", "norm", "tokens"]
+    cols = ["content_hash", "url", "author", "norm", "tokens", "grams"]
+    items = items.withColumn("grams", text.trigrams(F.col("norm")))
     left = items.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
     right = items.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
     j = pairs.join(left, "a").join(right, "b")
-    s = text.similarity(F.col("a_tokens"), F.col("b_tokens"), text.trigrams(F.col("a_norm")), text.trigrams(F.col("b_norm")))
+    s = text.similarity(F.col("a_tokens"), F.col("b_tokens"), F.col("a_grams"), F.col("b_grams"))
     j = j.withColumn("similarity", s)
     same = lambda c: F.coalesce((F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col(f"a_{c}") != ""), F.lit(False))
     rule = repost_rule(F.col("similarity"), same("content_hash"), same("url"), same("norm") & (F.length("a_norm") >= 25), same("author"), F.size("a_tokens"))

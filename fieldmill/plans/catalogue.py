@@ -465,18 +465,6 @@ def star_pairs(spark, d):
     return shaping.star_pairs(_signals(spark, d))
 
 
-def _items(spark, d):
-    norm = text.normalise_repost(F.col("text"))
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), norm.alias("norm"), F.lit(None).cast("string").alias("url"), F.concat("source", F.lit("/"), F.col("n_chars") % 50).alias("author"))
-    return rows.withColumn("content_hash", F.sha2("norm", 256)).withColumn("tokens", text.tokens(F.col("norm")))
-
-
-@query()
-def repost_edges(spark, d):
-    items = _items(spark, d)
-    return dedupe.repost_edges(items, items.count()).withColumn("similarity", F.round("similarity", 4)).withColumn("confidence", F.round("confidence", 4))
-
-
 @query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS cluster FROM documents")
 def exact_clusters(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"))
