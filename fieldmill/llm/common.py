@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts run to some 100 KB, so a batch stays within tens of MB.
-ARROW_ROWS = 400
+ARROW_ROWS = 800
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

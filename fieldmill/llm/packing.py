@@ -28,16 +28,25 @@ def tokenizer_file(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(text)
 
 
+def byte_characters() -> dict[int, str]:
+    """Byte -> the character that stands for it in the tokenizer's model: itself if it is visible, else one from 256 on in turn."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def encoder(text: str) -> tuple:
-    """(tokenizer, memo of pre-tokens) of a process. Pre-tokens go to the tokenizers library, each distinct one once."""
+    """(tokenizer, memo of pre-tokens) of a process. Pre-tokens go to the model of the tokenizers library, each distinct one once."""
     key = zlib.crc32(text.encode())
     if key not in _ENCODERS:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(text)
 
+        model, shown = t.model, byte_characters()
+
         def many(words: list[str]) -> list[bytes]:
-            return [np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+            return [np.array([x.id for x in model.tokenize(w.encode().decode("latin-1").translate(shown))], "<u4").tobytes() for w in words]
 
         _ENCODERS[key] = t, tokens.Memo(many)
     return _ENCODERS[key]

@@ -44,9 +44,12 @@ class Memo(dict):
     def of(self, words: list[str]) -> list[bytes]:
         if len(self) > REMEMBERED:
             self.clear()
-        if missing := [w for w in words if w not in self]:
-            self.update(zip(missing, self.many(missing)))
-        return [self[w] for w in words]
+        out = list(map(self.get, words))
+        if gaps := [i for i, x in enumerate(out) if x is None]:
+            missing = [words[i] for i in gaps]
+            for i, w, x in zip(gaps, missing, self.many(missing)):
+                self[w] = out[i] = x
+        return out
 
 
 def batch_ids(words: pa.ListArray, odd: pa.Array, memo: Memo, odd_words: Callable[[str], list[str]] | None, odd_ids: Callable[[str], np.ndarray] | None = None) -> Iterator[np.ndarray]:
