@@ -92,20 +92,28 @@ def price_cents(c: Column, riel_per_dollar: int = 4000) -> Column:
 NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 
 
-def room_count(c: Column, unit: str) -> Column:
-    """The number before a unit's word if all mentions agree, else null."""
+BEDS, BATHS = "bed ?rooms?|brs?|beds?", "bath ?rooms?|baths?"
+
+
+def room_values(c: Column, unit: str) -> Column:
+    """The distinct numbers before a unit's word; more than one is a conflict."""
     found = F.regexp_extract_all(F.lower(c), F.lit(rf"([0-9]{{1,2}}|{'|'.join(NUMBERS)})[ -]?(?:{unit})"), F.lit(1))
     words = F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])
-    values = F.array_distinct(F.transform(found, lambda x: F.coalesce(x.try_cast("int"), words[x])))
+    return F.array_distinct(F.transform(found, lambda x: F.coalesce(x.try_cast("int"), words[x])))
+
+
+def room_count(c: Column, unit: str) -> Column:
+    """The number before a unit's word if all mentions agree, else null."""
+    values = room_values(c, unit)
     return F.when(F.size(values) == 1, F.element_at(values, 1))
 
 
 def bedrooms(c: Column) -> Column:
-    return room_count(c, "bed ?rooms?|brs?|beds?")
+    return room_count(c, BEDS)
 
 
 def bathrooms(c: Column) -> Column:
-    return room_count(c, "bath ?rooms?|baths?")
+    return room_count(c, BATHS)
 
 
 def has_pool(c: Column) -> Column:
