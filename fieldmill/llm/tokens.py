@@ -6,6 +6,7 @@ once and gathers the ids of all pre-tokens with numpy. How a pre-token gets its
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,18 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Code points whose letter, number and space classes are alike in the Unicode versions of Java 17 and of the tokenizers' libraries.
-STABLE = r"\x{0}-\x{7FF}\x{2000}-\x{2BFF}\x{3000}-\x{30FF}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}"
+#: Code points outside those whose letter, number and space classes are alike in the Unicode versions of Java 17 and of the tokenizers' libraries.
+RARE = re.compile("[^\u0000-\u07ff\u2000-\u2bff\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 
 #: Distinct pre-tokens that a worker remembers; it forgets all of them beyond.
 REMEMBERED = 400_000
 
 
 def with_pretokens(df: DataFrame, text: Column, pattern: str, keep: list[Column], special: str | None = None) -> DataFrame:
-    """keep, with `_words` (pre-tokens by the pattern) or, for texts with code points outside STABLE or with the special token's string, `_odd` (the text)."""
-    odd = F.col("_text").rlike(f"[^{STABLE}]")
-    if special:
-        odd = odd | F.contains(F.col("_text"), F.lit(special))
+    """keep, with `_words` (pre-tokens by the pattern) or, for texts with the special token's string, `_odd` (the text). The pattern must leave no character out."""
+    odd = F.contains(F.col("_text"), F.lit(special)) if special else F.lit(False)
     words = F.regexp_extract_all(F.col("_text"), F.lit("(?U)" + pattern), F.lit(0))
     names = [f"_k{i}" for i in range(len(keep))]
     return (
@@ -53,13 +52,19 @@ class Memo(dict):
 
 
 def batch_ids(words: pa.ListArray, odd: pa.Array, memo: Memo, odd_words: Callable[[str], list[str]] | None, odd_ids: Callable[[str], np.ndarray] | None = None) -> Iterator[np.ndarray]:
-    """The ids of each text of a batch, in order."""
+    """The ids of each text of a batch, in order.
+
+    A text with RARE code points is odd too: the pattern leaves no character out, so its pre-tokens side by side are the text.
+    """
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
     flat = words.flatten()
     coded = flat.dictionary_encode()
     inverse = coded.indices.to_numpy(zero_copy_only=False)
-    parts = memo.of(coded.dictionary.to_pylist())
+    distinct = coded.dictionary.to_pylist()
+    parts = memo.of(distinct)
+    rare = np.fromiter((not w.isascii() and RARE.search(w) is not None for w in distinct), bool, len(distinct))
+    rare = np.concatenate([np.zeros(1, np.int64), np.cumsum(rare[inverse]) if len(distinct) else np.zeros(0, np.int64)])
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
     starts = np.cumsum(lengths) - lengths
     pool = np.frombuffer(b"".join(parts), "<u4")
@@ -73,9 +78,11 @@ def batch_ids(words: pa.ListArray, odd: pa.Array, memo: Memo, odd_words: Callabl
     sizes = np.fromiter((0 if n is None else n for n in pa.compute.list_value_length(words).to_pylist()), np.int64, len(words))
     at = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
     for i, is_odd in enumerate(odd.is_valid().to_pylist()):
-        if not is_odd:
+        if not is_odd and rare[at[i]] == rare[at[i + 1]]:
             yield ids[ends[at[i]] : ends[at[i + 1]]]
-        elif odd_ids is not None:
-            yield odd_ids(odd[i].as_py())
+            continue
+        text = odd[i].as_py() if is_odd else "".join(words[i].as_py())
+        if odd_ids is not None:
+            yield odd_ids(text)
         else:
-            yield np.frombuffer(b"".join(memo.of(odd_words(odd[i].as_py()))), "<u4")
+            yield np.frombuffer(b"".join(memo.of(odd_words(text))), "<u4")

@@ -15,6 +15,7 @@ PASSAGE = " ".join(f"p{i}" for i in range(60))
 TEXTS = [
     "hello  world", "hello world", "hello\tworld", None, "", "   ", LONG, LONG + " end", "a" * 5000, "é日本 <|endoftext|>\u0085x", PASSAGE, "start " + PASSAGE + " stop", "one two",
     "mail a.b@c.example.org or 10.0.0.1, 256.1.1.1, card 4111 1111 1111 1111, call +1 (555) 123-4567 x@y.z.q_r@s.tu", "hello world",
+    "rare 😀😀 ok\u1c89\u2e80x  \U000105c0y ꟍ1",
 ]
 
 
