@@ -60,7 +60,7 @@ SEQUENCE = "part int, row long, doc_id long, start long, n_tokens long, ids_crc3
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, width: int = WIDTH) -> DataFrame:
-    """Every document's ids and the id 0 in sequences of `length`, the last one padded with zeros to the stride, as a table in the shared folder.
+    """Every document's ids and the id 0 in sequences of `length` and a shorter last one, as a table in the shared folder.
 
     (part, row) number the sequences of a write; as the table is written once, a task that runs again reads the same numbers.
     """
@@ -82,7 +82,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                 data = np.append(ids, 0).astype(kind).tobytes()
                 for at in range(0, len(data), width * length):
                     piece = data[at : at + width * length]
-                    for column, x in zip(out, (part, row, doc, at // width, len(piece) // width, zlib.crc32(piece), piece.ljust(width * length, b"\0"))):
+                    for column, x in zip(out, (part, row, doc, at // width, len(piece) // width, zlib.crc32(piece), piece)):
                         column.append(x)
                     row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int32(), *[pa.int64()] * 5, pa.binary()])], names=["part", "row", "doc_id", "start", "n_tokens", "ids_crc32", "payload"])
@@ -91,7 +91,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
 
 def training_order(sequences: DataFrame, key: bytes = KEY, shard_rows: int = SHARD_ROWS, stride: int = LENGTH * WIDTH) -> DataFrame:
-    """The sequences of tokenised() with slot, shard and byte_offset, range-partitioned by slot and sorted.
+    """The sequences of tokenised() with slot, shard and byte_offset, range-partitioned by slot and sorted; payloads are padded with zeros to the stride behind the shuffle.
 
     A sequence's index is the number of sequences in earlier parts (a count for each part, some bytes a task, is all that
     the driver sees) and its row; the keyed permutation sends the index to its slot. Slots are 0 to N - 1 without gaps;
@@ -111,7 +111,8 @@ def training_order(sequences: DataFrame, key: bytes = KEY, shard_rows: int = SHA
 
     out = sequences.withColumn("slot", slot("part", "row")).withColumn("shard", F.floor(F.col("slot") / F.lit(shard_rows)))
     out = out.withColumn("byte_offset", (F.col("slot") - F.col("shard") * shard_rows) * stride)
-    return out.drop("part", "row").repartitionByRange("slot").sortWithinPartitions("slot")
+    out = out.drop("part", "row").repartitionByRange("slot").sortWithinPartitions("slot")
+    return out.withColumn("payload", F.rpad("payload", stride, F.lit(b"\0")))
 
 
 def materialise(docs: DataFrame, tokenizer_path: str, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, width: int = WIDTH, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 RARE = re.compile("[^\u0000-\u07ff\u2000-\u2bff\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 
 #: Distinct pre-tokens that a worker remembers; it forgets all of them beyond.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def with_pretokens(df: DataFrame, text: Column, pattern: str, keep: list[Column], special: str | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ def batch_ids(words: pa.ListArray, odd: pa.Array, memo: Memo, odd_words: Callabl
     flat = words.flatten()
     coded = flat.dictionary_encode()
     inverse = coded.indices.to_numpy(zero_copy_only=False)
-    distinct = coded.dictionary.to_pylist()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     parts = memo.of(distinct)
     rare = np.fromiter((not w.isascii() and RARE.search(w) is not None for w in distinct), bool, len(distinct))
     rare = np.concatenate([np.zeros(1, np.int64), np.cumsum(rare[inverse]) if len(distinct) else np.zeros(0, np.int64)])
