@@ -104,6 +104,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Of similar_documents(): fingerprints of a text's word set, words of a shingle, least share of common shingles.
 VIEWS, SIMILAR_WORDS, SIMILARITY = 4, 5, 0.8
+#: Documents that shingles are counted in, and the most shingles that are known as common. Both only set the order of shingles, never what is found.
+COUNTED_DOCS, COMMON_SHINGLES = 50_000, 500_000
+EPS = 1e-9
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -134,6 +137,77 @@ def word_set_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFr
     return common.cut(rows.mapInArrow(run, "node long, _fps array<long>")).select("node", F.posexplode("_fps").alias("f", "fp"))
 
 
+def _shingles(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles of SIMILAR_WORDS words."""
+    w = text.lower().split()
+    return _hashes([b" ".join(w)] if len(w) < SIMILAR_WORDS else map(b" ".join, zip(*(w[i:] for i in range(SIMILAR_WORDS)))))
+
+
+def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles found in three or more of some COUNTED_DOCS documents: those that prefixes take last."""
+    rows = docs.where(F.col(id_col).isNotNull())
+    some = rows.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-rows.count() // COUNTED_DOCS)))) == 0).select(common.text_of(text_col).cast("binary").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b["_t"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text).view("<i8"))], names=["g"])
+
+    top = some.mapInArrow(run, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "g").limit(COMMON_SHINGLES).toArrow()
+    g, n = top["g"].to_numpy().view("<u8"), top["n"].to_numpy()
+    order = np.argsort(g)
+    return g[order], n[order]
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, size, g, at: each text's first shingles in one order for all texts, rare ones first, with their places.
+
+    Texts with SIMILARITY of n shingles in common share one of the first n - ceil(SIMILARITY n) + 1, whatever the order;
+    shingles that no other row has among its first are left out.
+    """
+    common.arrow_batches(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), common.text_of(text_col).cast("binary").alias("_t"))
+
+    def first(text: bytes) -> tuple[np.ndarray, int]:
+        if not text.split():
+            return np.zeros(0, "<i8"), 0
+        h, (g, n) = _shingles(text), known.value
+        count = np.zeros(len(h), np.int64)
+        if len(g):
+            at = np.minimum(np.searchsorted(g, h), len(g) - 1)
+            count = np.where(g[at] == h, n[at], 0)
+        keep = len(h) - int(np.ceil(SIMILARITY * len(h) - EPS)) + 1
+        return h[np.lexsort((h, count))[:keep]].view("<i8"), len(h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b["node"].to_numpy(), b["_t"]
+            for i in range(0, len(ids), 50):
+                found = [first(t.as_py()) for t in texts[i : i + 50]]
+                long = [len(h) for h, _ in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[i : i + 50], long)), pa.array(np.repeat([n for _, n in found], long).astype("<i4")), pa.array(np.concatenate([h for h, _ in found])), pa.array(np.concatenate([np.arange(x, dtype="<i4") for x in long]))],
+                    names=["node", "size", "g", "at"],
+                )
+
+    entries = rows.mapInArrow(run, "node long, size int, g long, at int")
+    w = Window.partitionBy("g").orderBy("size", "node")
+    beside = entries.select("*", F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
+    return common.cut(beside.where("before IS NOT NULL OR after IS NOT NULL").select("node", "size", "g", "at", "before"))
+
+
+def prefix_matches(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of nodes of different labels that have a shingle of their prefixes in common and can, by their sizes
+    and the shingle's places, have SIMILARITY of their shingles in common."""
+    labelled = entries.join(labels, "node", "left").select("node", "size", "g", "at", F.coalesce("component", "node").alias("label"))
+    a = labelled.select("g", F.col("node").alias("src"), F.col("size").alias("asize"), F.col("at").alias("aat"), F.col("label").alias("alabel"))
+    b = labelled.select("g", F.col("node").alias("dst"), F.col("size").alias("bsize"), F.col("at").alias("bat"), F.col("label").alias("blabel"))
+    most = F.least(F.col("aat"), F.col("bat")) + F.least(F.col("asize") - F.col("aat"), F.col("bsize") - F.col("bat"))
+    size = (F.least("asize", "bsize") >= SIMILARITY * F.greatest("asize", "bsize") - EPS) & (most * (1 + SIMILARITY) >= SIMILARITY * (F.col("asize") + F.col("bsize")) - EPS)
+    return a.join(b, "g").where((F.col("src") > F.col("dst")) & (F.col("alabel") != F.col("blabel")) & size).select("src", "dst").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (src, dst) whose texts share at least SIMILARITY of their sets of SIMILAR_WORDS-word shingles."""
     pairs = common.cut(pairs.select("src", "dst").distinct())
@@ -142,11 +216,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text in b["_t"].to_pylist():
-                w = text.lower().split()
-                grams = [b" ".join(w)] if len(w) < SIMILAR_WORDS else map(b" ".join, zip(*(w[i:] for i in range(SIMILAR_WORDS))))
-                out.append(_hashes(grams).tobytes())
+            out = [_shingles(text).tobytes() for text in b["_t"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["_id"], pa.array(out, pa.binary())], names=["_id", "_g"])
 
     grams = rows.mapInArrow(sets, "_id long, _g binary")
@@ -158,7 +228,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
             for x, y in zip(b["_a"].to_pylist(), b["_b"].to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 common_ = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(common_ >= SIMILARITY * (len(x) + len(y) - common_))
+                same.append(common_ >= SIMILARITY * (len(x) + len(y) - common_) - EPS)
             mask = pa.array(same, pa.bool_())
             yield pa.RecordBatch.from_arrays([b["src"].filter(mask), b["dst"].filter(mask)], names=["src", "dst"])
 
@@ -168,14 +238,15 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of the documents that are linked: at least SIMILARITY of five-word shingles in common.
 
-    Candidates are pairs within MOST_BITS bits in one of VIEWS fingerprints, found by multi-index hashing; a change of a
-    few words moves few bits of a word set's fingerprint, so views of word sets find pairs that a single fingerprint of
-    shingles at this distance would miss. Candidates are held against the texts. Null identifiers take no part; of rows
-    that share an identifier, all stand for it.
+    Pairs that are neighbours by one of VIEWS fingerprints of their word sets, or by a shingle of their prefixes, are held
+    against the texts first; their links' labels only spare known links. All pairs of different labels that share a shingle
+    of their prefixes follow, which no pair of SIMILARITY can lack, so no link is lost. Null identifiers and texts without
+    words take no part; of rows that share an identifier, all stand for it.
     """
-    rows = word_set_fingerprints(docs, id_col, text_col)
-    near = verified(neighbours(rows), docs, id_col, text_col)
-    far = verified(ball_matches(rows, connected_components(near, rounds=LABEL_ROUNDS)), docs, id_col, text_col)
+    rows, entries = word_set_fingerprints(docs, id_col, text_col), prefixes(docs, id_col, text_col)
+    beside = entries.where("before <> node").select(F.greatest("before", "node").alias("src"), F.least("before", "node").alias("dst"))
+    near = verified(neighbours(rows).unionByName(beside), docs, id_col, text_col)
+    far = verified(prefix_matches(entries, connected_components(near, rounds=LABEL_ROUNDS)), docs, id_col, text_col)
     return connected_components(near.unionByName(far))
 
 

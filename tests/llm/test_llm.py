@@ -125,6 +125,26 @@ def test_similar_documents(spark):
     assert {r["doc_id"] for r in simhash.keep_one(rows).collect()} == {1, 3, 4}
 
 
+def test_similar_documents_finds_cut_inserted_and_appended_copies(spark):
+    rng = np.random.default_rng(11)
+    texts = {}
+    for i in range(40):
+        n = (12, 60, 200, 700)[i % 4]
+        w = [f"v{x}" for x in rng.integers(0, 3000, n)] if i % 5 else [f"v{x}" for x in rng.integers(0, 3000, n)] + [f"shared{x}" for x in range(30)]
+        at = len(w) // 2
+        copies = [w, w[: len(w) - len(w) // 9], w[:at] + [f"in{i}x{x}" for x in range(len(w) // 9)] + w[at:], [*w, "last"], w[: len(w) // 2]]
+        texts |= {i * 10 + j: " ".join(c) for j, c in enumerate(copies)}
+    grams = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    pairs = [(a, b) for a in texts for b in texts if a < b and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])]
+    assert {(a % 10, b % 10) for a, b in pairs} >= {(0, 1), (0, 2), (0, 3)}
+    want = {x: x for p in pairs for x in p}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["node"]: r["component"] for r in got.collect()} == want
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 20))
