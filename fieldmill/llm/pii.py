@@ -15,12 +15,12 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 TERM = r"[\p{L}\p{N}]{4,}"
-#: Code points on either side of a span that count as its context; documents in which an entity, and an entity with a term, must occur.
-CONTEXT, SUPPORT = 60, 3
-#: Share of an entity's information that a term must disclose to be removed, or to be generalised; share of the entity's documents it must occur in.
-REMOVE, GENERALISE, COVERAGE = 0.95, 0.85, 0.5
-#: Candidate terms that are broadcast at most; more are joined by a shuffle.
-BROADCAST_TERMS = 200_000
+#: Texts in which an entity, and an entity with a term, must occur.
+SUPPORT = 3
+#: Share of an entity's information that a term must disclose to be removed, or to be generalised.
+REMOVE, GENERALISE = 0.95, 0.85
+#: Rows of a table of entities, terms or texts' keys that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _digits(x: Column) -> Column:
@@ -80,65 +80,81 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context_terms(text: Column, span: Column) -> Column:
-    """(term, start, end) of the words within CONTEXT code points of a span; a word that the edge cuts is left out."""
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with every code point of its spans a space, so that places stay."""
+
+    def add(acc: Column, s: Column) -> Column:
+        first = F.greatest(acc["at"], s["start"])
+        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, first - acc["at"]), F.repeat(F.lit(" "), s["end"] - first))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+
+    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
-    def side(start: Column, end: Column) -> Column:
-        piece = F.substring(text, start + 1, end - start)
-        return F.transform(
-            F.filter(located(piece, TERM), lambda t: (t["start"] > 0) & (t["end"] < end - start)),
-            lambda t: F.struct(F.lower(t["m"]).alias("term"), (t["start"] + start).alias("start"), (t["end"] + start).alias("end")),
-        )
 
-    return F.concat(side(F.greatest(span["start"] - CONTEXT, F.lit(0)), span["start"]), side(span["end"], span["end"] + CONTEXT))
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (hash of the text), base spans, and each span's context terms; in the shared folder, without the texts."""
+    """doc_id, key (hash of the text), base spans, and the text's distinct terms outside of them; in the shared folder, without the texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("_t"))
     rows = rows.select("doc_id", F.xxhash64("_t").alias("key"), "_t", base_spans(F.col("_t")).alias("base"))
-    terms = F.transform("base", lambda s: F.struct(s["entity"].alias("entity"), _context_terms(F.col("_t"), s).alias("terms")))
-    return common.cut(rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, terms).alias("near")))
+    words = F.regexp_extract_all(blanked(F.col("_t"), F.col("base")), F.lit(TERM), F.lit(0))
+    return common.written(rows.select("doc_id", "key", "base", F.array_distinct(F.transform(words, F.lower)).alias("terms")), "pii")
 
 
-def disclosing(docs: DataFrame, base: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """entity, term, action: the terms whose co-occurrence with an entity in the corpus discloses it.
+def disclosing(texts: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """entity, term, action: the terms whose co-occurrence with an entity in the corpus discloses it. texts: found(), a row for each key.
 
     With N texts, IC(e) = log2(N / n(e)) and PMI(e, t) = log2(n(e, t) N / (n(e) n(t))), the share PMI / IC is 1 if t is
-    never found without e. Texts are counted once, however many copies there are; all texts are counted.
+    never found without e. All counts are of whole texts, wherever in them e and t stand; texts are counted once, however
+    many copies there are. An entity of every text has no information to disclose.
     """
-    spark = docs.sparkSession
-    mentions = base.where(F.size("base") > 0).select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.terms")
-    entities = mentions.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    near = mentions.select("key", "entity", F.explode("terms").alias("t")).select("key", "entity", "t.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support).join(entities, "entity")
-    pairs = common.cut(pairs.where(F.col("n_et") >= COVERAGE * F.col("n_e")))
-    terms = pairs.select("term").distinct()
-    count = terms.count()
-    if not count:
-        return pairs.select("entity", "term", F.lit("").alias("action"))
-    if count <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    words = docs.select(common.text_of(text_col).alias("_t")).select(F.xxhash64("_t").alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(terms, "term").groupBy("term").agg(F.countDistinct("key").alias("n_t"))
-    total = base.agg(F.countDistinct("key").alias("n")).first()["n"]
-    share = 1 + F.log2(F.col("n_et") / F.col("n_t")) / F.greatest(F.log2(F.lit(float(total)) / F.col("n_e")), F.lit(1e-9))
+    total = texts.count()
+    mentions = texts.where(F.size("base") > 0).select("terms", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity"))
+    entities = common.cut(mentions.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < total)))
+    pairs = mentions.join(_small(entities), "entity").select("entity", "n_e", F.explode("terms").alias("term"))
+    pairs = common.cut(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support))
+    n_t = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    share = 1 + F.log2(F.col("n_et") / F.col("n_t")) / F.log2(F.lit(float(total)) / F.col("n_e"))
     scored = pairs.join(n_t, "term").withColumn("share", F.when(F.col("n_et") >= F.col("n_t"), 1.0).otherwise(share))
     return scored.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised").alias("action"))
 
 
+def _placed(text: Column, marks: Column) -> Column:
+    """Spans of the terms in a text that marks (array of term and order) names, in one walk over its words."""
+    words, between = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    pairs = F.zip_with(words, F.slice(between, F.lit(1), F.size(words)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+    orders = F.map_from_entries(marks)
+
+    def add(acc: Column, x: Column) -> Column:
+        first, order = acc["at"] + x["g"], orders[F.lower(x["m"])]
+        last = first + F.length(x["m"])
+        kind = F.when(order == 4, "removed").otherwise("generalised")
+        span = F.struct(first.alias("start"), order.alias("order"), kind.alias("kind"), last.alias("end"), F.lit("").alias("entity"))
+        return F.struct(last.alias("at"), F.when(order.isNotNull(), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), add, lambda acc: acc["out"])
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """doc_id, key, base, all_spans for each row of docs: base spans and those of terms that disclose an entity near them.
+    """doc_id, key, base, all_spans for each row of docs: base spans and those of terms that disclose an entity, wherever a text has them.
 
     A null text counts as empty and has no spans; a null doc_id stays null; repeated rows are kept, each with its spans.
     An empty table gives an empty result; other columns are not read. Texts are searched whole, in time linear in their
-    length but for the numbers of matches.
+    length but for the numbers of spans.
     """
-    base = found(docs, id_col, text_col)
-    terms = disclosing(docs, base, text_col, support)
-    placed = base.where(F.size("base") > 0).select("key", F.explode("near").alias("x")).select("key", "x.entity", F.explode("x.terms").alias("t")).select("key", "entity", "t.*").distinct()
-    extra = placed.join(terms, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("start", F.when(F.col("action") == "removed", 4).otherwise(5).alias("order"), F.col("action").alias("kind"), "end", F.lit("").alias("entity"))).alias("extra"))
-    out = base.drop("near").join(extra, "key", "left")
+    rows = found(docs, id_col, text_col)
+    base, each = rows.drop("terms"), rows.select("key", "base", "terms")
+    copied = _small(common.cut(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")))
+    texts = each.join(copied, "key", "left_anti").unionByName(each.join(copied, "key", "left_semi").dropDuplicates(["key"]))
+    terms = common.cut(disclosing(texts, support).groupBy("term").agg(F.min(F.when(F.col("action") == "removed", 4).otherwise(5)).alias("order")))
+    hits = texts.select("key", F.explode("terms").alias("term")).join(_small(terms), "term").groupBy("key").agg(F.collect_list(F.struct("term", "order")).alias("marks"))
+    hits = common.cut(hits.join(texts.select("key", F.col("base").alias("_base")), "key"))
+    with_text = docs.select(common.text_of(text_col).alias("_t")).withColumn("key", F.xxhash64("_t")).join(_small(hits), "key")
+    extra = with_text.select("key", _placed(blanked(F.col("_t"), F.col("_base")), F.col("marks")).alias("extra")).dropDuplicates(["key"])
+    out = base.join(extra, "key", "left")
     return out.select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce(F.col("extra").cast(SPANS), F.array().cast(SPANS)))).alias("all_spans"))
 
 

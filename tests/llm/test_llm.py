@@ -170,6 +170,23 @@ def test_pii_base_and_disclosed_terms(docs, spark):
     assert "Zebulon" not in out[0] and "[EMAIL]" in out[0] and "written" in out[0] and out[100] == rows[8][1]
 
 
+def test_pii_terms_of_whole_texts(spark):
+    far = "filler words " * 20
+    with_name = [(i, f"Zebulon opens text {i} for z@x.org. " + far + ("Zebulon ends" if i % 2 else "nothing ends")) for i in range(4)]
+    without_name = [(10 + i, f"other text {i} for z@x.org. " + far) for i in range(6)]
+    distant = [(20 + i, f"call q@x.org about {i}. " + far + "then ask Quillon or quillon") for i in range(4)]
+    rows = with_name + without_name + distant + [(100 + i, f"other text {i} opens and ends with nothing, then call about, ask for {far}") for i in range(80)]
+    rows += [(200, "a quillon in a text of its own")] + [(201 + i, "q@x.org alone, note %d" % i) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert not [i for i, t in out.items() if "Zebulon" in t]  # in 40% of the entity's texts, at the start of texts and far from it
+    assert not [i for i, t in out.items() if "uillon" in t] and out[200] == "a [TERM] in a text of its own"
+    assert out[100] == dict(rows)[100] and "filler words" in out[0]
+    spans = {r["doc_id"]: r["all_spans"] for r in pii.find_spans(df).where("doc_id IN (1, 20)").collect()}
+    assert [dict(rows)[1][s["start"] : s["end"]] for s in spans[1]] == ["Zebulon", "z@x.org", "Zebulon"]
+    assert [dict(rows)[20][s["start"] : s["end"]] for s in spans[20]] == ["q@x.org", "Quillon", "quillon"]
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; more</h1><p>One<br>two <b>bold</b>ly<p>three</article><div id=comments>No</div><footer>F</footer>"
     rows = spark.createDataFrame([(1, "http://h.example/a", page), (2, "http://h.example/b", None), (3, None, "<p>plain"), (1, "http://h.example/a", page)], "page_id long, url string, html string")
