@@ -262,6 +262,12 @@ def lateral_unnest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 3)).alias("p", "word")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "word")
 
 
+@query()
+def unnest_words(spark, d):
+    """Every word of every document; lateral_unnest is its first three, as that query's SQL has them."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "word")
+
+
 FILTERS = "filters AS (SELECT s_suppkey AS filter_id, s_nationkey AS user_id, CAST(90000 + s_suppkey % 7 * 5000 AS BIGINT) AS low, CAST(110000 + s_suppkey % 7 * 5000 AS BIGINT) AS high, CAST(1 + s_suppkey % 6 AS BIGINT) AS rooms FROM supplier WHERE s_acctbal > 0)"
 
 

@@ -65,6 +65,15 @@ def test_text_functions(spark):
     assert tuple(one(spark, geo.coordinates(F.lit("https://maps.example/@13.36,103.86,17z")))) == (13.36, 103.86)
 
 
+def test_unnest_words_gives_the_whole_array(spark, tmp_path):
+    from fieldmill.plans import catalogue
+
+    texts = {1: "a b c d e", 2: "one", 3: None, 4: " x  y "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in catalogue.QUERIES["unnest_words"](spark, str(tmp_path)).orderBy("doc_id", "pos").collect()]
+    assert got == [(i, k, w) for i, t in texts.items() if t is not None for k, w in enumerate(t.split(" "), 1)]
+
+
 def test_state_machine(spark):
     h = 3600
     rows = [(1, "REMOVED", 0), (1, "REMOVED", 60), (2, "REMOVED", 0), (2, "REMOVED", 6 * h), (3, "REMOVED", 0), (3, "ALIVE", h), (3, "REMOVED", 7 * h), (4, "UNKNOWN", 0), (4, "UNKNOWN", 1), (4, "UNKNOWN", 2)]
