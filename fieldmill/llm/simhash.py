@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +106,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Of similar_documents(): fingerprints of a text's word set, words of a shingle, least share of common shingles.
 VIEWS, SIMILAR_WORDS, SIMILARITY = 4, 5, 0.8
-#: Documents that shingles are counted in, and the most shingles that are known as common. Both only set the order of shingles, never what is found.
-COUNTED_DOCS, COMMON_SHINGLES = 50_000, 500_000
+#: Counters of the sketch that orders shingles, its shards, and bits of a text's parity map. They steer the work, never what is found.
+COUNTER_BITS, COUNTER_SHARDS, PARITY_BITS = 20, 16, 1024
 EPS = 1e-9
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -143,84 +145,105 @@ def _shingles(text: bytes) -> np.ndarray:
     return _hashes([b" ".join(w)] if len(w) < SIMILAR_WORDS else map(b" ".join, zip(*(w[i:] for i in range(SIMILAR_WORDS)))))
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the shingles found in three or more of some COUNTED_DOCS documents: those that prefixes take last."""
-    rows = docs.where(F.col(id_col).isNotNull())
-    some = rows.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-rows.count() // COUNTED_DOCS)))) == 0).select(common.text_of(text_col).cast("binary").alias("_t"))
+def shingle_counts(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Counters of all documents' shingles by the leading bits of their hashes: every task counts its own, shards of the tasks' counters are added up in two steps."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(common.text_of(text_col).cast("binary").alias("_t"))
+    size, each = 1 << COUNTER_BITS, (1 << COUNTER_BITS) // COUNTER_SHARDS
+    schema = "shard int, part int, counts binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch(shards: list[int], part: int, counts: list[np.ndarray]) -> pa.RecordBatch:
+        blobs = [zlib.compress(c.tobytes(), 1) for c in counts]
+        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([part] * len(shards), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "part", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for b in batches:
             for text in b["_t"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text).view("<i8"))], names=["g"])
+                np.add.at(total, (_shingles(text) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+        yield batch(list(range(COUNTER_SHARDS)), TaskContext.get().partitionId(), np.split(total, COUNTER_SHARDS))
 
-    top = some.mapInArrow(run, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "g").limit(COMMON_SHINGLES).toArrow()
-    g, n = top["g"].to_numpy().view("<u8"), top["n"].to_numpy()
-    order = np.argsort(g)
-    return g[order], n[order]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for shard, blob in zip(b["shard"].to_pylist(), b["counts"].to_pylist()):
+                held[shard] = held.get(shard, 0) + np.frombuffer(zlib.decompress(blob), np.int64)
+        if held:
+            yield batch(list(held), 0, list(held.values()))
+
+    some = rows.mapInArrow(count, schema).repartition("shard", F.pmod("part", F.lit(64))).mapInArrow(add, schema)
+    out = np.zeros(size, np.int64)
+    for r in some.repartition(COUNTER_SHARDS, "shard").mapInArrow(add, schema).toLocalIterator():
+        out[r["shard"] * each : (r["shard"] + 1) * each] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+    return out
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, size, g, at: each text's first shingles in one order for all texts, rare ones first, with their places.
+    """node, g, at, before: each text's first shingles in one order for all texts, rare ones first, with their places.
 
     Texts with SIMILARITY of n shingles in common share one of the first n - ceil(SIMILARITY n) + 1, whatever the order;
     shingles that no other row has among its first are left out.
     """
     common.arrow_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col))
+    known = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, id_col, text_col))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), common.text_of(text_col).cast("binary").alias("_t"))
 
-    def first(text: bytes) -> tuple[np.ndarray, int]:
+    def first(text: bytes) -> np.ndarray:
         if not text.split():
-            return np.zeros(0, "<i8"), 0
-        h, (g, n) = _shingles(text), known.value
-        count = np.zeros(len(h), np.int64)
-        if len(g):
-            at = np.minimum(np.searchsorted(g, h), len(g) - 1)
-            count = np.where(g[at] == h, n[at], 0)
+            return np.zeros(0, "<i8")
+        h = _shingles(text)
         keep = len(h) - int(np.ceil(SIMILARITY * len(h) - EPS)) + 1
-        return h[np.lexsort((h, count))[:keep]].view("<i8"), len(h)
+        return h[np.lexsort((h, known.value[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))[:keep]].view("<i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b["node"].to_numpy(), b["_t"]
             for i in range(0, len(ids), 50):
                 found = [first(t.as_py()) for t in texts[i : i + 50]]
-                long = [len(h) for h, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[i : i + 50], long)), pa.array(np.repeat([n for _, n in found], long).astype("<i4")), pa.array(np.concatenate([h for h, _ in found])), pa.array(np.concatenate([np.arange(x, dtype="<i4") for x in long]))],
-                    names=["node", "size", "g", "at"],
-                )
-
-    entries = rows.mapInArrow(run, "node long, size int, g long, at int")
-    w = Window.partitionBy("g").orderBy("size", "node")
-    beside = entries.select("*", F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
-    return common.cut(beside.where("before IS NOT NULL OR after IS NOT NULL").select("node", "size", "g", "at", "before"))
+                long = [len(h) for h in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 50], long)), pa.array(np.concatenate(found)), pa.array(np.concatenate([np.arange(x, dtype="<i4") for x in long]))], names=["node", "g", "at"])
 
-
-def prefix_matches(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of nodes of different labels that have a shingle of their prefixes in common and can, by their sizes
-    and the shingle's places, have SIMILARITY of their shingles in common."""
-    labelled = entries.join(labels, "node", "left").select("node", "size", "g", "at", F.coalesce("component", "node").alias("label"))
-    a = labelled.select("g", F.col("node").alias("src"), F.col("size").alias("asize"), F.col("at").alias("aat"), F.col("label").alias("alabel"))
-    b = labelled.select("g", F.col("node").alias("dst"), F.col("size").alias("bsize"), F.col("at").alias("bat"), F.col("label").alias("blabel"))
-    most = F.least(F.col("aat"), F.col("bat")) + F.least(F.col("asize") - F.col("aat"), F.col("bsize") - F.col("bat"))
-    size = (F.least("asize", "bsize") >= SIMILARITY * F.greatest("asize", "bsize") - EPS) & (most * (1 + SIMILARITY) >= SIMILARITY * (F.col("asize") + F.col("bsize")) - EPS)
-    return a.join(b, "g").where((F.col("src") > F.col("dst")) & (F.col("alabel") != F.col("blabel")) & size).select("src", "dst").distinct()
+    entries = rows.mapInArrow(run, "node long, g long, at int")
+    w = Window.partitionBy("g").orderBy("node")
+    beside = entries.select("*", F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
+    return common.cut(beside.where("before IS NOT NULL OR after IS NOT NULL").select("node", "g", "at", "before"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (src, dst) whose texts share at least SIMILARITY of their sets of SIMILAR_WORDS-word shingles."""
-    pairs = common.cut(pairs.select("src", "dst").distinct())
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("_w")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), common.text_of(text_col).cast("binary").alias("_t")).join(wanted, F.col("_id") == F.col("_w"), "left_semi")
+def profiles(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, size, p0, p1, ..., grams of the rows with these identifiers: the number of their shingles, the parities of the shingles by PARITY_BITS values of a hash, and the shingles."""
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), common.text_of(text_col).cast("binary").alias("_t")).join(nodes, "node", "left_semi")
+    words = PARITY_BITS // 64
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_shingles(text).tobytes() for text in b["_t"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(out, pa.binary())], names=["_id", "_g"])
-
-    grams = rows.mapInArrow(sets, "_id long, _g binary")
-    both = pairs.join(grams.select(F.col("_id").alias("src"), F.col("_g").alias("_a")), "src").join(grams.select(F.col("_id").alias("dst"), F.col("_g").alias("_b")), "dst")
+            sets = [_shingles(text) if text.split() else np.zeros(0, "<u8") for text in b["_t"].to_pylist()]
+            odd = [np.bincount(((h * _MIX[0]) >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS) & 1 for h in sets]
+            bits = np.packbits(np.array(odd, np.uint8).reshape(-1, PARITY_BITS), axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays(
+                [b["node"], pa.array([len(h) for h in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(words)), pa.array([h.tobytes() for h in sets], pa.binary())],
+                names=["node", "size", *(f"p{i}" for i in range(words)), "grams"],
+            )
+
+    return common.written(rows.mapInArrow(run, "node long, size int, " + ", ".join(f"p{i} long" for i in range(words)) + ", grams binary"), "profiles")
+
+
+def prefix_matches(entries: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of nodes of different labels that can have SIMILARITY of their shingles in common, found at the
+    first shingle that they share: by their sizes, by its places, and by their parities, which differ in no more bits
+    than the sets do in shingles. known: profiles()."""
+    parity = [c for c in known.columns if c.startswith("p")]
+    rows = entries.select("node", "g", "at").join(known.drop("grams"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    a, b = rows.alias("a"), rows.alias("b")
+    size = F.col("a.size") + F.col("b.size")
+    unlike = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in parity[1:]), F.bit_count(F.col(f"a.{parity[0]}").bitwiseXOR(F.col(f"b.{parity[0]}"))))
+    able = (F.least("a.size", "b.size") >= SIMILARITY * F.greatest("a.size", "b.size") - EPS) & (F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) * (1 + SIMILARITY) >= SIMILARITY * size - EPS)
+    near = (size - unlike) * (1 + SIMILARITY) >= 2 * SIMILARITY * size - EPS
+    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & able & near
+    return a.join(b, on).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
+
+
+def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose texts share at least SIMILARITY of their sets of SIMILAR_WORDS-word shingles. known: profiles()."""
+    both = pairs.select("src", "dst").distinct().join(known.select(F.col("node").alias("src"), F.col("grams").alias("_a")), "src").join(known.select(F.col("node").alias("dst"), F.col("grams").alias("_b")), "dst")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,10 +266,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of their prefixes follow, which no pair of SIMILARITY can lack, so no link is lost. Null identifiers and texts without
     words take no part; of rows that share an identifier, all stand for it.
     """
-    rows, entries = word_set_fingerprints(docs, id_col, text_col), prefixes(docs, id_col, text_col)
+    entries = prefixes(docs, id_col, text_col)
     beside = entries.where("before <> node").select(F.greatest("before", "node").alias("src"), F.least("before", "node").alias("dst"))
-    near = verified(neighbours(rows).unionByName(beside), docs, id_col, text_col)
-    far = verified(prefix_matches(entries, connected_components(near, rounds=LABEL_ROUNDS)), docs, id_col, text_col)
+    pairs = common.cut(neighbours(word_set_fingerprints(docs, id_col, text_col)).unionByName(beside).distinct())
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(entries.select("node")).distinct()
+    known = profiles(docs, nodes, id_col, text_col)
+    near = verified(pairs, known)
+    far = verified(prefix_matches(entries, connected_components(near, rounds=LABEL_ROUNDS), known), known)
     return connected_components(near.unionByName(far))
 
 
