@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 TERM = r"[\p{L}\p{N}]{4,}"
+#: What a text must hold for a kind to be looked for; what stands for a code point of a span while terms are looked for; code points of a piece.
+CUES = ("@", r"[0-9]\.[0-9]", "[0-9]{2}|[0-9][ -][0-9]", r"\+[0-9]")
+MARK, PIECE = "\u0001", 1024
 #: Texts in which an entity, and an entity with a term, must occur.
 SUPPORT = 3
 #: Share of an entity's information that a term must disclose to be removed, or to be generalised.
@@ -43,19 +48,39 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, largest: bool = False) -> Column:
+    """Running sums (or maxima) of an array of int. Arrays are walked in blocks of about the root of their size, so appending stays cheap in long ones."""
+    step = F.greatest if largest else (lambda a, x: a + x)
+    none = F.array().cast("array<int>")
+
+    def blocks(v: Column) -> Column:
+        block = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        count = F.when(F.size(v) > 0, ((F.size(v) - 1) / block).cast("int")).otherwise(0)
+        return F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(v, i * block + 1, block))
+
+    def joined(runs: Column) -> Column:
+        last = F.transform(runs, lambda run: F.coalesce(F.try_element_at(run, F.lit(-1)), F.lit(0)))
+        before = F.aggregate(last, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, step(F.element_at(acc, -1), x)))
+        return F.flatten(F.zip_with(runs, F.slice(before, F.lit(1), F.size(runs)), lambda run, had: F.transform(run, lambda x: step(had, x))))
+
+    run = lambda part: F.aggregate(part, none, lambda acc, x: F.array_append(acc, step(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x)))
+    return _let(F.transform(_let(values, blocks), run), joined)
+
+
 def located(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of a pattern's matches, in code points: what lies between matches gives their places."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.transform(between, lambda g: F.length(g)).alias("g"))
-    pairs = F.slice(pairs, F.lit(1), F.size(found))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        first = acc["at"] + x["1"]
-        last = first + F.length(x["0"])
-        return F.struct(last.alias("at"), F.array_append(acc["out"], F.struct(first.alias("start"), last.alias("end"), x["0"].alias("m"))).alias("out"))
+    def placed(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = _running(F.zip_with(found, between, lambda m, gap: F.length(gap) + F.length(m)))
+        return F.zip_with(found, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("m")))
 
-    return F.aggregate(F.transform(pairs, lambda x: F.struct(x["m"].alias("0"), x["g"].alias("1"))), start, add, lambda acc: acc["out"])
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 SPANS = "array<struct<start:int,order:int,kind:string,end:int,entity:string>>"
@@ -68,11 +93,11 @@ def base_spans(text: Column) -> Column:
             entity = F.lower(s["m"]) if kind in ("email", "ip") else _digits(s["m"])
             return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.concat(F.lit(kind + ":"), entity).alias("entity"))
 
-        some = F.contains(text, F.lit(cue)) if cue else text.rlike("[0-9]")
+        some = text.rlike(cue)
         spans = F.transform(F.filter(located(text, pattern), lambda s: _valid(kind, s["m"])), made)
         return F.when(some, spans).otherwise(F.array().cast(SPANS))
 
-    parts = [of(*x) for x in zip(range(len(KINDS)), KINDS, (EMAIL, IP, CARD, PHONE), ("@", ".", "", "+"))]
+    parts = [of(*x) for x in zip(range(len(KINDS)), KINDS, (EMAIL, IP, CARD, PHONE), CUES)]
     return F.array_sort(F.concat(*parts))
 
 
@@ -80,16 +105,30 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def blanked(text: Column, spans: Column) -> Column:
-    """The text with every code point of its spans a space, so that places stay."""
+def blanked(text: Column) -> Column:
+    """The text with every code point of what the kinds' patterns take from it, one kind after another, made a mark that is in no term, so that places stay."""
 
-    def add(acc: Column, s: Column) -> Column:
-        first = F.greatest(acc["at"], s["start"])
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, first - acc["at"]), F.repeat(F.lit(" "), s["end"] - first))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def without(text: Column, kind: str, pattern: str, cue: str) -> Column:
+        found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+        parts = F.zip_with(between, found, lambda gap, m: F.concat(gap, F.when(m.isNull(), "").when(_valid(kind, m), F.repeat(F.lit(MARK), F.length(m))).otherwise(m)))
+        return F.when(text.rlike(cue), F.array_join(parts, "")).otherwise(text)
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    for x in zip(KINDS, (EMAIL, IP, CARD, PHONE), CUES):
+        text = _let(text, partial(lambda args, t: without(t, *args), x))
+    return text
+
+
+def pieces(text: Column) -> Column:
+    """A text in pieces of PIECE code points, for cut()."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text in pieces(), without a walk over the text."""
+    first, last = (start / PIECE).cast("int"), ((end - 1) / PIECE).cast("int")
+    head, tail = F.get(parts, first), F.get(parts, last)
+    long = F.concat(F.substring(head, start % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(tail, F.lit(1), (end - 1) % PIECE + 1))
+    return F.when(start >= end, "").when(first == last, F.substring(head, start % PIECE + 1, end - start)).otherwise(long)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -97,10 +136,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (hash of the text), base spans, and the text's distinct terms outside of them; in the shared folder, without the texts."""
+    """doc_id, key (digest of the text), base spans, and the text's distinct terms outside of them; in the shared folder, without the texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("_t"))
-    rows = rows.select("doc_id", F.xxhash64("_t").alias("key"), "_t", base_spans(F.col("_t")).alias("base"))
-    words = F.regexp_extract_all(blanked(F.col("_t"), F.col("base")), F.lit(TERM), F.lit(0))
+    rows = rows.select("doc_id", F.md5("_t").alias("key"), "_t", base_spans(F.col("_t")).alias("base"))
+    words = F.regexp_extract_all(blanked(F.col("_t")), F.lit(TERM), F.lit(0))
     return common.written(rows.select("doc_id", "key", "base", F.array_distinct(F.transform(words, F.lower)).alias("terms")), "pii")
 
 
@@ -123,19 +162,11 @@ def disclosing(texts: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 
 def _placed(text: Column, marks: Column) -> Column:
-    """Spans of the terms in a text that marks (array of term and order) names, in one walk over its words."""
-    words, between = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
-    pairs = F.zip_with(words, F.slice(between, F.lit(1), F.size(words)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+    """Spans of the terms in a text that marks (array of term and order) names."""
     orders = F.map_from_entries(marks)
-
-    def add(acc: Column, x: Column) -> Column:
-        first, order = acc["at"] + x["g"], orders[F.lower(x["m"])]
-        last = first + F.length(x["m"])
-        kind = F.when(order == 4, "removed").otherwise("generalised")
-        span = F.struct(first.alias("start"), order.alias("order"), kind.alias("kind"), last.alias("end"), F.lit("").alias("entity"))
-        return F.struct(last.alias("at"), F.when(order.isNotNull(), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), add, lambda acc: acc["out"])
+    kind = lambda order: F.when(order == 4, "removed").otherwise("generalised")
+    hits = F.filter(F.transform(located(text, TERM), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), orders[F.lower(s["m"])].alias("order"))), lambda s: s["order"].isNotNull())
+    return F.transform(hits, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), kind(s["order"]).alias("kind"), s["end"].alias("end"), F.lit("").alias("entity")))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT) -> DataFrame:
@@ -151,9 +182,9 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = each.join(copied, "key", "left_anti").unionByName(each.join(copied, "key", "left_semi").dropDuplicates(["key"]))
     terms = common.cut(disclosing(texts, support).groupBy("term").agg(F.min(F.when(F.col("action") == "removed", 4).otherwise(5)).alias("order")))
     hits = texts.select("key", F.explode("terms").alias("term")).join(_small(terms), "term").groupBy("key").agg(F.collect_list(F.struct("term", "order")).alias("marks"))
-    hits = common.cut(hits.join(texts.select("key", F.col("base").alias("_base")), "key"))
-    with_text = docs.select(common.text_of(text_col).alias("_t")).withColumn("key", F.xxhash64("_t")).join(_small(hits), "key")
-    extra = with_text.select("key", _placed(blanked(F.col("_t"), F.col("_base")), F.col("marks")).alias("extra")).dropDuplicates(["key"])
+    hits = common.cut(hits)
+    with_text = docs.select(common.text_of(text_col).alias("_t")).withColumn("key", F.md5("_t")).join(_small(hits), "key")
+    extra = with_text.select("key", _placed(blanked(F.col("_t")), F.col("marks")).alias("extra")).dropDuplicates(["key"])
     out = base.join(extra, "key", "left")
     return out.select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce(F.col("extra").cast(SPANS), F.array().cast(SPANS)))).alias("all_spans"))
 
@@ -169,21 +200,28 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replaced(text: Column, spans: Column) -> Column:
-    """The text with its spans replaced: a removed term by nothing, a generalised one by [TERM], others by their kind in brackets. Of spans that overlap, the first names the place."""
-    label = lambda s: F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    """The text with its spans (by start) replaced: a removed term by nothing, a generalised one by its class ([NUMBER],
+    [CODE] of digits and letters, [NAME] with a leading capital, or [WORD]), others by their kind in brackets. Of spans
+    that overlap, the first names the place, and all of what they cover goes."""
+    general = lambda w: F.when(w.rlike(r"^\p{N}+$"), "[NUMBER]").when(w.rlike(r"\p{N}"), "[CODE]").when(w.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+    def whole(parts: Column, ends: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            had = F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+            named = F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", general(cut(parts, s["start"], s["end"]))).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.when(s["start"] >= had, F.concat(cut(parts, had, s["start"]), named)).otherwise("")
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label(s))).otherwise(acc["out"]).alias("out"))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(parts, F.element_at(ends, -1), F.length(text)))
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    ends = _running(F.transform(spans, lambda s: s["end"]), largest=True)
+    return F.when(F.size(spans) > 0, _let(pieces(text), lambda parts: _let(ends, lambda e: whole(parts, e)))).otherwise(text)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """docs with spans replaced in text_col, all other columns and rows unchanged; a null text stays null."""
-    spans = find_spans(docs, id_col, text_col, support).where(F.size("all_spans") > 0).select(F.col("key").alias("_key"), "all_spans").dropDuplicates(["_key"])
-    keyed = docs.withColumn("_text_key", F.xxhash64(common.text_of(text_col)))
-    out = keyed.join(spans, keyed["_text_key"] == spans["_key"], "left")
-    text = F.when(F.col("all_spans").isNotNull(), replaced(common.text_of(text_col), F.col("all_spans"))).otherwise(F.col(text_col))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    """docs with spans replaced in text_col, all other columns and rows unchanged; a null text stays null. Columns of any name may be there."""
+    spans = find_spans(docs, id_col, text_col, support).where(F.size("all_spans") > 0).select(F.col("key").alias("_pii_key"), F.col("all_spans").alias("_pii_spans")).dropDuplicates(["_pii_key"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.md5(common.text_of(text_col)).alias("_key"))
+    out = rows.join(spans, rows["_key"] == spans["_pii_key"], "left")
+    old = F.col("_row").getField(text_col)
+    text = F.when(F.col("_pii_spans").isNotNull(), replaced(F.coalesce(old.cast("string"), F.lit("")), F.col("_pii_spans"))).otherwise(old)
+    return out.select(*[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])

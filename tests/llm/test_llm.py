@@ -180,12 +180,52 @@ def test_pii_terms_of_whole_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
     assert not [i for i, t in out.items() if "Zebulon" in t]  # in 40% of the entity's texts, at the start of texts and far from it
-    assert not [i for i, t in out.items() if "uillon" in t] and out[200] == "a [TERM] in a text of its own"
+    assert not [i for i, t in out.items() if "uillon" in t] and out[200] == "a [WORD] in a text of its own"
     assert out[100] == dict(rows)[100] and "filler words" in out[0]
     spans = {r["doc_id"]: r["all_spans"] for r in pii.find_spans(df).where("doc_id IN (1, 20)").collect()}
     assert [dict(rows)[1][s["start"] : s["end"]] for s in spans[1]] == ["Zebulon", "z@x.org", "Zebulon"]
     assert [dict(rows)[20][s["start"] : s["end"]] for s in spans[20]] == ["q@x.org", "Quillon", "quillon"]
 
+def brute_spans(text):
+    """The base spans by plain search, kind by kind."""
+    import re
+
+    def luhn(d):
+        return sum(x if i % 2 == 0 else x * 2 // 10 + x * 2 % 10 for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([ -]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    ]
+    found = [(m.start(), k, kind, m.end()) for k, (kind, pattern, good) in enumerate(kinds) for m in re.finditer(pattern, text) if good(m[0])]
+    return [(kind, start, end) for start, _, kind, end in sorted(found)]
+
+
+def test_pii_base_spans_against_brute_force(spark):
+    import random
+
+    draw = random.Random(5)
+    bits = ["a.b@c.de", "x@y", "@", "10.0.0.1", "999.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+44 20 7946 0958", "12", " ", ".", "-", "\u00e4\U0001f600", "word", "+", "\n"]
+    texts = ["".join(draw.choice(bits) + draw.choice(["", " ", ", "]) for _ in range(draw.randrange(25))) for _ in range(400)] + [None, "", " ".join(f"u{i}@h{i}.org 10.0.{i % 300}.7" for i in range(5000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in pii.find_spans(df).collect()}
+    assert len(got) == len(texts) and all(got[i] == brute_spans(t or "") for i, t in enumerate(texts))
+
+
+def test_pii_replaces_overlaps_whole_and_keeps_other_columns(spark):
+    far = "x" * 3000
+    rows = [(1, f"{far} 4111 1111 1111 1111@x.org {far} 10.0.0.1", "a", 1), (1, f"{far} 4111 1111 1111 1111@x.org {far} 10.0.0.1", "a", 1), (2, None, "b", None), (None, "plain", None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _row int")
+    out = pii.sanitise(df)
+    assert out.columns == df.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    clean = f"{far} [CARD] {far} [IP]"
+    assert got == sorted([(1, clean, "a", 1), (1, clean, "a", 1), (2, None, "b", None), (None, "plain", None, 2)], key=str)
+    assert pii.sanitise(df.limit(0)).count() == 0 and pii.find_spans(df.limit(0)).count() == 0
+
 
 def test_html(spark):
     page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; more</h1><p>One<br>two <b>bold</b>ly<p>three</article><div id=comments>No</div><footer>F</footer>"
