@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmill.llm import common
@@ -107,7 +107,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Of similar_documents(): fingerprints of a text's word set, words of a shingle, least share of common shingles.
 VIEWS, SIMILAR_WORDS, SIMILARITY = 4, 5, 0.8
 #: Counters of the sketch that orders shingles, its shards, and bits of a text's parity map. They steer the work, never what is found.
-COUNTER_BITS, COUNTER_SHARDS, PARITY_BITS = 20, 16, 1024
+COUNTER_BITS, COUNTER_SHARDS, PARITY_BITS = 22, 64, 512
+#: Identifiers that are broadcast at most; texts of more are found by a shuffle.
+BROADCAST_ROWS = 200_000
 EPS = 1e-9
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -116,15 +118,29 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), "<u8"))
 
 
-def word_set_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, f, fp: VIEWS independent fingerprints of each text's set of lower-cased words; a text without words has none."""
+def _shingles(w: list[bytes]) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of SIMILAR_WORDS words of a text's lower-cased words."""
+    return _hashes([b" ".join(w)] if len(w) < SIMILAR_WORDS else map(b" ".join, zip(*(w[i:] for i in range(SIMILAR_WORDS)))))
+
+
+_COUNTS = "shard int, part int, counts binary"
+
+
+def _counters(shards: list[int], part: int, counts: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array(shards, pa.int32()), pa.array([part] * len(shards), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in counts], pa.binary())]
+
+
+def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One pass over the texts, as a table. For each row with an identifier and a word: node; fps, VIEWS independent fingerprints
+    of its set of lower-cased words; size, the number of its shingles; p0, p1, ..., the parities of the numbers of shingles by
+    PARITY_BITS values of a hash. And for each task shard, part, counts: its counters of all shingles by the leading bits of their hashes."""
     common.arrow_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), common.text_of(text_col).cast("binary").alias("_t"))
+    words = PARITY_BITS // 64
+    names = ["node", "fps", "size", *(f"p{i}" for i in range(words)), "shard", "part", "counts"]
 
-    def views(text: bytes) -> list[int] | None:
-        if not (words := text.lower().split()):
-            return None
-        h, out = _hashes(words), []
+    def views(h: np.ndarray) -> list[int]:
+        out = []
         for m in _MIX[:VIEWS]:
             g = (h ^ (h >> np.uint64(31))) * m
             g ^= g >> np.uint64(29)
@@ -133,34 +149,30 @@ def word_set_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFr
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(map(views, b["_t"].to_pylist()), pa.list_(pa.int64()))], names=["node", "_fps"])
-
-    return common.cut(rows.mapInArrow(run, "node long, _fps array<long>")).select("node", F.posexplode("_fps").alias("f", "fp"))
-
-
-def _shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles of SIMILAR_WORDS words."""
-    w = text.lower().split()
-    return _hashes([b" ".join(w)] if len(w) < SIMILAR_WORDS else map(b" ".join, zip(*(w[i:] for i in range(SIMILAR_WORDS)))))
-
-
-def shingle_counts(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Counters of all documents' shingles by the leading bits of their hashes: every task counts its own, shards of the tasks' counters are added up in two steps."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(common.text_of(text_col).cast("binary").alias("_t"))
+            texts = [(i, w) for i, t in zip(b["node"].to_pylist(), b["_t"].to_pylist()) if (w := t.lower().split())]
+            odd, sizes = np.zeros((len(texts), PARITY_BITS), np.uint8), []
+            for k, (_, w) in enumerate(texts):
+                h = _shingles(w)
+                np.add.at(total, (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+                odd[k] = np.bincount(((h * _MIX[0]) >> np.uint64(65 - PARITY_BITS.bit_length())).astype(np.int64), minlength=PARITY_BITS) & 1
+                sizes.append(len(h))
+            bits = np.packbits(odd, axis=1).view("<i8")
+            fps = pa.array([views(_hashes(w)) for _, w in texts], pa.list_(pa.int64()))
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts], pa.int64()), fps, pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(words)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        n = COUNTER_SHARDS
+        none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * words]
+        yield pa.RecordBatch.from_arrays([*none, *_counters(list(range(n)), TaskContext.get().partitionId(), np.split(total, n))], names=names)
+
+    schema = "node long, fps array<long>, size int, " + ", ".join(f"p{i} long" for i in range(words)) + ", " + _COUNTS
+    return common.written(rows.mapInArrow(run, schema), "profiles")
+
+
+def shingle_counts(parts: DataFrame) -> np.ndarray:
+    """The counters of all tasks of profiles() added up, shard by shard, in two steps."""
     size, each = 1 << COUNTER_BITS, (1 << COUNTER_BITS) // COUNTER_SHARDS
-    schema = "shard int, part int, counts binary"
-
-    def batch(shards: list[int], part: int, counts: list[np.ndarray]) -> pa.RecordBatch:
-        blobs = [zlib.compress(c.tobytes(), 1) for c in counts]
-        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([part] * len(shards), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "part", "counts"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for text in b["_t"].to_pylist():
-                np.add.at(total, (_shingles(text) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
-        yield batch(list(range(COUNTER_SHARDS)), TaskContext.get().partitionId(), np.split(total, COUNTER_SHARDS))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -168,29 +180,28 @@ def shingle_counts(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
             for shard, blob in zip(b["shard"].to_pylist(), b["counts"].to_pylist()):
                 held[shard] = held.get(shard, 0) + np.frombuffer(zlib.decompress(blob), np.int64)
         if held:
-            yield batch(list(held), 0, list(held.values()))
+            yield pa.RecordBatch.from_arrays(_counters(list(held), 0, list(held.values())), names=["shard", "part", "counts"])
 
-    some = rows.mapInArrow(count, schema).repartition("shard", F.pmod("part", F.lit(64))).mapInArrow(add, schema)
+    some = parts.repartition("shard", F.pmod("part", F.lit(64))).mapInArrow(add, _COUNTS)
     out = np.zeros(size, np.int64)
-    for r in some.repartition(COUNTER_SHARDS, "shard").mapInArrow(add, schema).toLocalIterator():
+    for r in some.repartition(COUNTER_SHARDS, "shard").mapInArrow(add, _COUNTS).toLocalIterator():
         out[r["shard"] * each : (r["shard"] + 1) * each] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
     return out
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def prefixes(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """node, g, at, before: each text's first shingles in one order for all texts, rare ones first, with their places.
 
     Texts with SIMILARITY of n shingles in common share one of the first n - ceil(SIMILARITY n) + 1, whatever the order;
     shingles that no other row has among its first are left out.
     """
-    common.arrow_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, id_col, text_col))
+    known = docs.sparkSession.sparkContext.broadcast(counts)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), common.text_of(text_col).cast("binary").alias("_t"))
 
     def first(text: bytes) -> np.ndarray:
-        if not text.split():
+        if not (w := text.lower().split()):
             return np.zeros(0, "<i8")
-        h = _shingles(text)
+        h = _shingles(w)
         keep = len(h) - int(np.ceil(SIMILARITY * len(h) - EPS)) + 1
         return h[np.lexsort((h, known.value[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))[:keep]].view("<i8")
 
@@ -208,42 +219,49 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.cut(beside.where("before IS NOT NULL OR after IS NOT NULL").select("node", "g", "at", "before"))
 
 
-def profiles(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, size, p0, p1, ..., grams of the rows with these identifiers: the number of their shingles, the parities of the shingles by PARITY_BITS values of a hash, and the shingles."""
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), common.text_of(text_col).cast("binary").alias("_t")).join(nodes, "node", "left_semi")
-    words = PARITY_BITS // 64
+def _able(size: Column, unlike: Column) -> Column:
+    """Whether sets of `size` elements together, of which at least `unlike` are in one of them only, can have SIMILARITY in common."""
+    return (size - unlike) * (1 + SIMILARITY) >= 2 * SIMILARITY * size - EPS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_shingles(text) if text.split() else np.zeros(0, "<u8") for text in b["_t"].to_pylist()]
-            odd = [np.bincount(((h * _MIX[0]) >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS) & 1 for h in sets]
-            bits = np.packbits(np.array(odd, np.uint8).reshape(-1, PARITY_BITS), axis=1).view("<i8")
-            yield pa.RecordBatch.from_arrays(
-                [b["node"], pa.array([len(h) for h in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(words)), pa.array([h.tobytes() for h in sets], pa.binary())],
-                names=["node", "size", *(f"p{i}" for i in range(words)), "grams"],
-            )
 
-    return common.written(rows.mapInArrow(run, "node long, size int, " + ", ".join(f"p{i} long" for i in range(words)) + ", grams binary"), "profiles")
+def _unlike(parity: list[str]) -> Column:
+    """Bits in which the parities of a and b differ, which is no more than the shingles that one of them has alone."""
+    return sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in parity), F.lit(0))
+
+
+def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (src, dst) that can be similar by the sizes and parities of profiles()."""
+    parity = [c for c in known.columns if c.startswith("p")]
+    both = pairs.join(known.alias("a"), F.col("src") == F.col("a.node")).join(known.alias("b"), F.col("dst") == F.col("b.node"))
+    return both.where(_able(F.col("a.size") + F.col("b.size"), _unlike(parity))).select("src", "dst").distinct()
 
 
 def prefix_matches(entries: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (src, dst) of nodes of different labels that can have SIMILARITY of their shingles in common, found at the
-    first shingle that they share: by their sizes, by its places, and by their parities, which differ in no more bits
-    than the sets do in shingles. known: profiles()."""
+    first shingle that they share: by their sizes, by its places and by their parities. known: of profiles()."""
     parity = [c for c in known.columns if c.startswith("p")]
-    rows = entries.select("node", "g", "at").join(known.drop("grams"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    rows = entries.select("node", "g", "at").join(known, "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     a, b = rows.alias("a"), rows.alias("b")
     size = F.col("a.size") + F.col("b.size")
-    unlike = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in parity[1:]), F.bit_count(F.col(f"a.{parity[0]}").bitwiseXOR(F.col(f"b.{parity[0]}"))))
     able = (F.least("a.size", "b.size") >= SIMILARITY * F.greatest("a.size", "b.size") - EPS) & (F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) * (1 + SIMILARITY) >= SIMILARITY * size - EPS)
-    near = (size - unlike) * (1 + SIMILARITY) >= 2 * SIMILARITY * size - EPS
-    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & able & near
+    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & able & _able(size, _unlike(parity))
     return a.join(b, on).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
 
 
-def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose texts share at least SIMILARITY of their sets of SIMILAR_WORDS-word shingles. known: profiles()."""
-    both = pairs.select("src", "dst").distinct().join(known.select(F.col("node").alias("src"), F.col("grams").alias("_a")), "src").join(known.select(F.col("node").alias("dst"), F.col("grams").alias("_b")), "dst")
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (src, dst) whose texts share at least SIMILARITY of their sets of SIMILAR_WORDS-word shingles."""
+    pairs = common.cut(pairs)
+    nodes = common.cut(pairs.select(F.explode(F.array("src", "dst")).alias("_w")).distinct())
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), common.text_of(text_col).cast("binary").alias("_t"))
+    rows = rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, F.col("_id") == F.col("_w"), "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [_shingles(w).tobytes() if (w := text.lower().split()) else b"" for text in b["_t"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(out, pa.binary())], names=["_id", "_g"])
+
+    grams = rows.mapInArrow(sets, "_id long, _g binary")
+    both = pairs.join(grams.select(F.col("_id").alias("src"), F.col("_g").alias("_a")), "src").join(grams.select(F.col("_id").alias("dst"), F.col("_g").alias("_b")), "dst")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,13 +284,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of their prefixes follow, which no pair of SIMILARITY can lack, so no link is lost. Null identifiers and texts without
     words take no part; of rows that share an identifier, all stand for it.
     """
-    entries = prefixes(docs, id_col, text_col)
+    found = profiles(docs, id_col, text_col)
+    known = found.where("node IS NOT NULL").drop("fps", "shard", "part", "counts")
+    entries = prefixes(docs, shingle_counts(found.where("node IS NULL").select("shard", "part", "counts")), id_col, text_col)
     beside = entries.where("before <> node").select(F.greatest("before", "node").alias("src"), F.least("before", "node").alias("dst"))
-    pairs = common.cut(neighbours(word_set_fingerprints(docs, id_col, text_col)).unionByName(beside).distinct())
-    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(entries.select("node")).distinct()
-    known = profiles(docs, nodes, id_col, text_col)
-    near = verified(pairs, known)
-    far = verified(prefix_matches(entries, connected_components(near, rounds=LABEL_ROUNDS), known), known)
+    views = found.where("node IS NOT NULL").select("node", F.posexplode("fps").alias("f", "fp"))
+    near = verified(possible(neighbours(views).unionByName(beside).distinct(), known), docs, id_col, text_col)
+    far = verified(prefix_matches(entries, connected_components(near, rounds=LABEL_ROUNDS), known), docs, id_col, text_col)
     return connected_components(near.unionByName(far))
 
 
