@@ -233,6 +233,33 @@ def test_html(spark):
     got = sorted((r["page_id"], r["text"]) for r in html_text.extract_text(rows).collect())
     assert got == [(1, "Head & more One two boldly three")] * 2 + [(2, ""), (3, "plain")]
 
+def test_html_wrapper_decides_where_names_do_not(spark):
+    menu = "<div class=x3><span>Start</span><div>Kontakt</div></div>"
+    article = lambda i: "".join(f"<p>Story {i} sentence {j} tells of number {i * j + 7} at some length and more.</p>" for j in range(6))
+    page = lambda i: f"<html><body>{menu}<div class=x1><h1>Title {i}</h1>{article(i)}<p>All rights kept here</p></div>" + (f"<div class=x9><p>Buy thing {i} now</p></div>" if i % 3 else "") + "</body></html>"
+    want = lambda i: " ".join([f"Title {i}", *(f"Story {i} sentence {j} tells of number {i * j + 7} at some length and more." for j in range(6))])
+    rows = [(i, f"http://plain.example/{i}", page(i), "x") for i in range(12)] + [(50, "http://alone.example/", page(50), "x"), (51, None, None, "x"), (52, "http://plain.example/e", "", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _t string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    assert all(got[i] == want(i) for i in range(12)) and got[51] == got[52] == ""
+    assert "Kontakt" in got[50] and want(50) in got[50]  # one page alone shows no template
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_html_groups_and_slots():
+    pages = ["<div><p>a</p><p>b</p></div>", "<div><p>a</p><ul><li>x</li></ul></div>"]
+    wrapper = html_text.wrapper_of([html_text.read(x)[1] for x in pages])
+    assert wrapper == (("div", 0, (("p", 0, (("#",),), html_text.REPEATED), ("ul", 0, (("li", 0, (("#",),), 0),), html_text.OPTIONAL)), 0),)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "hello" + "</div>" * 20000, "<a " * 33000, "<script " * 12000, "<b>" * 20000 + "<p>x" * 5000, "<div>" * 20000 + "</b>" * 20000 + "x"])
+def test_html_is_linear_in_odd_pages(page):
+    import time
+
+    began = time.time()
+    assert html_text.extract(page, [], set())
+    assert time.time() - began < 5
+
 
 def test_quality(spark):
     good = "This is a line of ordinary words, which go on.\nAnother line follows it here."
