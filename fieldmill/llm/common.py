@@ -9,13 +9,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts run to some 100 KB, so a batch stays within tens of MB.
-ARROW_ROWS = 800
+#: Rows and bytes of an Arrow batch at most; a single longer text is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 800, 64 << 20
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bounds the Arrow batches that Python workers hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, or name with as many underscores as make it none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:

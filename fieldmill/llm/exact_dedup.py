@@ -86,12 +86,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marks = mark_copies(docs, id_col, text_col)
     dropped = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha")).distinct()
     sha = F.sha2(F.regexp_replace(common.text_of(text_col), SPACE, " ").cast("binary"), 256)
-    left = docs.withColumn("_sha", sha)
-    left = left.join(dropped, left["_sha"].eqNullSafe(dropped["_drop_sha"]) & left[id_col].cast("long").eqNullSafe(dropped["_drop_id"]), "left_anti")
+    own = common.fresh(docs.columns, "_sha")
+    left = docs.withColumn(own, sha)
+    left = left.join(dropped, left[own].eqNullSafe(dropped["_drop_sha"]) & left[id_col].cast("long").eqNullSafe(dropped["_drop_id"]), "left_anti")
     repeated = marks.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1)
     if repeated.isEmpty():
-        return left.drop("_sha")
-    return left.dropDuplicates([id_col, "_sha"]).drop("_sha")
+        return left.drop(own)
+    return left.dropDuplicates([id_col, own]).drop(own)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

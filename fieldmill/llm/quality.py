@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from fieldmill.llm import common
 
-#: The bounded sample that the model is fitted on: labelled documents, and lines of each (its first ones).
-SAMPLE_DOCS, SAMPLE_LINES = 3000, 40
+#: The bounded sample that the model is fitted on: labelled documents, with all their lines, while these are no more together.
+SAMPLE_DOCS, SAMPLE_LINES = 3000, 150_000
 THRESHOLD, FOLDS = 0.3, 5
 #: A line's own features; prev and next line add theirs, and two more say whether there is one.
 OWN = 11
@@ -95,9 +95,13 @@ class Field:
         return np.where(mask, np.exp(np.minimum(forward[:, :, 1] + backward[:, :, 1] - total[:, None], 0)), 0), moved
 
     def marginals(self, features: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """P(good) of each line; documents of about equal numbers of lines are padded together."""
-        unary, sizes = features @ self.weights, np.diff(at)
-        out = np.zeros(len(unary))
+        """P(good) of each line."""
+        return self.lines(features @ self.weights, at)[0]
+
+    def lines(self, unary: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(P(good) of each line, expected number of each move); documents of about equal numbers of lines are padded together."""
+        sizes = np.diff(at)
+        out, moved = np.zeros(len(unary)), np.zeros((2, 2))
         order = np.argsort(sizes, kind="stable")
         i = 0
         while i < len(order):
@@ -106,9 +110,11 @@ class Field:
             steps = np.arange(sizes[group].max())
             mask = steps < sizes[group][:, None]
             where = np.where(mask, at[group][:, None] + steps, 0)
-            out[where[mask]] = self.posterior(np.where(mask, unary[where], 0), mask)[0][mask]
+            p, m = self.posterior(np.where(mask, unary[where], 0), mask)
+            out[where[mask]] = p[mask]
+            moved += m
             i = j
-        return out
+        return out, moved
 
 
 def fit(documents: list[tuple[np.ndarray, int]], steps: int = 120, passes: int = 2, decay: float = 1e-3) -> Field:
@@ -122,36 +128,37 @@ def fit(documents: list[tuple[np.ndarray, int]], steps: int = 120, passes: int =
     if len({y for _, y in documents}) < 2:
         field.weights[0] = 2.0 if not documents or documents[0][1] else -2.0
         return field
-    size = max(len(x) for x, _ in documents)
-    mask = np.zeros((len(documents), size), bool)
-    x = np.zeros((len(documents), size, WIDTH))
-    y = np.zeros((len(documents), size))
-    for i, (f, label) in enumerate(documents):
-        mask[i, : len(f)], x[i, : len(f)], y[i, : len(f)] = True, f, label
+    documents = sorted(documents, key=lambda d: len(d[0]))
+    at = np.concatenate([[0], np.cumsum([len(f) for f, _ in documents])])
+    flat = np.concatenate([f for f, _ in documents])
+    y = np.repeat([float(label) for _, label in documents], np.diff(at))
     bad = np.array([label == 0 for _, label in documents])
-    flat, n = x[mask], mask.sum()
+    of, n = np.repeat(np.arange(len(documents)), np.diff(at)), len(flat)
+    inner = np.ones(n, bool)
+    inner[at[:-1]] = False  # lines that follow one of their document
+    later = np.flatnonzero(inner)
     for k in range(passes):
         first, second, count = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4), 0
         goal = np.zeros((2, 2))
         for a in (0, 1):
             for b in (0, 1):
-                goal[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & mask[:, 1:]).sum()
+                goal[a, b] = ((y[later - 1] == a) & (y[later] == b)).sum()
         for _ in range(steps):
-            p, moved = field.posterior(np.where(mask, x @ field.weights, 0), mask)
-            g = np.concatenate([flat.T @ (y[mask] - p[mask]), (goal - moved).ravel()]) / n - decay * np.concatenate([field.weights, field.moves.ravel()])
+            p, moved = field.lines(flat @ field.weights, at)
+            g = np.concatenate([flat.T @ (y - p), (goal - moved).ravel()]) / n - decay * np.concatenate([field.weights, field.moves.ravel()])
             count += 1
             first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
             step = 0.15 * (first / (1 - 0.9**count)) / (np.sqrt(second / (1 - 0.99**count)) + 1e-8)
             field.weights += step[:WIDTH]
             field.moves += step[WIDTH:].reshape(2, 2)
         if k + 1 < passes:
-            p, _ = field.posterior(np.where(mask, x @ field.weights, 0), mask)
-            y[bad] = (p[bad] > 0.5) & mask[bad]
-            whole = bad & (y.sum(axis=1) == mask.sum(axis=1))
-            y[whole] = 0
-    weight = np.where(mask, np.expm1(x[:, :, 1] * 8) + 1.0, 0)
-    p, _ = field.posterior(np.where(mask, x @ field.weights, 0), mask)
-    mean, label = (p * weight).sum(axis=1) / weight.sum(axis=1), (~bad).astype(float)
+            p, _ = field.lines(flat @ field.weights, at)
+            y[bad[of]] = p[bad[of]] > 0.5
+            whole = bad & (np.add.reduceat(y, at[:-1]) == np.diff(at))
+            y[whole[of]] = 0
+    weight = np.expm1(flat[:, 1] * 8) + 1.0
+    p, _ = field.lines(flat @ field.weights, at)
+    mean, label = np.add.reduceat(p * weight, at[:-1]) / np.add.reduceat(weight, at[:-1]), (~bad).astype(float)
     share = np.where(bad, bad.mean(), 1 - bad.mean())
     a = np.stack([mean, np.ones_like(mean)], axis=1)
     for _ in range(50):  # Newton's method for a logistic curve in which both labels weigh the same
@@ -167,7 +174,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """The field fitted on at most SAMPLE_DOCS labelled documents outside the held-out fold, those of least identifier hash.
+    """The field fitted on at most SAMPLE_DOCS labelled documents outside the held-out fold, in the order of their identifiers' hashes, with all
+    lines of each; a document whose lines would make more than SAMPLE_LINES together is passed over.
 
     Labels that are null, or neither 0 nor 1, and rows with a null identifier are not learned from; a repeated label counts once.
     """
@@ -181,30 +189,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             features, _, at = line_features(b["_t"].to_pylist())
-            data = [features[s : min(e, s + SAMPLE_LINES)].astype("<f4").tobytes() for s, e in zip(at, at[1:])]
+            data = [features[s:e].astype("<f4").tobytes() for s, e in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([b["_id"], b["_y"], pa.array(data, pa.binary())], names=["_id", "_y", "_f"])
 
-    got = rows.mapInArrow(run, "_id long, _y int, _f binary").collect()
+    sizes = rows.select("_id", F.size(F.split("_t", "\n")).alias("_n"), F.xxhash64("_id").alias("_o")).collect()
+    taken, total = set(), 0
+    for r in sorted(sizes, key=lambda r: (r["_o"], r["_id"])):
+        if total + r["_n"] <= SAMPLE_LINES:
+            taken.add(r["_id"])
+            total += r["_n"]
+    got = rows.where(F.col("_id").isin(sorted(taken))).mapInArrow(run, "_id long, _y int, _f binary").collect()
     got = sorted({r["_id"]: r for r in got}.values(), key=lambda r: r["_id"])
     return fit([(np.frombuffer(r["_f"], "<f4").reshape(-1, WIDTH).astype(float), r["_y"]) for r in got])
 
 
-def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "_score", predicted_col: str = "_predicted") -> DataFrame:
     """docs with _score (the mean over lines of P(good), weighted by length) and _predicted. A null or empty text is one empty line of length 1."""
     common.arrow_batches(docs.sparkSession)
+    own = common.fresh([*docs.columns, score_col, predicted_col], "_t")
+    if {score_col.lower(), predicted_col.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {score_col} or {predicted_col} are there already; name others")
     known = docs.sparkSession.sparkContext.broadcast((field.weights, field.moves, field.scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Field(*known.value)
         for b in batches:
-            features, lengths, at = line_features(b["_t"].to_pylist())
+            features, lengths, at = line_features(b[own].to_pylist())
             good = model.document(features, lengths, at)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != "_t"), pa.array(np.clip(good, 0, 1))], names=[*(c for c in b.schema.names if c != "_t"), "_score"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != own), pa.array(np.clip(good, 0, 1))], names=[*(c for c in b.schema.names if c != own), score_col])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("_score", DoubleType())
-    return docs.withColumn("_t", common.text_of(text_col)).mapInArrow(run, schema).withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+    schema = StructType([*docs.schema.fields]).add(score_col, DoubleType())
+    return docs.withColumn(own, common.text_of(text_col)).mapInArrow(run, schema).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from fieldmill.llm import common, packing, tokens
 #: Tokens of a sequence, bytes of a token, sequences of a shard.
 LENGTH, WIDTH, SHARD_ROWS = 1024, 2, 2048
 KEY = b"training order"
+#: Bytes of payload that a task of the ordered write holds, about.
+PART_BYTES = 256 << 20
 
 
 class Feistel:
@@ -56,6 +59,7 @@ class Feistel:
         return self._walk(slots, self.keys[::-1], True)
 
 
+SHARD = "slot long, byte_offset long, doc_id long, start long, n_tokens long, ids_crc32 long, payload binary, shard long"
 SEQUENCE = "part int, row long, doc_id long, start long, n_tokens long, ids_crc32 long, payload binary"
 
 
@@ -111,7 +115,10 @@ def training_order(sequences: DataFrame, key: bytes = KEY, shard_rows: int = SHA
 
     out = sequences.withColumn("slot", slot("part", "row")).withColumn("shard", F.floor(F.col("slot") / F.lit(shard_rows)))
     out = out.withColumn("byte_offset", (F.col("slot") - F.col("shard") * shard_rows) * stride)
-    out = out.drop("part", "row").repartitionByRange("slot").sortWithinPartitions("slot")
+    # Slots are dense, so equal ranges of whole shards are known without sampling.
+    shards = max(1, -(-total // shard_rows))
+    parts = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * stride // PART_BYTES)))
+    out = out.drop("part", "row").repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("slot")
     return out.withColumn("payload", F.rpad("payload", stride, F.lit(b"\0")))
 
 
@@ -126,13 +133,18 @@ def materialise(docs: DataFrame, tokenizer_path: str, key: bytes = KEY, id_col:
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
-    """Writes the shards as a table of fixed-stride payloads, a folder for each shard; a shard's rows lie in slot order."""
-    ordered.repartitionByRange("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "none").parquet(path)
+    """Writes the rows of training_order(), whose partitions hold whole shards in slot order, as fixed-stride payloads: a folder for each shard, one file in it."""
+    ordered.write.partitionBy("shard").option("compression", "none").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of write_shards()."""
+    return spark.read.schema(SHARD).parquet(path)
 
 
 def read_from(spark: SparkSession, path: str, slot: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The rows of write_shards() from a slot on, in order; earlier shards are not opened."""
-    return spark.read.parquet(path).where((F.col("shard") >= slot // shard_rows) & (F.col("slot") >= slot)).orderBy("slot")
+    return read_shards(spark, path).where((F.col("shard") >= slot // shard_rows) & (F.col("slot") >= slot)).orderBy("slot")
 
 
 def export_bin(ordered: DataFrame, folder: str) -> DataFrame:
@@ -153,4 +165,7 @@ def export_bin(ordered: DataFrame, folder: str) -> DataFrame:
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return materialise(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    ordered = materialise(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    path = os.path.join(common.shared_dir(spark), f"shards-{uuid.uuid4().hex}")
+    write_shards(ordered, path)
+    return read_shards(spark, path)

@@ -33,6 +33,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     """(query, vector, score): each query's best of a block, ties to the smaller id."""
     width = -(-max(queries.shape[1], vectors.shape[1], 1) // LEVELS[-1]) * LEVELS[-1]
     q, x = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (queries, vectors))
+    if width * int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) >= 1 << 63:
+        raise OverflowError("an inner product may need more than 64 bits")
     levels = [(_statistics(q, s), _statistics(x, s)) for s in LEVELS]
     coarse = levels[0][0] @ levels[0][1].T
     slack = 1e-6 * (1 + np.abs(coarse).max(initial=0)) + 1e-9 * width * (1 + np.abs(q).max(initial=0)) * (1 + np.abs(x).max(initial=0))
@@ -54,10 +56,11 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """_id, _v: floor(256 x) of each component. Rows with a null id or vector, or with a component that is null or not finite, are left out."""
+    """_id, _v: floor(256 x) of each component. Rows with a null id or vector, or with a component that is null or not finite, are left out.
+    A finite component of 2^53 or more, whose product would need more than 64 bits anyhow, is an error."""
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & finite).select(F.col(id_col).cast("long").alias("_id"), F.transform(v, lambda x: F.floor(x.cast("double") * 256)).alias("_v"))
+    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & finite).select(F.col(id_col).cast("long").alias("_id"), F.transform(v, lambda x: F.when(F.abs(x.cast("double")) >= float(1 << 53), F.raise_error(F.lit("a component of 2^53 or more")).cast("long")).otherwise(F.floor(x.cast("double") * 256))).alias("_v"))
 
 
 def _blocks(rows: DataFrame, count: int) -> DataFrame:
@@ -79,11 +82,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
     Blocks of queries meet blocks of vectors; within such a pair bounds from segment means and deviations, coarse to
     fine, leave few vectors, whose scores are computed in full. Pairs return `top` rows a query, and their best are
     ranked. A query's own identifier is no candidate for it. Vectors of unequal length are compared as if zeros
-    followed; an empty vector scores 0. Repeated vectors are ranked as often as they occur, repeated queries once.
+    followed; an empty vector scores 0. Repeated vectors are ranked as often as they occur, of queries that share an identifier the least vector counts. A score that may need more than 64 bits is an error.
     Fewer vectors give fewer ranks; an empty table gives an empty result.
     """
     x = integers(vectors, id_col, vector_col)
-    q = integers(queries, id_col, vector_col).dropDuplicates(["_id"])
+    q = integers(queries, id_col, vector_col).groupBy("_id").agg(F.min("_v").alias("_v"))
     blocks_q, blocks_x = (max(1, -(-df.count() // n)) for df, n in ((q, query_block), (x, block)))
     left = _blocks(q, blocks_q).select(F.col("part").alias("qpart"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.col("width").alias("qwidth"))
     right = _blocks(x, blocks_x).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))))
@@ -103,7 +106,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    common.arrow_batches(spark)
     return top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
 
 

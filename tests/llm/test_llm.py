@@ -269,3 +269,79 @@ def test_quality(spark):
     got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
     assert all(got[i]["predicted"] == (i % 3 != 0) for i in range(120)) and 0 <= got[500]["score"] <= 1
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_token_shards_hold_the_tokenizers_ids(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    out = token_output.materialise(docs, P.path("byte_bpe_50k.json"), length=32, shard_rows=8)
+    token_output.write_shards(out, str(tmp_path / "s"))
+    rows = token_output.read_shards(spark, str(tmp_path / "s")).collect()
+    got = collections.defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r["payload"], "<u2")
+        assert not ids[r["n_tokens"] :].any()
+        got[r["doc_id"]].append((r["start"], tuple(ids[: r["n_tokens"]].tolist())))
+    want = collections.defaultdict(list)
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want[r["doc_id"]] += [(i, tuple(ids[i : i + 32])) for i in range(0, len(ids), 32)]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    folder = tmp_path / "bin"
+    folder.mkdir()
+    shards = {r["shard"]: r["rows"] for r in token_output.export_bin(out, str(folder)).collect()}
+    by_slot = {r["slot"]: bytes(r["payload"]) for r in rows}
+    for k, n in shards.items():  # a reader that resumes at the third sequence of a shard
+        with open(folder / f"shard-{k:08d}.bin", "rb") as f:
+            f.seek(2 * 64)
+            assert f.read() == b"".join(by_slot[8 * k + i] for i in range(2, n))
+    empty = token_output.materialise(docs.limit(0), P.path("byte_bpe_50k.json"))
+    assert empty.count() == 0
+
+
+def test_forward_backward_against_enumeration():
+    import itertools
+
+    draw = np.random.default_rng(3)
+    field = quality.Field(draw.normal(size=quality.WIDTH), draw.normal(size=(2, 2)), np.array([1.0, 0.0]))
+    sizes = [1, 4, 2, 6, 3]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    unary = draw.normal(size=at[-1])
+    p, moved = field.lines(unary, at)
+    expected = np.zeros((2, 2))
+    for d, n in enumerate(sizes):
+        u, total, good, seen = unary[at[d] : at[d + 1]], 0.0, np.zeros(n), np.zeros((2, 2))
+        for path in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(u[i] for i in range(n) if path[i]) + sum(field.moves[a, b] for a, b in zip(path, path[1:])))
+            total += w
+            good += w * np.array(path)
+            for a, b in zip(path, path[1:]):
+                seen[a, b] += w
+        assert np.allclose(p[at[d] : at[d + 1]], good / total)
+        expected += seen / total
+    assert np.allclose(moved, expected)
+
+
+def test_names_that_clash_and_scores_that_overflow(spark):
+    text = "ordinary words, which go on.\nAnother line."
+    df = spark.createDataFrame([(1, text, "a", "b"), (2, text, "c", "d"), (2, text, "c", "d")], "doc_id long, text string, _t string, _sha string")
+    kept = exact_dedup.deduplicate(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, text, "a", "b")]
+    scored = quality.score(df, quality.fit([]))
+    assert scored.columns == [*df.columns, "_score", "_predicted"] and scored.count() == 3
+    with pytest.raises(ValueError):
+        quality.score(scored, quality.fit([]))
+    vectors = spark.createDataFrame([(0, [1e12, 2.0]), (1, [1e12, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(vectors, vectors).collect()
+    twice = spark.createDataFrame([(0, [1.0]), (0, [-1.0]), (1, [1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(twice, twice.where("vec_id = 0")).collect()] == [(0, 1, 1, -65536)]
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    path = P.path("byte_bpe_50k.json")
+    assert substring_dedup.remove_repeats(none).count() == packing.pack(none, path).count() == simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert topk.top_k(vectors, vectors).count() == 0
