@@ -83,10 +83,31 @@ STATE = "struct<status:string,first_removed:bigint,unknowns:int,next_check:bigin
 
 
 def fold_states(observations: DataFrame, key: str, kind: str, at: str) -> DataFrame:
-    """Each key's state after its observations in order of time; one key's history is its own group."""
-    history = observations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(kind).alias("kind")))).alias("h"))
-    start = F.struct(F.lit("NEW").alias("status"), F.lit(None).cast("long").alias("first_removed"), F.lit(0).alias("unknowns"), F.lit(None).cast("long").alias("next_check")).cast(STATE)
-    return history.select(key, F.aggregate("h", start, lambda s, o: transition(s, o["kind"], o["at"]).cast(STATE)).alias("s")).select(key, "s.*")
+    """Each key's state after its observations in order of time (and kind): what transition() gives step by step, by windows that spill.
+
+    Observations between two that are ALIVE are a segment, whose first removal a later one may confirm; the first confirmed
+    removal of a key is its last state, else its last observation tells the state. No history is gathered into a row.
+    """
+    rows = observations.select(F.col(key), F.col(kind).alias("_kind"), F.col(at).cast("long").alias("_at"))
+    w = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_at", "_kind")))
+    rows = rows.withColumn("_segment", F.count_if(c("_kind") == "ALIVE").over(w)).withColumn("_known", F.count_if(c("_kind") != "UNKNOWN").over(w))
+    rows = rows.withColumn("_last", F.last(F.when(c("_kind") != "UNKNOWN", c("_kind")), ignorenulls=True).over(w))
+    within = lambda part: Window.partitionBy(key, part).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_first", F.min(F.when(c("_kind") == "REMOVED", c("_at"))).over(within("_segment")))
+    rows = rows.withColumn("_misses", F.count_if(c("_kind") == "UNKNOWN").over(within("_known")).cast("int"))
+    confirmed = (c("_kind") == "REMOVED") & (c("_at") - c("_first") >= CONFIRM_HOURS * 3600)
+    wait = F.when(c("_misses") == 1, BACK_OFF[0]).when(c("_misses") == 2, BACK_OFF[1]).otherwise(BACK_OFF[2])
+    state = F.struct(
+        "_n",
+        F.when(confirmed, "REMOVED").when(c("_last") == "REMOVED", "SUSPECTED").otherwise(F.coalesce("_last", F.lit("NEW"))).alias("status"),
+        c("_first").alias("first_removed"),
+        c("_misses").alias("unknowns"),
+        (c("_at") + F.when(c("_kind") == "UNKNOWN", wait * 3600).when(c("_kind") == "REMOVED", CONFIRM_HOURS * 3600).otherwise(86400)).alias("next_check"),
+    )
+    ends = rows.groupBy(key).agg(F.min(F.when(confirmed, state)).alias("_done"), F.max(state).alias("_end"))
+    return ends.select(key, F.coalesce("_done", "_end").alias("s")).select(key, "s.status", "s.first_removed", "s.unknowns", "s.next_check")
 
 
 def versions_on_change(rows: DataFrame, key: str, order: str, content: Column) -> DataFrame:

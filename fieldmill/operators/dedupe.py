@@ -11,8 +11,16 @@ from fieldmill.operators.shaping import first_per_group, star_pairs
 
 
 def signal_index(items: DataFrame) -> DataFrame:
-    """(id, signal) of items with content_hash, url, author and tokens: what two reposts may share."""
+    """(id, signal) of items with content_hash, url, author, norm, identifiers and tokens: what two reposts may share.
+
+    The digest of the normalised text and identifiers (array of type:value) are signals of their own, so posts that are
+    equal but for wording that all share are found although their tokens are too frequent to be signals.
+    """
     fixed = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("content_hash", "url", "author") if c in items.columns]))
+    if "norm" in items.columns:
+        fixed = F.concat(fixed, F.array_compact(F.array(F.when(F.length("norm") >= 25, F.concat(F.lit("fingerprint:"), F.sha2("norm", 256))))))
+    if "identifiers" in items.columns:
+        fixed = F.concat(fixed, F.transform(F.coalesce("identifiers", F.array().cast("array<string>")), lambda x: F.concat(F.lit("identifier:"), x)))
     all_ = F.concat(fixed, F.transform("tokens", lambda t: F.concat(F.lit("token:"), t))) if "tokens" in items.columns else fixed
     return items.select("id", F.explode(all_).alias("signal"))
 
@@ -24,13 +32,15 @@ def capped(signals: DataFrame, n: int) -> DataFrame:
     return signals.join(rare.select("signal"), "signal", "left_semi")
 
 
-def repost_rule(s: Column, same_hash: Column, same_url: Column, same_print: Column, same_author: Column, n: Column) -> Column:
+def repost_rule(s: Column, same_hash: Column, same_url: Column, same_print: Column, same_author: Column, n: Column, property_code: Column | None = None, shared_ids: Column | None = None) -> Column:
     """struct(method, confidence) of a pair: the first rule of the ladder that holds; null if none does."""
     rule = lambda name, conf: F.struct(F.lit(name).alias("method"), conf.cast("double").alias("confidence"))
     return (
         F.when(same_hash & (n >= 2), rule("content_hash", F.lit(1.0)))
         .when(same_url & (s >= 0.55) & (n >= 3), rule("source_url", F.greatest(F.lit(0.97), s)))
         .when(same_print, rule("text_fingerprint", F.greatest(F.lit(0.97), s)))
+        .when((F.lit(False) if property_code is None else property_code) & (s >= 0.72), rule("property_code", F.greatest(F.lit(0.96), s)))
+        .when((F.lit(0) if shared_ids is None else shared_ids) >= F.when(s >= 0.74, 2), rule("multiple_identifiers", F.greatest(F.lit(0.94), s)))
         .when(same_author & (s >= 0.86) & (n >= 5), rule("author_text", F.least(F.lit(0.97), 0.70 + 0.30 * s)))
         .when((s >= 0.95) & (n >= 6), rule("text_only", s))
     )
@@ -39,7 +49,9 @@ def repost_rule(s: Column, same_hash: Column, same_url: Column, same_print: Colu
 def repost_edges(items: DataFrame, n: int) -> DataFrame:
     """a, b, similarity, method, confidence of the pairs that a rule accepts. Candidates are stars over capped signals."""
     pairs = star_pairs(capped(signal_index(items), n))
-    cols = ["content_hash", "url", "author", "norm", "tokens", "grams"]
+    cols = ["content_hash", "url", "author", "norm", "tokens", "grams", "identifiers"]
+    if "identifiers" not in items.columns:
+        items = items.withColumn("identifiers", F.array().cast("array<string>"))
     items = items.withColumn("grams", text.trigrams(F.col("norm")))
     left = items.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
     right = items.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
@@ -47,7 +59,8 @@ def repost_edges(items: DataFrame, n: int) -> DataFrame:
     s = text.similarity(F.col("a_tokens"), F.col("b_tokens"), F.col("a_grams"), F.col("b_grams"))
     j = j.withColumn("similarity", s)
     same = lambda c: F.coalesce((F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col(f"a_{c}") != ""), F.lit(False))
-    rule = repost_rule(F.col("similarity"), same("content_hash"), same("url"), same("norm") & (F.length("a_norm") >= 25), same("author"), F.size("a_tokens"))
+    shared = F.coalesce(F.array_intersect("a_identifiers", "b_identifiers"), F.array().cast("array<string>"))
+    rule = repost_rule(F.col("similarity"), same("content_hash"), same("url"), same("norm") & (F.length("a_norm") >= 25), same("author"), F.size("a_tokens"), F.exists(shared, lambda x: F.startswith(x, F.lit("PROPERTY_CODE:"))), F.size(shared))
     return j.withColumn("r", rule).where("r IS NOT NULL").select("a", "b", "similarity", "r.method", "r.confidence")
 
 

@@ -257,14 +257,9 @@ def self_conflict(spark, d):
     return rows.join(mixed, "_h", "left_semi").select("doc_id").distinct()
 
 
-@query("SELECT doc_id, CAST(i AS BIGINT) AS pos, string_split(text, ' ')[i] AS word FROM documents, LATERAL (SELECT unnest(range(1, 4)) AS i) WHERE i <= len(string_split(text, ' '))")
+@query("SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents)")
 def lateral_unnest(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 3)).alias("p", "word")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "word")
-
-
-@query()
-def unnest_words(spark, d):
-    """Every word of every document; lateral_unnest is its first three, as that query's SQL has them."""
+    """Every word of every document."""
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "word")
 
 
@@ -518,7 +513,16 @@ def session_counts(spark, d):
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id AS id, kind, tm, row_number() OVER (PARTITION BY user_id ORDER BY tm, kind) AS r FROM
+ (SELECT user_id, CASE event_type WHEN 'error' THEN 'REMOVED' WHEN 'click' THEN 'UNKNOWN' ELSE 'ALIVE' END AS kind, CAST(floor(epoch(ts)) AS BIGINT) AS tm FROM events)),
+s AS (SELECT id, CAST(0 AS BIGINT) AS r, 'NEW' AS status, CAST(NULL AS BIGINT) AS first_removed, CAST(0 AS INTEGER) AS unknowns, CAST(NULL AS BIGINT) AS next_check FROM (SELECT DISTINCT id FROM o)
+ UNION ALL SELECT s.id, s.r + 1,
+ CASE WHEN s.status = 'REMOVED' OR kind = 'REMOVED' AND tm - s.first_removed >= 21600 THEN 'REMOVED' WHEN kind = 'REMOVED' THEN 'SUSPECTED' WHEN kind = 'ALIVE' THEN 'ALIVE' ELSE s.status END,
+ CASE WHEN s.status = 'REMOVED' THEN s.first_removed WHEN kind = 'ALIVE' THEN NULL WHEN kind = 'REMOVED' THEN coalesce(s.first_removed, tm) ELSE s.first_removed END,
+ CASE WHEN s.status = 'REMOVED' THEN s.unknowns WHEN kind = 'UNKNOWN' THEN s.unknowns + 1 ELSE 0 END,
+ CASE WHEN s.status = 'REMOVED' THEN s.next_check WHEN kind = 'REMOVED' THEN tm + 21600 WHEN kind = 'ALIVE' THEN tm + 86400 ELSE tm + 3600 * CASE s.unknowns WHEN 0 THEN 1 WHEN 1 THEN 6 ELSE 24 END END
+ FROM s JOIN o ON o.id = s.id AND o.r = s.r + 1)
+SELECT id, status, first_removed, unknowns, next_check FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY r DESC) = 1""")
 def terminal_confirmation(spark, d):
     kind = F.when(F.col("event_type") == "error", "REMOVED").when(F.col("event_type") == "click", "UNKNOWN").otherwise("ALIVE")
     rows = table(spark, d, "events").select(F.col("user_id").alias("id"), kind.alias("kind"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
