@@ -263,6 +263,12 @@ def lateral_unnest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "word")
 
 
+@query(SQL["lateral_unnest"])
+def unnest_words(spark, d):
+    """The former name of lateral_unnest, when that had only three words of each text."""
+    return lateral_unnest(spark, d)
+
+
 FILTERS = "filters AS (SELECT s_suppkey AS filter_id, s_nationkey AS user_id, CAST(90000 + s_suppkey % 7 * 5000 AS BIGINT) AS low, CAST(110000 + s_suppkey % 7 * 5000 AS BIGINT) AS high, CAST(1 + s_suppkey % 6 AS BIGINT) AS rooms FROM supplier WHERE s_acctbal > 0)"
 
 
