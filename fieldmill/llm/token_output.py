@@ -134,7 +134,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, key: bytes = KEY, id_col:
 
 def write_shards(ordered: DataFrame, path: str) -> None:
     """Writes the rows of training_order(), whose partitions hold whole shards in slot order, as fixed-stride payloads: a folder for each shard, one file in it."""
-    ordered.write.partitionBy("shard").option("compression", "none").parquet(path)
+    ordered.write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
