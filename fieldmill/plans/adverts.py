@@ -52,20 +52,22 @@ def advert_terms(spark, d):
     return ads(spark, d).select("id", adverts.deposit_cents(F.col("body"), F.col("rent")).alias("deposit"), adverts.min_lease_months(F.col("body")).alias("lease"))
 
 
-@query(f"""WITH a AS ({ADS}), x AS (SELECT *, {_ladder('body', adverts.CATEGORIES)} AS category FROM a)
-SELECT id, category, {_ladder('body', adverts.OFFERS)} AS offer, CASE {' '.join(f"WHEN {_says('body', p)}" + (f" OR coalesce(category = '{k}', false)" if k else '') + f" THEN '{n}'" for n, p, k in adverts.PROPERTY_TYPES)} END AS kind FROM x""")
+# What the phrases of BODY mean is stated by hand, not by the patterns under test.
+@query("""SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'apartment' WHEN 1 THEN 'house' WHEN 2 THEN 'apartment' WHEN 3 THEN 'hotel' WHEN 4 THEN 'room' ELSE 'house' END AS category,
+ CASE WHEN p_partkey % 7 IN (2, 5) THEN 'sale' WHEN p_partkey % 7 IN (0, 1, 6) OR p_partkey % 8 IN (0, 4, 5) THEN 'rent' END AS offer,
+ CASE p_partkey % 7 WHEN 0 THEN 'Apartment' WHEN 1 THEN 'Private House' WHEN 2 THEN 'Studio' WHEN 3 THEN 'Hotel Room' WHEN 4 THEN 'Room' WHEN 5 THEN 'Flat House' ELSE 'Private Villa' END AS kind FROM part""")
 def advert_kinds(spark, d):
     rows = ads(spark, d).withColumn("category", adverts.category(F.col("body")))
     return rows.select("id", "category", adverts.offer_type(F.col("body")).alias("offer"), adverts.property_type(F.col("body"), F.col("category")).alias("kind"))
 
 
-@query(f"WITH a AS ({ADS}) SELECT id, concat_ws(',', {', '.join(f"CASE WHEN {_says('body', p)} THEN '{n}' END" for n, p in adverts.RESTRICTIONS)}) AS rules FROM a")
+@query("SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'no_pets' WHEN 1 THEN 'no_smoking,quiet' WHEN 2 THEN 'no_pets' WHEN 4 THEN 'no_cooking' WHEN 5 THEN 'no_sublease' WHEN 7 THEN 'quiet' ELSE '' END AS rules FROM part")
 def advert_restrictions(spark, d):
     return ads(spark, d).select("id", F.array_join(adverts.restrictions(F.col("body")), ",").alias("rules"))
 
 
-@query(f"""WITH a AS ({ADS}), b AS (SELECT *, concat_ws(' ', title, body) AS t FROM a) SELECT id, CAST({' + '.join(f"4 * CAST({_says('t', p)} AS INT)" for p in adverts.SPAM)}
- - 2 * CAST({_says('title', adverts.HOME_TITLE)} AS INT) - 2 * CAST({_says('t', adverts.MONTHLY)} AS INT) - CAST({_says('t', adverts.ROOM_SPECS)} AS INT) AS INT) AS score FROM b""")
+@query("""SELECT p_partkey AS id, CAST(CASE p_partkey % 13 WHEN 0 THEN -1 WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 6 THEN 8 ELSE 0 END
+ - CASE WHEN p_partkey % 13 IN (8, 9) OR p_partkey % 8 IN (0, 4, 5) OR p_partkey % 7 = 3 THEN 2 ELSE 0 END AS INTEGER) AS score FROM part""")
 def advert_spam(spark, d):
     return ads(spark, d).select("id", adverts.spam_score(F.col("title"), F.col("body")).alias("score"))
 

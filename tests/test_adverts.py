@@ -26,7 +26,27 @@ def test_utilities_and_terms(spark):
     assert one(spark, adverts.deposit_cents(F.lit("deposit: $500"), F.lit(None).cast("long"))) == 50000
     assert one(spark, adverts.is_spam(F.lit("Honda Dream"), F.lit("motorbike and laptop"))) and not one(spark, adverts.is_spam(F.lit("Apartment"), F.lit("near the motorbike shop, monthly")))
     assert say(adverts.repost_key, "code: AB-123, two bedrooms, $450") == "code|ab123|beds:2|baths:?|usd:450"
-    assert say(adverts.geography_status, "Siem Reap") == "home" and say(adverts.geography_status, "Paris") == "out_of_area" and say(adverts.geography_status, " ") == "unknown"
+    where = lambda c: adverts.geography_status(c, ("riverton",), ("freeland",))
+    assert say(where, "Riverton") == "home" and say(where, "Paris") == "out_of_area" and say(where, " ") == "unknown" and say(where, "Freeland") == "unknown"
+
+
+def test_wording_by_phrases(spark):
+    texts = ["Strictly NO pets!", "dogs and cats are not allowed", "no-pets", "Non-smoking flat; no loud music", "smoke-free", "not pet friendly", "No sub-rent, no heavy cooking", "nothing", "ហាមសត្វ", "carpets are fine, no partying", None, ""]
+    want = ["no_pets", "no_pets", "", "no_smoking,quiet", "no_smoking", "no_pets", "no_sublease,no_cooking", "", "no_pets", "", "", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.array_join(adverts.restrictions(F.col("t")), ",").alias("x"))
+    assert [r["x"] for r in rows.orderBy("i").collect()] == want
+    kind = lambda t, c=None: one(spark, adverts.property_type(F.lit(t), F.lit(c).cast("string")))
+    assert kind("Studio apartment") == "Studio" and kind("a flathouse, villa") == "Flat House" and kind("two bedrooms") is None and kind("studio", "hotel") == "Hotel Room" and kind("nice", "room") == "Room" and kind(None) is None
+    rate = lambda t: one(spark, adverts.cleaning(F.lit(t)))
+    assert [rate(t) for t in ("3x/week cleaning", "cleaning service 1 time per month", "2 times cleaning a wk", "Daily cleaning", "maid service", "2 rooms")] == ["3x/week", "1x/month", "2x/week", "daily", "included", None]
+
+
+def test_edges_of_words_are_ascii(spark):
+    score = lambda t: one(spark, adverts.spam_score(F.lit(""), F.lit(t)))
+    # an edge needs an ASCII word's character on one side, so entries in other scripts count only beside one
+    assert score("$20/night") == 4 and score("$20 /night") == 0 and score("5 новых фото в альбомx") == 0 and score("x_новых фото в альбомx") == 4 and score("STORE added") == 4 and score("anyone can see who's in the group") == 4
+    junk = lambda u: one(spark, media.junk(F.lit(u)))
+    assert junk("https://e.org/p60x60/a.jpg") and not junk("https://e.org/p60x75/a.jpg") and junk("https://e.org/a?CTP=s40x40") and junk("https://e.org/Avatar.png") and not junk("https://e.org/a.jpg?ctp=s600x600")
 
 
 def test_liveness(spark):
