@@ -34,3 +34,11 @@ class SearchSpec:
 
     def column(self, name: str) -> str:
         return self.columns.get(name, name)
+
+
+def from_criteria(criteria: dict, names=lambda locations: locations, **options) -> SearchSpec:
+    """A specification from what a user or a model asks for: dollars become cents, areas all the names that they stand for (names), each once."""
+    cents = {k: round(criteria[k] * 100) for k in ("min_price", "max_price") if criteria.get(k) is not None}
+    given = {k: tuple(criteria[k]) for k in ("bedrooms", "categories") if criteria.get(k)}
+    locations = tuple(dict.fromkeys(names(criteria.get("locations") or [])))
+    return SearchSpec(**cents, **given, locations=locations, text=criteria.get("text") or None, **options)
