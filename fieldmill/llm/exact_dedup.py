@@ -18,16 +18,17 @@ MARK = "doc_id long, text_sha256 string, run string, head_id long, edge string,
 
 
 def sorted_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, norm, text_sha256, range-partitioned and sorted by content.
+    """doc_id, norm, text_sha256, range-partitioned, and sorted by the normalised texts within each partition.
 
-    Spark samples the splitters and sorts externally. The key is the text's first characters, its digest and the
-    identifier: equal texts stand side by side, a group of copies may spread over partitions, and splitters stay short.
+    Spark samples the splitters and sorts externally. Splitters are a text's first characters, its digest and the
+    identifier: they stay short however long the texts are, and a group of copies may spread over partitions. Within a
+    partition the whole texts are the sort key, so equal ones stand side by side, smallest identifier first.
     """
     norm = F.regexp_replace(common.text_of(text_col), SPACE, " ")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
-    rows = rows.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("_lead", F.substring("norm", 1, LEAD))
-    key = [F.col("_lead"), F.col("text_sha256"), F.col("doc_id").asc_nulls_last()]
-    return rows.repartitionByRange(*key).sortWithinPartitions(*key).drop("_lead")
+    rows = rows.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
+    split = rows.repartitionByRange(F.substring("norm", 1, LEAD), F.col("text_sha256"), F.col("doc_id").asc_nulls_last())
+    return split.sortWithinPartitions(F.col("norm"), F.col("doc_id").asc_nulls_last())
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,39 +36,41 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when they are identical after each run of ASCII white space is made one blank; a null text counts as
     empty. The smallest doc_id stays, null only if a group has no other. Of repeated rows with that doc_id each is
-    marked as kept here; distinct_rows() keeps one. Neighbours in sorted_content() are compared in full. A run of equal
-    texts that reaches a partition's end is joined with the next one's by comparing texts again; only these edge
-    runs, two for each partition at most, are looked at twice. An empty table gives an empty result.
+    marked as kept here; deduplicate() keeps one. Neighbours in sorted_content() are compared in full. Only the groups
+    with the least and the greatest splitter key of a partition can go on in another one; these edge runs, two for each
+    partition at most, are joined by comparing their texts again. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     common.arrow_batches(spark)
+    names = ["doc_id", "text_sha256", "run", "head_id", "edge", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, text, digest, head, n, rows = TaskContext.get().partitionId(), None, "", None, 0, 0
-
-        def edge(which: str, text: str) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([text]), pa.array([f"{part}:{n}"]), pa.array([head], pa.int64()), pa.array([which]), pa.array([part], pa.int32())], names=["doc_id", "text_sha256", "run", "head_id", "edge", "part"])
+        part, text, head, n = TaskContext.get().partitionId(), None, None, 0
+        # (splitter key, text, run, head) of the partition's outermost runs.
+        least: tuple | None = None
+        most: tuple | None = None
 
         for b in batches:
             ids, heads, runs = b["doc_id"].to_pylist(), [], []
-            edges = []
-            for doc, this in zip(ids, b["norm"].to_pylist()):
+            for doc, this, digest in zip(ids, b["norm"].to_pylist(), b["text_sha256"].to_pylist()):
                 if this != text:
                     n, text, head = n + 1, this, doc
-                    if n == 1:
-                        edges.append(edge("first", text))
+                    key = (this[:LEAD], digest)
+                    if least is None or key < least[0]:
+                        least = (key, this, n, doc)
+                    if most is None or key > most[0]:
+                        most = (key, this, n, doc)
                 heads.append(head)
                 runs.append(f"{part}:{n}")
-            rows += len(ids)
             nothing = pa.nulls(len(ids), pa.string())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_sha256"], pa.array(runs, pa.string()), pa.array(heads, pa.int64()), nothing, pa.array([part] * len(ids), pa.int32())], names=["doc_id", "text_sha256", "run", "head_id", "edge", "part"])
-            yield from edges
-        if n > 1:
-            yield edge("last", text)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_sha256"], pa.array(runs, pa.string()), pa.array(heads, pa.int64()), nothing, pa.array([part] * len(ids), pa.int32())], names=names)
+        for which, run in {"least": least, "most": most}.items():
+            if run is not None and (which == "least" or run[2] != least[2]):
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([run[1]]), pa.array([f"{part}:{run[2]}"]), pa.array([run[3]], pa.int64()), pa.array([which]), pa.array([part], pa.int32())], names=names)
 
     marked = common.cut(sorted_content(docs, id_col, text_col).mapInArrow(run, MARK))
     rows = marked.where(F.col("edge").isNull()).drop("edge", "part")
-    # Runs at a partition's edge with equal texts are one group; here text_sha256 holds the text itself.
+    # Edge runs with equal texts are one group; here text_sha256 holds the text itself.
     edges = marked.where(F.col("edge").isNotNull()).groupBy(F.col("text_sha256").alias("_text")).agg(F.min("head_id").alias("_least"), F.min("run").alias("_name"), F.collect_set("run").alias("_runs"))
     joined = edges.where(F.size("_runs") > 1).select(F.explode("_runs").alias("run"), "_least", "_name")
     sizes = rows.groupBy("run").agg(F.count("*").alias("_n"), F.first("head_id").alias("head_id"))

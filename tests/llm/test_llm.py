@@ -68,6 +68,30 @@ def test_exact_dedup(docs):
     assert exact_dedup.mark_copies(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_of_groups_over_many_partitions(spark):
+    """Copies that share their first characters, in groups larger than a partition, with and without null identifiers."""
+    lead = "the same long beginning of every one of these texts "
+    texts = [lead + ("a" if i % 3 else f"b{i % 40} " + "z " * (i % 7)) for i in range(3000)] + [None, "", "other"] * 5
+    rows = [(None if i % 500 == 7 else i, t) for i, t in enumerate(texts)]
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[norm(t)].append(i)
+    of = {i: norm(t) for i, t in rows if i is not None}
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = exact_dedup.mark_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is not None:
+            g = groups[of[r["doc_id"]]]
+            least = min(x for x in g if x is not None)
+            assert (r["keep_id"], r["group_size"], r["kept"]) == (least, len(g), r["doc_id"] == least)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
