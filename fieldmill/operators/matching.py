@@ -30,10 +30,16 @@ def cross_pairs(signals: DataFrame) -> DataFrame:
     return full.select("signal", "a", "b").unionByName(star).distinct().groupBy("a", "b").agg(F.count("*").alias("signals"))
 
 
+#: Pairs that an audit compares at most.
+AUDIT_PAIRS = 10_000_000
+
+
 def audit_pairs(left: DataFrame, right: DataFrame, most: int = 5) -> DataFrame:
-    """a, b, distance of all pairs within `most` bits, by a full product: an audit of a retrieval on small tables only (id, hash)."""
+    """a, b, distance of all pairs within `most` bits, by a full product: an audit of a retrieval on small tables (id, hash). More than AUDIT_PAIRS pairs are an error."""
+    if left.count() * right.count() > AUDIT_PAIRS:
+        raise ValueError(f"an audit compares at most {AUDIT_PAIRS} pairs")
     r = right.select(F.col("id").alias("b"), F.col("hash").alias("_hb"))
-    return left.select(F.col("id").alias("a"), "hash").crossJoin(r).select("a", "b", hamming(F.col("hash"), F.col("_hb")).cast("int").alias("distance")).where(F.col("distance") <= most)
+    return left.select(F.col("id").alias("a"), "hash").join(F.broadcast(r), hamming(F.col("hash"), F.col("_hb")) <= most).select("a", "b", hamming(F.col("hash"), F.col("_hb")).cast("int").alias("distance"))
 
 
 #: Caps of the evidence families, for the property and for the listing.
@@ -198,10 +204,21 @@ def blocked_reason(rules: list[tuple[str, Column]]) -> Column:
 
 
 def multiset_dice(a: Column, b: Column) -> Column:
-    """Twice the common words, repeats counted, over all words of both arrays."""
-    times = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
-    return F.when(F.size(a) + F.size(b) > 0, 2.0 * both / (F.size(a) + F.size(b))).otherwise(0.0)
+    """Twice the common words, repeats counted, over all words of both arrays.
+
+    In sorted order a word's repeats are a run, whose members are numbered; numbered words are distinct strings, so
+    array_intersect() counts repeats, by a hash table.
+    """
+
+    def numbered(words: Column) -> Column:
+        ordered = F.array_sort(words)
+        at = F.transform(ordered, lambda w, i: F.struct(w.alias("w"), i.alias("i"), (F.coalesce(w != F.get(ordered, i - 1), F.lit(True))).alias("first")))
+        runs = F.filter(at, lambda x: x["first"])
+        sized = F.transform(runs, lambda x, j: F.struct(x["w"].alias("w"), (F.coalesce(F.get(runs, j + 1)["i"], F.size(words)) - x["i"]).alias("n")))
+        return F.flatten(F.transform(sized, lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda n: F.concat_ws("\u0001", x["w"], n.cast("string")))))
+
+    n = F.size(a) + F.size(b)
+    return F.when(n > 0, 2.0 * F.size(F.array_intersect(numbered(a), numbered(b))) / n).otherwise(0.0)
 
 
 def corroborated(posts: DataFrame, group: str, ident: str, body: str, author: str, least: int = 2, most: int = 12) -> DataFrame:
