@@ -118,3 +118,27 @@ def golden(rows: DataFrame, group: str, completeness: Column, published: str, id
     best = first_per_group(rows.withColumn("_c", completeness), [group], [F.desc("_c"), F.asc(ident)]).select(group, F.col(ident).alias("best_id"))
     first = first_per_group(rows, [group], [F.col(published).asc_nulls_last(), F.asc(ident)]).select(group, F.col(ident).alias("first_id"), *facts)
     return best.join(first, group)
+
+
+#: Members up to which a cluster's key is the digest of its identifiers in order.
+LISTED_MEMBERS = 100_000
+
+
+def cluster_records(assigned: DataFrame, edges: DataFrame, kind: str, rank: list[Column]) -> DataFrame:
+    """cluster, key, members, representative, confidence, method of each cluster.
+
+    assigned: id, cluster and what rank reads; edges: a, b, method, confidence. The key is the digest of the kind and all
+    identifiers in order; a cluster of more than LISTED_MEMBERS is not gathered, and its key is that of the kind, the least
+    identifier, the number and the sum of hashes of its members. The representative is first by rank, then by identifier.
+    The confidence is the edges' mean, 0 without any; the method is the most frequent one, by name if several are, singleton without any.
+    """
+    c = F.col
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("members"), F.min("id").alias("_least"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_sum"))
+    listed = assigned.join(sizes.where(c("members") <= LISTED_MEMBERS).select("cluster"), "cluster", "left_semi")
+    listed = listed.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("_ids"))
+    key = F.sha2(F.concat_ws("|", F.lit(kind), F.coalesce("_ids", F.concat_ws(":", "_least", "members", "_sum"))), 256)
+    heads = first_per_group(assigned, ["cluster"], [*rank, F.asc("id")]).select("cluster", c("id").alias("representative"))
+    inside = edges.join(assigned.select(c("id").alias("a"), "cluster"), "a").groupBy("cluster", "method").agg(F.count("*").alias("_n"), F.sum("confidence").alias("_c"))
+    means = inside.groupBy("cluster").agg((F.sum("_c") / F.sum("_n")).alias("_mean"), F.min(F.struct(-c("_n"), c("method").alias("m"))).alias("_modal"))
+    out = sizes.join(listed, "cluster", "left").join(heads, "cluster").join(means, "cluster", "left")
+    return out.select("cluster", key.alias("key"), "members", "representative", F.coalesce("_mean", F.lit(0.0)).alias("confidence"), F.coalesce("_modal.m", F.lit("singleton")).alias("method"))

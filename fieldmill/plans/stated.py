@@ -153,3 +153,20 @@ def near_hash_pairs(spark, d):
     base = F.conv(F.substring(F.md5(F.floor(k / 4).cast("string")), 1, 15), 16, 10).cast("long")
     off = F.when(k % 4 == 0, 1).when(k % 4 == 1, 1 << 16).when(k % 4 == 2, 1 << 32).otherwise(1 << 48).cast("long")
     return dedupe.band_pairs(table(spark, d, "customer").select(k.alias("id"), base.bitwiseXOR(off).alias("hash")), 5)
+
+
+# A customer's orders are a cluster, linked one after another.
+@query("""WITH c AS (SELECT o_orderkey AS id, o_custkey AS cluster, o_totalprice AS price, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders),
+e AS (SELECT cluster, CASE id % 3 WHEN 0 THEN 'text_only' WHEN 1 THEN 'source_url' ELSE 'content_hash' END AS method, CAST(id % 8 AS DOUBLE) / 8 AS confidence FROM c WHERE b IS NOT NULL),
+m AS (SELECT cluster, method, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, method) AS r FROM e GROUP BY cluster, method)
+SELECT g.cluster, g.key, g.members, g.representative, coalesce(round(x.confidence, 9), 0) AS confidence, coalesce(m.method, 'singleton') AS method FROM
+ (SELECT cluster, sha256('SUPPLY|' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS key, count(*) AS members, arg_min(id, (-price, id)) AS representative FROM c GROUP BY cluster) g
+ LEFT JOIN (SELECT cluster, avg(confidence) AS confidence FROM e GROUP BY cluster) x ON x.cluster = g.cluster LEFT JOIN m ON m.cluster = g.cluster AND m.r = 1""")
+def cluster_records(spark, d):
+    k = F.col("id")
+    w = Window.partitionBy("cluster").orderBy("id")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cluster"), F.col("o_totalprice").alias("price")).withColumn("b", F.lag("id").over(w))
+    method = F.when(k % 3 == 0, "text_only").when(k % 3 == 1, "source_url").otherwise("content_hash")
+    edges = rows.where("b IS NOT NULL").select(k.alias("a"), "b", method.alias("method"), ((k % 8).cast("double") / 8).alias("confidence"))
+    out = dedupe.cluster_records(rows.drop("b"), edges, "SUPPLY", [F.desc("price")])
+    return out.withColumn("confidence", F.round("confidence", 9))
