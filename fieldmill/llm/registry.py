@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmill.llm import bpe, exact_dedup, html_text, packing, pii, quality, simhash, substring_dedup, token_output, topk
+from fieldmill.llm import bpe, chat, collocations, exact_dedup, html_text, packing, pii, quality, simhash, substring_dedup, token_output, topk, whitening
 
 
 def pipeline(spark, sf_dir):
@@ -23,10 +23,15 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_topk": topk.op9_topk,
     "op10_token_output": token_output.op10_token_output,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_chat": chat.op13_chat,
 }
 
 SQL = {
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op11_collocations": collocations.OP11_SQL,
+    "op13_chat": chat.OP13_SQL,
 }
