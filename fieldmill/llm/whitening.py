@@ -34,7 +34,7 @@ class Whitening:
 
     def centred(self, x: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """x minus the mean as doubles, each rounded once, and the exact sums of squares of n x - S."""
-        y = x - self.pivot
+        y = x - self.pivot if int(np.abs(x).max(initial=0)) + int(np.abs(self.pivot).max(initial=0)) < 1 << 62 else x.astype(object) - self.pivot.astype(object)
         most = max(1, int(np.abs(y).max(initial=0))) * self.n + int(np.abs(self.rest).max(initial=0))
         t = y * self.n - self.rest if most < 1 << 62 else y.astype(object) * self.n - self.rest.astype(object)
         square = t if most * most * max(1, x.shape[1]) < 1 << 63 else t.astype(object)
@@ -63,19 +63,22 @@ def _array(column: pd.Series, width: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.int64) if len(column) else np.zeros((0, width), np.int64)
 
 
-def _sums(fit: DataFrame, width: int) -> tuple[int, list[int]]:
-    """The number of rows and each dimension's exact sum; a task sends one row for each dimension."""
+def _sums(fit: DataFrame, width: int) -> tuple[int, int, list[int]]:
+    """The number of rows, the largest number without sign, each dimension's exact sum; a task sends one row for each dimension."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = 0, np.zeros(width, object)
+        n, most, total = 0, 0, np.zeros(width, object)
         for pdf in batches:
-            n += len(pdf)
-            total = total + _array(pdf["_x"], width).astype(object).sum(axis=0) if len(pdf) else total
-        yield pd.DataFrame({"i": range(-1, width), "s": [str(n), *map(str, total)]})
+            if len(pdf):
+                x = _array(pdf["_x"], width)
+                n, most = n + len(x), max(most, abs(int(x.min())), abs(int(x.max())))
+                total = total + (x.sum(axis=0) if most * len(x) < 1 << 63 else x.astype(object).sum(axis=0))
+        yield pd.DataFrame({"i": range(-2, width), "s": [str(most), str(n), *(str(int(t)) for t in total)]})
 
-    rows = fit.mapInPandas(run, "i int, s string").groupBy("i").agg(F.sum(F.col("s").cast("decimal(38, 0)")).alias("s")).collect()  # width + 1 rows
-    of = {r["i"]: int(r["s"]) for r in rows}
-    return of.get(-1, 0), [of.get(i, 0) for i in range(width)]
+    s = F.col("s").cast("decimal(38, 0)")
+    rows = fit.mapInPandas(run, "i int, s string").groupBy("i").agg(F.sum(s).alias("s"), F.max(s).alias("m")).collect()  # width + 2 rows
+    of = {r["i"]: int(r["m"] if r["i"] == -2 else r["s"]) for r in rows}
+    return of.get(-1, 0), of.get(-2, 0), [of.get(i, 0) for i in range(width)]
 
 
 def _identity_error(fit: DataFrame, w: Whitening, width: int) -> float:
@@ -111,13 +114,14 @@ def fit_whitening(x: DataFrame, width: int, components: int = COMPONENTS) -> Whi
         return None
     spark = x.sparkSession
     fit = common.written(x.select("_x").distinct(), "whitening-fit")
-    n, sums = _sums(fit, width)
+    n, most, sums = _sums(fit, width)
     if not n:
         return None
     pivot, rest = [s // n for s in sums], [s % n for s in sums]
     pairs = F.arrays_zip(F.col("_x").alias("x"), F.lit(pivot).alias("p"), F.lit(rest).alias("r"))
-    exact = F.transform(pairs, lambda z: ((z["x"] - z["p"]).cast("decimal(38, 0)") * n - z["r"]).cast("double") / float(n)) if n >= 1 << 20 else F.transform(pairs, lambda z: ((z["x"] - z["p"]) * n - z["r"]).cast("double") / float(n))
-    rows = MLUtils.convertVectorColumnsFromML(fit.select(array_to_vector(exact).alias("row")), "row")
+    exact = "long" if 2 * (most + 1) * n < 1 << 62 else "decimal(20, 0)"
+    centred = F.transform(pairs, lambda z: ((z["x"].cast(exact) - z["p"].cast(exact)) * F.lit(n).cast(exact) - z["r"].cast(exact)).cast("double") / float(n))
+    rows = MLUtils.convertVectorColumnsFromML(fit.select(array_to_vector(centred).alias("row")), "row")
     gram = RowMatrix(rows, numRows=n, numCols=width).computeGramianMatrix().toArray() / n
     values, axes = np.linalg.eigh((gram + gram.T) / 2)
     top = np.argsort(-values, kind="stable")[: min(components, width)]
@@ -126,13 +130,13 @@ def fit_whitening(x: DataFrame, width: int, components: int = COMPONENTS) -> Whi
 
 
 def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", components: int = COMPONENTS) -> DataFrame:
-    """vec_id, component, n, deviation (decimal), whitened, explained, identity_error for each usable row and component.
+    """vec_id, component, n, deviation (exact, as decimal digits), whitened, explained, identity_error for each usable row and component.
 
     Fitted on each distinct vector of integers once, so copies weigh nothing; applied to every row. Null vectors and
     ones with a null, infinite or undefined entry are left out; a null identifier stays null; repeated rows are
     returned as often as they occur, other columns ignored. A vector shorter than the longest is filled with zeros.
     A component without variance (one vector, or fewer independent ones than components) is 0 everywhere, explains 0
-    and is left out of identity_error. Equal eigenvalues come in the order of the decomposition. An empty table, or
+    and is left out of identity_error. A component whose integer needs more than 64 bits is an error. Equal eigenvalues come in the order of the decomposition. An empty table, or
     vectors without entries, give an empty result.
     """
     common.arrow_batches(vectors.sparkSession, 10_000)
@@ -141,7 +145,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     x = integers(vectors, width, id_col, vector_col)
     w = fit_whitening(x, width, components)
     if w is None:
-        return spark.createDataFrame([], "vec_id long, component int, n long, deviation decimal(38, 0), whitened double, explained double, identity_error double")
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation string, whitened double, explained double, identity_error double")
     shared = spark.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +156,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     rows = x.select(F.coalesce("_id", F.lit(0)).alias("_id"), F.col("_id").isNull().alias("_none"), "_x")
     done = rows.mapInPandas(run, "_id long, _none boolean, _d string, _y array<double>")
-    done = done.select(F.when(~F.col("_none"), F.col("_id")).alias("vec_id"), F.col("_d").cast("decimal(38, 0)").alias("deviation"), F.posexplode("_y").alias("_i", "whitened"))
+    done = done.select(F.when(~F.col("_none"), F.col("_id")).alias("vec_id"), F.col("_d").alias("deviation"), F.posexplode("_y").alias("_i", "whitened"))
     flat = w.eigenvalues <= FLAT * max(w.eigenvalues.max(initial=0), 0)
     explained = F.lit([0.0 if z else float(e / w.trace) for e, z in zip(w.eigenvalues, flat)])
     return done.select("vec_id", (F.col("_i") + 1).cast("int").alias("component"), F.lit(w.n).cast("long").alias("n"), "deviation", "whitened", explained[F.col("_i")].alias("explained"), F.lit(w.identity_error).cast("double").alias("identity_error"))
