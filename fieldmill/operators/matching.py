@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmill.operators.components import _cut, connected_components
+from fieldmill.operators.components import connected_components
 from fieldmill.operators.dedupe import hamming
+from fieldmill.operators.pairing import greedy_pairs
 from fieldmill.operators.shaping import first_per_group, row_diff, star_pairs
 
 #: A signal whose two sides give at most so many pairs is matched in full; a larger one by its least members.
@@ -91,23 +92,9 @@ def first_duplicate(pairs: DataFrame, item: str, order: Column, same_hash: Colum
     return first_per_group(rows, [item], [F.when(F.col("method") == "hash", 0).otherwise(1), F.col("_o")]).drop("_o")
 
 
-def one_to_one(pairs: DataFrame, least: float = 0.55, most_rounds: int = 100) -> DataFrame:
-    """a, b, score of a matching in which no item occurs twice. pairs: a, b, score; of exact identities the score is over 1.
-
-    Rounds accept pairs that are each other's best (score, then least identifiers) and drop what they use, until none is
-    left; a pair of the highest score is always accepted, so each round ends some. Exact identities come first by their score.
-    """
-    cur, out = _cut(pairs.select("a", "b", "score").where(F.col("score") >= least)), None
-    for _ in range(most_rounds):
-        best = lambda key, other: cur.groupBy(key).agg(F.max(F.struct("score", -F.col(other))).alias("m")).select(F.col(key), F.col("m.score").alias("score"), (-F.col("m.col2")).alias(other))
-        got = _cut(best("a", "b").join(best("b", "a"), ["a", "b", "score"]))
-        if got.isEmpty():
-            break
-        out = got if out is None else out.unionByName(got)
-        cur = _cut(cur.join(got.select("a"), "a", "left_anti").join(got.select("b"), "b", "left_anti"))
-    else:
-        raise RuntimeError(f"pairs left after {most_rounds} rounds")
-    return (pairs.select("a", "b", "score").limit(0) if out is None else out).select("a", "b", "score")
+def one_to_one(pairs: DataFrame, least: float = 0.55) -> DataFrame:
+    """a, b, score of a matching in which no item occurs twice, the best scores first; exact identities come first by a score over 1."""
+    return greedy_pairs(pairs, least)
 
 
 def candidates(members: DataFrame, group: str, order: str) -> DataFrame:

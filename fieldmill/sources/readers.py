@@ -21,10 +21,16 @@ def replay(spark: SparkSession, path: str, post: str = POST) -> DataFrame:
 
 
 def guarded_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """Line-delimited JSON behind a prefix such as `for (;;);`; lines that are no objects are skipped, the first of each key stays."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"^(for \(;;\);|\)\]\}'),?", "").alias("v"))
-    rows = lines.where(F.startswith(F.trim("v"), F.lit("{"))).select(F.from_json("v", schema, {"mode": "PERMISSIVE"}).alias("r"), F.col("v"))
-    return first_per_group(rows.where(F.col(f"r.{key}").isNotNull()).select("r.*", "v"), [key], [F.col("v")]).drop("v")
+    """Line-delimited JSON behind a prefix such as `for (;;);`; lines that are no objects are skipped, the first of each key stays.
+
+    The order is that of file names, then of lines. A whole file is read as one row and cut into numbered lines, as a
+    scan by lines does not say where a line stands: dumps of this form are pages of one reply, not corpora.
+    """
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\r?\n")).alias("_line", "_text"))
+    body = F.regexp_replace("_text", r"^(for \(;;\);|\)\]\}'),?", "")
+    rows = files.withColumn("_text", body).where(F.startswith(F.trim("_text"), F.lit("{"))).select(F.from_json("_text", schema, {"mode": "PERMISSIVE"}).alias("_row"), F.struct("_file", "_line").alias("_at"))
+    rows = rows.select(F.col(f"_row.{key}").alias("_key"), "_row", "_at").where("_key IS NOT NULL")
+    return rows.groupBy("_key").agg(F.min_by("_row", "_at").alias("_row")).select("_row.*")
 
 
 def import_outcomes(payloads: DataFrame, column: str, schema: str, required: list[str]) -> DataFrame:
