@@ -26,7 +26,7 @@ def guarded_lines(spark: SparkSession, path: str, schema: str, key: str) -> Data
     The order is that of file names, then of lines. A whole file is read as one row and cut into numbered lines, as a
     scan by lines does not say where a line stands: dumps of this form are pages of one reply, not corpora.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\r?\n")).alias("_line", "_text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\r?\n")).alias("_line", "_text"))
     body = F.regexp_replace("_text", r"^(for \(;;\);|\)\]\}'),?", "")
     rows = files.withColumn("_text", body).where(F.startswith(F.trim("_text"), F.lit("{"))).select(F.from_json("_text", schema, {"mode": "PERMISSIVE"}).alias("_row"), F.struct("_file", "_line").alias("_at"))
     rows = rows.select(F.col(f"_row.{key}").alias("_key"), "_row", "_at").where("_key IS NOT NULL")
