@@ -35,10 +35,13 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 NOT_CONTENT = set("nav header footer aside form menu dialog button fieldset head title".split())
 MAIN = set("article main".split())
 TEXT_LEVEL = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd td th tr tbody table pre blockquote figure figcaption".split())
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|footer|sidebar|aside|ad|ads|adv|advert|advertisement|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|notice|alert|popup|modal|newsletter|subscribe|signup|share|social|related|recommended|breadcrumb|breadcrumbs|comment|comments|reply|replies|disqus|pagination|pager|toolbar|masthead|widget|legal|copyright|skip)(?:$|[\s_-])", re.I)
+BOILERPLATE = set("nav navbar navigation menu header footer sidebar aside ad ads adv advert advertisement banner sponsor sponsored promo promotion cookie cookies consent notice alert popup modal newsletter subscribe signup share social related recommended breadcrumb breadcrumbs comment comments reply replies disqus pagination pager toolbar masthead widget legal copyright skip".split())
+# Words that a class or id of boilerplate may have besides, which say where or how it is laid out.
+LAYOUT = set("area bar block bottom box button center column container fixed global group inner item items left link links list main outer page primary right row secondary section site slot sticky to top unit wrap wrapper".split())
 #: Marks of a wrapper's groups.
 OPTIONAL, REPEATED = 1, 2
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+PARTS = re.compile(r"[_-]+")
 NUMBER = re.compile(r"[0-9]{3,}|/")
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
@@ -53,21 +56,31 @@ class Node:
     main: bool
 
 
+def boilerplate(value: str) -> bool:
+    """Whether a class among the value's is one of boilerplate: all its parts between hyphens are words of boilerplate or layout, one of them the former. `cookie-banner` is, `legal-news` is not."""
+    for name in value.split():
+        parts = [p for p in PARTS.split(name.lower()) if p and not p.isdigit()]
+        if any(p in BOILERPLATE for p in parts) and all(p in BOILERPLATE or p in LAYOUT for p in parts):
+            return True
+    return False
+
+
 def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(tag with its first class, boilerplate, main)."""
-    drop, first, main = tag in NOT_CONTENT, "", tag in MAIN
+    """(tag with its first class, boilerplate, main). An element that is main by its name or role is not boilerplate by a class."""
+    drop, first, main, by_class = tag in NOT_CONTENT, "", tag in MAIN, False
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
                 first = first or (value.split() or [""])[0]
-                drop = drop or bool(BOILERPLATE.search(value))
+                by_class = by_class or boilerplate(value)
             elif name == "role":
                 drop, main = drop or value.lower() in ROLES, main or value.lower() in ("main", "article")
             elif name == "hidden" and tag != "input" or name == "aria-hidden" and value == "true":
                 drop = True
             elif name == "itemprop" and value == "articleBody":
                 main = True
+    drop = drop or by_class and not main
     first = NUMBER.sub("", first)  # a long number in a class or id differs from page to page
     return (f"{tag}.{first}" if first else tag), drop, main
 
@@ -287,16 +300,17 @@ def text_key(path: str, text: str) -> int:
 
 
 def extract(page: str, mains: list[str], template: set[int]) -> str:
-    """The text of a page's blocks within the wrapper's main slots, or, if the page has none of them, outside of boilerplate; the template's own texts are left out."""
+    """The text of a page's blocks within the wrapper's main slots, all of it; if the page has none of them, what is outside of boilerplate and not one of the template's texts."""
     slots = tuple(mains)
     inside: list[str] = []
     outside: list[str] = []
     for b in read(page)[0]:
-        if b.dropped or template and text_key(b.path, b.text) in template:
+        if b.dropped:
             continue
-        outside.append(b.text)
         if any(b.path == m or b.path.startswith(m + "/") for m in slots):
             inside.append(b.text)
+        elif not inside and not (template and text_key(b.path, b.text) in template):
+            outside.append(b.text)
     return " ".join(inside if inside else outside)
 
 
@@ -367,8 +381,9 @@ def wrappers(found: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each row of pages, repeated ones too.
 
-    The wrapper of a page's host names the slots of the main text and the template's texts. A page that lacks the slots,
-    as one that differs from all others of its host may, gives what is outside of boilerplate. A null or empty html gives
+    The wrapper of a page's host names the slots of the main text and the template's texts. All text in the slots stays,
+    such as headings that all articles of a host share. A page that lacks the slots, as one that differs from all others
+    of its host may, gives what is outside of boilerplate and of the template. A null or empty html gives
     an empty text; pages with a null url share the host ''. Unclosed and wrongly nested elements are closed where their
     parents are; any depth and length is read in time linear in the length. An empty table gives an empty result; other
     columns are not read. Pages are read whole.

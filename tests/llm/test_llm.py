@@ -261,7 +261,7 @@ def test_html_wrapper_decides_where_names_do_not(spark):
     menu = "<div class=x3><span>Start</span><div>Kontakt</div></div>"
     article = lambda i: "".join(f"<p>Story {i} sentence {j} tells of number {i * j + 7} at some length and more.</p>" for j in range(6))
     page = lambda i: f"<html><body>{menu}<div class=x1><h1>Title {i}</h1>{article(i)}<p>All rights kept here</p></div>" + (f"<div class=x9><p>Buy thing {i} now</p></div>" if i % 3 else "") + "</body></html>"
-    want = lambda i: " ".join([f"Title {i}", *(f"Story {i} sentence {j} tells of number {i * j + 7} at some length and more." for j in range(6))])
+    want = lambda i: " ".join([f"Title {i}", *(f"Story {i} sentence {j} tells of number {i * j + 7} at some length and more." for j in range(6)), "All rights kept here"])
     rows = [(i, f"http://plain.example/{i}", page(i), "x") for i in range(12)] + [(50, "http://alone.example/", page(50), "x"), (51, None, None, "x"), (52, "http://plain.example/e", "", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, _t string")
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
@@ -270,6 +270,53 @@ def test_html_wrapper_decides_where_names_do_not(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_keeps_what_all_articles_of_a_host_share_and_articles_with_a_class_of_boilerplate(spark):
+    dish = lambda i: f"<header>Kitchen</header><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>flour {i} and water {i}</p><h2>Method</h2><p>bake it {i} minutes</p></article><div class='site-footer'>All dishes</div>"
+    rows = [(i, f"http://dish.example/{i}", dish(i)) for i in range(12)] + [(50, "http://law.example/", "<article class='legal-news'><p>The court spoke.</article><div class=cookie-banner>We use cookies</div>"), (51, "http://law.example/b", "<main class=widget><p>Kept</main><div class='news-legal'>Gone</div>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Dish {i} Ingredients flour {i} and water {i} Method bake it {i} minutes" for i in range(12))
+    assert got[50] == "The court spoke." and got[51] == "Kept"
+
+
+def test_html_of_all_pages_equals_a_plain_reader_of_articles(spark):
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        blocks = set("article address blockquote body br dd div dl dt figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section table tbody td th tr ul".split())
+        skipped = set("script style noscript template svg iframe textarea select nav header footer aside form menu dialog button fieldset head title".split())
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.off, self.out = 0, 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.off += tag in self.skipped
+            if tag in self.blocks:
+                self.out.append("\n")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article" and self.depth > 0
+            self.off -= tag in self.skipped and self.off > 0
+            if tag in self.blocks:
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if self.depth and not self.off:
+                self.out.append(data)
+
+    folder = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.op7_html_extraction(spark, folder).collect()}
+    assert got.keys() == pages.keys()
+    for i, page in pages.items():
+        if "<article" in (page or ""):
+            reader = Reader()
+            reader.feed(page)
+            reader.close()
+            assert got[i] == " ".join(" ".join(reader.out).split()) or got[i].split() == "".join(reader.out).split(), i
+
+
 def test_html_groups_and_slots():
     pages = ["<div><p>a</p><p>b</p></div>", "<div><p>a</p><ul><li>x</li></ul></div>"]
     wrapper = html_text.wrapper_of([html_text.read(x)[1] for x in pages])
