@@ -14,7 +14,7 @@ from fieldmill.llm import common
 SPACE = r"[ \t-\r]+"
 #: Characters of the normalised text that lead the sort key; the digest of the whole text follows them.
 LEAD = 32
-MARK = "doc_id long, text_sha256 string, run string, head_id long, edge string, part int"
+MARK = "doc_id long, text_sha256 string, run string, head_id long, edge string, part int, first boolean"
 
 
 def sorted_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,7 +22,8 @@ def sorted_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Spark samples the splitters and sorts externally. Splitters are a text's first characters, its digest and the
     identifier: they stay short however long the texts are, and a group of copies may spread over partitions. Within a
-    partition the whole texts are the sort key, so equal ones stand side by side, smallest identifier first.
+    partition the whole texts are the sort key, so equal ones stand side by side, smallest identifier first. Rows of one
+    identifier and text have one splitter key and so one partition.
     """
     norm = F.regexp_replace(common.text_of(text_col), SPACE, " ")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
@@ -35,24 +36,26 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Marks each row of docs with the copy that stays; returns doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after each run of ASCII white space is made one blank; a null text counts as
-    empty. The smallest doc_id stays, null only if a group has no other. Of repeated rows with that doc_id each is
-    marked as kept here; deduplicate() keeps one. Neighbours in sorted_content() are compared in full. Only the groups
+    empty. The smallest doc_id stays, null only if a group has no other; of repeated rows with that doc_id one is marked as kept.
+    Texts of any length are sorted and compared whole. Neighbours in sorted_content() are compared in full. Only the groups
     with the least and the greatest splitter key of a partition can go on in another one; these edge runs, two for each
     partition at most, are joined by comparing their texts again. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     common.arrow_batches(spark)
-    names = ["doc_id", "text_sha256", "run", "head_id", "edge", "part"]
+    names = ["doc_id", "text_sha256", "run", "head_id", "edge", "part", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, text, head, n = TaskContext.get().partitionId(), None, None, 0
+        part, text, head, n, last = TaskContext.get().partitionId(), None, None, 0, None
         # (splitter key, text, run, head) of the partition's outermost runs.
         least: tuple | None = None
         most: tuple | None = None
 
         for b in batches:
-            ids, heads, runs = b["doc_id"].to_pylist(), [], []
+            ids, heads, runs, firsts = b["doc_id"].to_pylist(), [], [], []
             for doc, this, digest in zip(ids, b["norm"].to_pylist(), b["text_sha256"].to_pylist()):
+                firsts.append(this != text or doc != last)
+                last = doc
                 if this != text:
                     n, text, head = n + 1, this, doc
                     key = (this[:LEAD], digest)
@@ -63,10 +66,10 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 heads.append(head)
                 runs.append(f"{part}:{n}")
             nothing = pa.nulls(len(ids), pa.string())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_sha256"], pa.array(runs, pa.string()), pa.array(heads, pa.int64()), nothing, pa.array([part] * len(ids), pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_sha256"], pa.array(runs, pa.string()), pa.array(heads, pa.int64()), nothing, pa.array([part] * len(ids), pa.int32()), pa.array(firsts, pa.bool_())], names=names)
         for which, run in {"least": least, "most": most}.items():
             if run is not None and (which == "least" or run[2] != least[2]):
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([run[1]]), pa.array([f"{part}:{run[2]}"]), pa.array([run[3]], pa.int64()), pa.array([which]), pa.array([part], pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([run[1]]), pa.array([f"{part}:{run[2]}"]), pa.array([run[3]], pa.int64()), pa.array([which]), pa.array([part], pa.int32()), pa.nulls(1, pa.bool_())], names=names)
 
     marked = common.cut(sorted_content(docs, id_col, text_col).mapInArrow(run, MARK))
     rows = marked.where(F.col("edge").isNull()).drop("edge", "part")
@@ -78,24 +81,27 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = groups.groupBy("_group").agg(F.sum("_n").alias("group_size"))
     groups = groups.join(whole, "_group").select("run", "keep_id", "group_size")
     out = rows.drop("head_id").join(groups, "run")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that share the identifier and the text, one.
+    """The rows of docs that stay, with all their columns; of rows that share the identifier and the normalised text, the least as JSON.
 
     Copies are dropped by an anti join on their identifiers and digests, so the rows that stay are not sorted.
     """
     marks = mark_copies(docs, id_col, text_col)
-    dropped = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha")).distinct()
+    names = F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha")
+    dropped = marks.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*names).distinct()
     sha = F.sha2(F.regexp_replace(common.text_of(text_col), SPACE, " ").cast("binary"), 256)
     own = common.fresh(docs.columns, "_sha")
     left = docs.withColumn(own, sha)
     left = left.join(dropped, left[own].eqNullSafe(dropped["_drop_sha"]) & left[id_col].cast("long").eqNullSafe(dropped["_drop_id"]), "left_anti")
-    repeated = marks.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1)
+    repeated = marks.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).limit(1)
     if repeated.isEmpty():
         return left.drop(own)
-    return left.dropDuplicates([id_col, own]).drop(own)
+    row = F.struct(*docs.columns)
+    least = left.groupBy(F.col(id_col).alias("_id"), F.col(own).alias("_of")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return least.select("_row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

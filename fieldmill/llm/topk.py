@@ -33,8 +33,9 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     """(query, vector, score): each query's best of a block, ties to the smaller id."""
     width = -(-max(queries.shape[1], vectors.shape[1], 1) // LEVELS[-1]) * LEVELS[-1]
     q, x = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (queries, vectors))
-    if width * int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) >= 1 << 63:
-        raise OverflowError("an inner product may need more than 64 bits")
+    exact = x, q
+    if width * int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) >= 1 << 63:  # scores by Python's integers
+        exact = x.astype(object), q.astype(object)
     levels = [(_statistics(q, s), _statistics(x, s)) for s in LEVELS]
     coarse = levels[0][0] @ levels[0][1].T
     slack = 1e-6 * (1 + np.abs(coarse).max(initial=0)) + 1e-9 * width * (1 + np.abs(q).max(initial=0)) * (1 + np.abs(x).max(initial=0))
@@ -46,21 +47,23 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         k = min(top, len(able))
         bound = levels[0][0][i] @ levels[0][1][able].T
         seed = able[np.argpartition(-bound, k - 1)[:k]]
-        least = (x[seed] @ q[i]).min()  # k vectors reach it
+        least = float((exact[0][seed] @ exact[1][i]).min())  # k vectors reach it
         for of_q, of_x in levels:
             able = able[of_x[able] @ of_q[i] >= least - slack]
-        score = x[able] @ q[i]
-        best = np.lexsort((ids[able], -score))[:top]
+        score = exact[0][able] @ exact[1][i]
+        best = sorted(range(len(able)), key=lambda j: (-score[j], ids[able[j]]))[:top] if score.dtype == object else np.lexsort((ids[able], -score))[:top]
+        if score.dtype == object and any(abs(score[j]) >= 1 << 63 for j in best):
+            raise OverflowError("a score among the best needs more than 64 bits")
         out += [(int(query_ids[i]), int(ids[j]), int(s)) for j, s in zip(able[best], score[best])]
     return out
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """_id, _v: floor(256 x) of each component. Rows with a null id or vector, or with a component that is null or not finite, are left out.
-    A finite component of 2^53 or more, whose product would need more than 64 bits anyhow, is an error."""
+    A finite component of 2^54 or more, which has no 64-bit integer, is an error."""
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & finite).select(F.col(id_col).cast("long").alias("_id"), F.transform(v, lambda x: F.when(F.abs(x.cast("double")) >= float(1 << 53), F.raise_error(F.lit("a component of 2^53 or more")).cast("long")).otherwise(F.floor(x.cast("double") * 256))).alias("_v"))
+    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & finite).select(F.col(id_col).cast("long").alias("_id"), F.transform(v, lambda x: F.when(F.abs(x.cast("double")) >= float(1 << 54), F.raise_error(F.lit("a component of 2^54 or more")).cast("long")).otherwise(F.floor(x.cast("double") * 256))).alias("_v"))
 
 
 def _blocks(rows: DataFrame, count: int) -> DataFrame:
@@ -82,7 +85,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
     Blocks of queries meet blocks of vectors; within such a pair bounds from segment means and deviations, coarse to
     fine, leave few vectors, whose scores are computed in full. Pairs return `top` rows a query, and their best are
     ranked. A query's own identifier is no candidate for it. Vectors of unequal length are compared as if zeros
-    followed; an empty vector scores 0. Repeated vectors are ranked as often as they occur, of queries that share an identifier the least vector counts. A score that may need more than 64 bits is an error.
+    followed; an empty vector scores 0. Repeated vectors are ranked as often as they occur, of queries that share an identifier the least vector counts. Scores are exact; one among the best that needs more than 64 bits is an error.
     Fewer vectors give fewer ranks; an empty table gives an empty result.
     """
     x = integers(vectors, id_col, vector_col)
