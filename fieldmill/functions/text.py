@@ -35,8 +35,11 @@ def tokens(c: Column) -> Column:
 
 
 def trigrams(c: Column) -> Column:
+    """The distinct runs of three characters, or a shorter text itself. The text is cut into characters once: a substring would count them from its beginning each time."""
     n = F.length(c)
-    return F.when(n < 3, F.when(n > 0, F.array(c)).otherwise(F.array().cast("array<string>"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))))
+    runs = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 3, F.lit(0))), lambda i: F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)))
+    every = F.flatten(F.transform(F.array(F.split(c, "")), runs))
+    return F.when(n < 3, F.when(n > 0, F.array(c)).otherwise(F.array().cast("array<string>"))).otherwise(F.array_distinct(every))
 
 
 def jaccard(a: Column, b: Column) -> Column:
