@@ -26,12 +26,15 @@ def facets(rows: DataFrame, columns: list[str], price: str) -> DataFrame:
     """facet, value, n of each column's values and, as facet `price`, the number of rows with its least and greatest known price; 0 where there is none. One pass over the rows, by grouping sets."""
     p = F.when(F.col(price) > 0, F.col(price))
     sets = [[F.col(c)] for c in columns] + [[]]
-    of = rows.groupingSets(sets, *[F.col(c) for c in columns]).agg(F.count("*").alias("n"), F.coalesce(F.min(p), F.lit(0)).alias("low"), F.coalesce(F.max(p), F.lit(0)).alias("high"), F.grouping_id().alias("_g"))
+    of = rows.groupingSets(sets, *[F.col(c) for c in columns]).agg(F.count("*").alias("n"), F.min(p).alias("low"), F.max(p).alias("high"), F.grouping_id().alias("_g"))
     whole = (1 << len(columns)) - 1
     names = F.coalesce(*[F.when(F.col("_g") == whole - (1 << (len(columns) - 1 - i)), F.lit(c)) for i, c in enumerate(columns)], F.lit("price"))
     values = F.coalesce(*[F.when(names == c, F.col(c).cast("string")) for c in columns])
-    out = of.select(names.alias("facet"), values.alias("value"), "n", F.when(names == "price", F.col("low")).alias("low"), F.when(names == "price", F.col("high")).alias("high"))
-    return out.where((F.col("facet") == "price") | F.col("value").isNotNull())
+    out = of.select(names.alias("facet"), values.alias("value"), "n", "low", "high").where((F.col("facet") == "price") | F.col("value").isNotNull())
+    # No rows make no grouping set at all, so a line of zero rows is added to what is already counted.
+    none = rows.sparkSession.range(1).select(F.lit("price").alias("facet"), F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("n"), F.lit(None).cast(out.schema["low"].dataType).alias("low"), F.lit(None).cast(out.schema["high"].dataType).alias("high"))
+    end = lambda c: F.when(F.col("facet") == "price", F.coalesce(F.max(c), F.lit(0))).alias(c)
+    return out.unionByName(none).groupBy("facet", "value").agg(F.sum("n").alias("n"), end("low"), end("high"))
 
 
 def warning_histogram(rows: DataFrame, codes: str, at: str, now: Column, top: int = 8, recent_top: int = 10) -> DataFrame:
