@@ -28,11 +28,13 @@ def fresh(columns: list[str], name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (local runs, tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a temporary one, which only a local session may use."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_to is None:
         set_to = spark.sparkContext.getCheckpointDir()
     if set_to is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="fieldmill-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(set_to)
