@@ -94,6 +94,8 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+#: The checksum of all ids of a piece's document.
+DOC_CRC = ", doc_crc32 long"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -107,25 +109,26 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for doc, ids in zip(b["_k0"].to_pylist(), document_ids(b["_words"], b["_odd"], file.value)):
                 data = np.append(ids, end_id).astype("<u4").tobytes()
-                total = len(data) // 4
+                total, whole = len(data) // 4, zlib.crc32(data)
                 for start in range(0, total, length):
                     piece = data[4 * start : 4 * (start + length)]
-                    for column, x in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), total, piece if with_ids else None)):
+                    for column, x in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), total, piece if with_ids else None, whole)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "doc_crc32"])
 
-    return rows.mapInArrow(run, PIECE)
+    return rows.mapInArrow(run, PIECE + DOC_CRC)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, group_docs: int = GROUP_DOCS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Packs every document into sequences of at most `length` tokens; returns a row for each piece.
 
     A document is its ids and the id 0, so an empty or null text is one token. Pieces of `length` fill a sequence alone;
-    the rest is packed first-fit decreasing, in groups that a keyed hash deals out at random: groups are independent, so
-    tasks stay small at any input, and a hot source spreads over all of them. Equal pieces keep the order of (doc_id,
+    the rest is packed first-fit decreasing, in groups of documents that a keyed hash deals out at random: groups are
+    independent, so tasks stay small at any input, and a hot source spreads over all of them. All pieces of a document are in
+    one group; a very long text brings a few numbers for each `length` tokens there. Equal pieces keep the order of (doc_id,
     start, crc). Repeated rows are packed as often as they occur; null ids are allowed. sequence_id is the group times
     2^32 and the bin. Only the numbers of pieces are shuffled, unless with_ids keeps their ids (little-endian unsigned
     32-bit) for sequences(). An empty table gives an empty result; other columns are not read.
@@ -133,7 +136,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, group_docs: i
     spark = docs.sparkSession
     groups = max(1, round(docs.count() / group_docs))
     cut = pieces(docs, tokenizer_path, length, id_col, text_col, with_ids=with_ids)
-    group: Column = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "ids_crc32"), F.lit(groups))
+    group: Column = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "doc_crc32"), F.lit(groups))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
@@ -142,7 +145,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, group_docs: i
         pdf["offset"] = offsets
         return pdf
 
-    return cut.withColumn("_group", group).groupBy("_group").applyInPandas(run, PIECE + ", sequence_id long, offset long")
+    return cut.withColumn("_group", group).drop("doc_crc32").groupBy("_group").applyInPandas(run, PIECE + ", sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -110,6 +110,10 @@ def test_packing(docs):
             at += r["length"]
         assert at <= 64
     assert packing.sequences(got).count() == len({r["sequence_id"] for r in rows})
+    groups = collections.defaultdict(set)
+    for r in rows:
+        groups[r["doc_id"]].add(r["sequence_id"] >> 32)
+    assert {len(g) for g in groups.values()} == {1} and len(set.union(*groups.values())) > 1
 
 
 def test_token_output(spark, docs, tmp_path):
@@ -239,6 +243,51 @@ def test_pii_base_spans_against_brute_force(spark):
     assert len(got) == len(texts) and all(got[i] == brute_spans(t or "") for i, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("term", [pii.TERM, r"[\p{L}\p{N}]+"])
+def test_pii_disclosure_against_brute_force(spark, monkeypatch, term):
+    """PMI and IC over documents with planted names, counted in plain Python, for terms of four characters and of any length."""
+    import math
+
+    import regex
+
+    monkeypatch.setattr(pii, "TERM", term)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r["text"] or "" for r in table.where("n_chars < 4000").orderBy("doc_id").limit(350).collect()]
+    plants = [("Lee Zebu wrote to x@y.org", 6), ("mail q@r.net or Ona of Quillonia", 4), ("Marn Odd, w@w.io", 2), ("+1 (555) 123-4567 is Bo Ravenhold", 3)]
+    at = 0
+    for plant, times in plants:
+        for _ in range(times):
+            texts[at] += "\n" + plant
+            at += 1
+    texts[340:345] = [texts[0]] * 5
+    texts[345] += " Ravenhold"
+
+    def found(text):
+        spans = brute_spans(text)
+        chars = list(text)
+        for _, start, end in spans:
+            chars[start:end] = "\x01" * (end - start)
+        entity = lambda kind, x: kind + ":" + (x.lower() if kind in ("email", "ip") else regex.sub("[^0-9]", "", x))
+        return {entity(k, text[a:b]) for k, a, b in spans}, {w.lower() for w in regex.findall(term, "".join(chars))}
+
+    whole = [found(t) for t in set(texts)]
+    n_e, n_t, n_et = collections.Counter(), collections.Counter(), collections.Counter()
+    for entities, words in whole:
+        n_e.update(entities)
+        n_t.update(words)
+        n_et.update((e, w) for e in entities for w in words)
+    want = {}
+    for (e, w), n in n_et.items():
+        if n >= pii.SUPPORT and pii.SUPPORT <= n_e[e] < len(whole):
+            share = 1.0 if n == n_t[w] else math.log2(n * len(whole) / (n_e[e] * n_t[w])) / math.log2(len(whole) / n_e[e])
+            if share >= pii.GENERALISE:
+                want[e, w] = "removed" if share >= pii.REMOVE else "generalised"
+    rows = pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("key", "base", "terms").dropDuplicates(["key"])
+    got = {(r["entity"], r["term"]): r["action"] for r in pii.disclosing(rows).collect()}
+    assert got == want and ("email:x@y.org", "zebu") in got and ("email:q@r.net", "quillonia") in got
+    assert (("email:x@y.org", "lee") in got) == (term != r"[\p{L}\p{N}]{4,}")
+
+
 def test_pii_replaces_overlaps_whole_and_keeps_other_columns(spark):
     far = "x" * 3000
     rows = [(1, f"{far} 4111 1111 1111 1111@x.org {far} 10.0.0.1", "a", 1), (1, f"{far} 4111 1111 1111 1111@x.org {far} 10.0.0.1", "a", 1), (2, None, "b", None), (None, "plain", None, 2)]
