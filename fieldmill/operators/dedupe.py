@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldmill.functions import text
 from fieldmill.operators.components import connected_components
@@ -120,25 +127,46 @@ def golden(rows: DataFrame, group: str, completeness: Column, published: str, id
     return best.join(first, group)
 
 
-#: Members up to which a cluster's key is the digest of its identifiers in order.
-LISTED_MEMBERS = 100_000
+def cluster_keys(assigned: DataFrame, kind: str) -> DataFrame:
+    """cluster, key: the digest of the kind and all identifiers of each cluster in order, one formula at any size.
+
+    A cluster's identifiers pass one task sorted, and the digest takes them in batch by batch, so none is ever held whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, digest, schema = None, None, None
+        for b in batches:
+            schema, done = b.schema, ([], [])
+            for c, rows in groupby(zip(b["cluster"].to_pylist(), b["_id"].to_pylist()), key=itemgetter(0)):
+                if digest is None or c != cluster:
+                    if digest is not None:
+                        done[0].append(cluster)
+                        done[1].append(digest.hexdigest())
+                    cluster, digest, lead = c, hashlib.sha256(), kind + "|"
+                else:
+                    lead = ","
+                digest.update((lead + ",".join(x for _, x in rows)).encode())
+            yield pa.RecordBatch.from_arrays([pa.array(done[0], schema.field("cluster").type), pa.array(done[1], pa.string())], names=["cluster", "key"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([cluster], schema.field("cluster").type), pa.array([digest.hexdigest()], pa.string())], names=["cluster", "key"])
+
+    rows = assigned.where("id IS NOT NULL AND cluster IS NOT NULL").repartition("cluster").sortWithinPartitions("cluster", "id")
+    out = StructType([StructField("cluster", assigned.schema["cluster"].dataType), StructField("key", StringType())])
+    return rows.select("cluster", F.col("id").cast("string").alias("_id")).mapInArrow(run, out)
 
 
 def cluster_records(assigned: DataFrame, edges: DataFrame, kind: str, rank: list[Column]) -> DataFrame:
     """cluster, key, members, representative, confidence, method of each cluster.
 
-    assigned: id, cluster and what rank reads; edges: a, b, method, confidence. The key is the digest of the kind and all
-    identifiers in order; a cluster of more than LISTED_MEMBERS is not gathered, and its key is that of the kind, the least
-    identifier, the number and the sum of hashes of its members. The representative is first by rank, then by identifier.
-    The confidence is the edges' mean, 0 without any; the method is the most frequent one, by name if several are, singleton without any.
+    assigned: id, cluster and what rank reads; edges: a, b, method, confidence. The key is that of cluster_keys(). The
+    representative is first by rank, then by identifier. The confidence is the edges' mean, 0 without any; the method is the
+    most frequent one, by name if several are, singleton without any.
     """
     c = F.col
-    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("members"), F.min("id").alias("_least"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_sum"))
-    listed = assigned.join(sizes.where(c("members") <= LISTED_MEMBERS).select("cluster"), "cluster", "left_semi")
-    listed = listed.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("_ids"))
-    key = F.sha2(F.concat_ws("|", F.lit(kind), F.coalesce("_ids", F.concat_ws(":", "_least", "members", "_sum"))), 256)
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("members"))
+    keys = cluster_keys(assigned, kind)
     heads = first_per_group(assigned, ["cluster"], [*rank, F.asc("id")]).select("cluster", c("id").alias("representative"))
     inside = edges.join(assigned.select(c("id").alias("a"), "cluster"), "a").groupBy("cluster", "method").agg(F.count("*").alias("_n"), F.sum("confidence").alias("_c"))
     means = inside.groupBy("cluster").agg((F.sum("_c") / F.sum("_n")).alias("_mean"), F.min(F.struct(-c("_n"), c("method").alias("m"))).alias("_modal"))
-    out = sizes.join(listed, "cluster", "left").join(heads, "cluster").join(means, "cluster", "left")
-    return out.select("cluster", key.alias("key"), "members", "representative", F.coalesce("_mean", F.lit(0.0)).alias("confidence"), F.coalesce("_modal.m", F.lit("singleton")).alias("method"))
+    out = sizes.join(keys, "cluster", "left").join(heads, "cluster").join(means, "cluster", "left")
+    return out.select("cluster", F.coalesce("key", F.sha2(F.lit(kind), 256)).alias("key"), "members", "representative", F.coalesce("_mean", F.lit(0.0)).alias("confidence"), F.coalesce("_modal.m", F.lit("singleton")).alias("method"))

@@ -117,3 +117,22 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) s from act").first()["s"] == 2
+
+
+def test_cluster_keys_of_any_size_by_one_formula(spark):
+    import hashlib
+
+    from fieldmill.operators import dedupe
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(i, f"c{i % 3}" if i % 5 else "big") for i in range(400)] + [(None, "big"), (None, "empty"), (9999, None)]
+        got = {r["cluster"]: r["key"] for r in dedupe.cluster_keys(spark.createDataFrame(rows, "id long, cluster string"), "K").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for i, c in rows:
+        if i is not None and c is not None:
+            want.setdefault(c, []).append(i)
+    assert got == {c: hashlib.sha256(("K|" + ",".join(map(str, sorted(ids)))).encode()).hexdigest() for c, ids in want.items()}
+    assert dedupe.cluster_keys(spark.createDataFrame([], "id long, cluster string"), "K").count() == 0
