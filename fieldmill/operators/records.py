@@ -39,7 +39,7 @@ def projection(listings: DataFrame, estates: DataFrame, occurrences: DataFrame,
     fact = lambda k: F.get_json_object("facts", f"$.{k}")
     return out.withColumns({
         "projection_city": F.coalesce(F.nullif("city", F.lit("")), F.nullif("estate_city", F.lit(""))),
-        "offer_type": fact("offer_type"), "maps_url": fact("maps_urls[0]"), "electricity": fact("electricity_rate"), "water": fact("water_rate"), "landmarks": F.from_json(fact("landmarks"), "array<string>"),
+        "offer_type": fact("offer_type"), "maps_url": fact("maps_urls[0]"), "electricity": fact("electricity_rate"), "water": fact("water_rate"), "landmarks": F.from_json(fact("landmarks"), "array<string>"), "marketing_landmarks": F.from_json(fact("marketing_landmarks"), "array<string>"),
         "contact_phone": F.coalesce("_phone", F.get_json_object("payload", "$.direct_contact.phone"), F.get_json_object("payload", "$.listing.phone")),
         "photos": F.coalesce("_linked", payload_photos(c("payload"))),
     }).drop("_phone", "_linked")
@@ -51,8 +51,8 @@ def chat_link(c: Column) -> Column:
     return F.when(name != "", F.concat(F.lit("https://t.me/"), name))
 
 
-def presented(rows: DataFrame, all_photos: bool = False) -> DataFrame:
-    """Records as clients get them: id, title, price_usd, property_type, utilities, deposit_usd, place, photos, thumbnail, links.
+def presentation(all_photos: bool = False) -> list[Column]:
+    """The columns of presented(): id, title, price_usd, property_type, utilities, deposit_usd, place, photos, thumbnail, links.
 
     rows: id, title, description, price and deposit (cents), category, property_type, electricity, water, cleaning, restrictions,
     location, area_key, city, lat, lng, maps_url, photos, phone, chat. What is not stored is taken from title and description.
@@ -63,7 +63,7 @@ def presented(rows: DataFrame, all_photos: bool = False) -> DataFrame:
     point = F.when(c("lat").isNotNull() & c("lng").isNotNull(), F.struct(c("lat").cast("double").alias("lat"), c("lng").cast("double").alias("lng"))).otherwise(geo.coordinates(c("maps_url")))
     pictures = F.coalesce("photos", F.array().cast("array<string>"))
     phone = text.phone_e164(c("phone"))
-    return rows.select(
+    return [
         "id", F.coalesce(F.nullif("title", F.lit("")), F.concat(kind, F.lit(" in "), F.coalesce(F.nullif("location", F.lit("")), c("city")))).alias("title"),
         F.floor(c("price") / 100 + 0.5).cast("long").alias("price_usd"), kind.alias("property_type"),
         F.coalesce("electricity", adverts.electricity(full)).alias("electricity"), F.coalesce("water", adverts.water(full)).alias("water"), F.coalesce("cleaning", adverts.cleaning(full)).alias("cleaning"),
@@ -72,7 +72,12 @@ def presented(rows: DataFrame, all_photos: bool = False) -> DataFrame:
         point.alias("coordinates"), F.when(point.isNotNull(), "exact").when(c("area_key").isNotNull(), "district").otherwise("city").alias("precision"),
         (pictures if all_photos else F.slice(pictures, 1, PHOTOS)).alias("photos"), F.get(pictures, 0).alias("thumbnail"),
         F.coalesce(phone, c("phone")).alias("phone"), F.concat(F.lit("tel:"), phone).alias("phone_link"), F.coalesce(chat_link(c("chat")), F.concat(F.lit("https://t.me/"), phone)).alias("chat_link"),
-    )
+    ]
+
+
+def presented(rows: DataFrame, all_photos: bool = False) -> DataFrame:
+    """Records as clients get them: the columns of presentation()."""
+    return rows.select(*presentation(all_photos))
 
 
 def cleaned(raw: DataFrame, areas: list[places.Area], marks: list[places.Landmark], noise: tuple[str, ...] = ()) -> DataFrame:

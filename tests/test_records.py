@@ -60,3 +60,15 @@ def test_records(spark):
 def test_criteria_in_dollars():
     spec = from_criteria({"min_price": 12.34, "max_price": None, "locations": ["oldtown", "Old Town"]}, lambda x: places.search_names(x, AREAS), limit=5)
     assert (spec.min_price, spec.max_price, spec.locations, spec.limit) == (1234, None, ("oldtown", "Old Town", "District Old Town", "old quarter"), 5)
+
+
+def test_client_columns(spark):
+    from fieldmill.operators import client
+
+    labels = {"free_wifi": "Free Wi-Fi", "pool": "Swimming Pool"}
+    df = spark.createDataFrame([(["Free-WIFI", "pool", "free wifi", "moon"], True), (["pool"], None), (None, True), ([], False)], "a array<string>, p boolean")
+    assert [r[0] for r in df.select(client.amenity_labels(F.col("a"), labels, F.col("p"))).collect()] == [["Free Wi-Fi"], ["Swimming Pool"], [], []]
+    assert values(spark, client.deposit_months, ['{"deposit_months": 1.5}', '{"deposit_months": 0}', '{"deposit_months": true}', '{"deposit_months": 121}', "[]", "{", None]) == [1.5, None, None, None, None, None, None]
+    assert values(spark, client.chat_shown, [" @a_b ", "https://t.me/ab/", "http://t.me/+x", "012345678", "+1 555 123 4567", "", None]) == ["@a_b", "@ab", "+x", "012 345 678", "+1 555 123 4567", "", None]
+    assert values(spark, client.phone_shown, ["012345678 | 0961234567", "012345678, +1 555 123 4567", "", None]) == ["012 345 678 / 096 123 4567", "012345678, +1 555 123 4567", "", None]
+    assert values(spark, client.international_digits, ["012 345 678", "85512345678", "12345678", "15551234567", "123", None]) == ["85512345678", "85512345678", "85512345678", "15551234567", None, None]
