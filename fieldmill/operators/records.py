@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.functions import adverts, geo, places, text
+from fieldmill.functions import adverts, geo, places, rooms, text
 from fieldmill.functions.facts import source_price
 
 #: Photos of a listing in a list of results.
@@ -95,12 +95,13 @@ def cleaned(raw: DataFrame, areas: list[places.Area], marks: list[places.Landmar
     price = F.coalesce(F.when(c("price") > 0, c("price").cast("double")), read["price"])
     currency = F.when(c("currency").isin("USD", "KHR"), c("currency")).otherwise(F.coalesce(read["currency"], F.lit("USD")))
     warn = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
-    return raw.select(
+    said = c("_rooms")
+    return raw.withColumn("_rooms", rooms.room_counts(body)).select(
         "id", F.coalesce(F.nullif(text.collapse(c("title")), F.lit("")), F.lit("Untitled")).alias("title"), price.alias("price"), F.when(price.isNotNull(), currency).alias("currency"), city.alias("city"), area.alias("area"),
-        adverts.category(body).alias("category"), adverts.offer_type(body).alias("offer"), text.bedrooms(body).alias("bedrooms"), found.alias("landmarks"),
+        adverts.category(body).alias("category"), adverts.offer_type(body).alias("offer"), said["bedrooms"].alias("bedrooms"), said["bathrooms"].alias("bathrooms"), found.alias("landmarks"),
         F.array_compact(F.array(
             warn(price.isNull(), "price_missing"), warn(price.isNotNull() & ~c("currency").isin("USD", "KHR") | price.isNotNull() & c("currency").isNull(), "currency_inferred"),
-            warn(city != c("city"), "city_corrected"), warn(area.isNull(), "area_unknown"), warn(F.size(text.room_values(body, text.BEDS)) > 1, "bedrooms_conflict"),
+            warn(city != c("city"), "city_corrected"), warn(area.isNull(), "area_unknown"), warn(said["bedrooms_conflict"], "bedrooms_conflict"), warn(said["bathrooms_conflict"], "bathrooms_conflict"),
         )).alias("warnings"),
     )
 

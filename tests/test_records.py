@@ -72,3 +72,10 @@ def test_client_columns(spark):
     assert values(spark, client.chat_shown, [" @a_b ", "https://t.me/ab/", "http://t.me/+x", "012345678", "+1 555 123 4567", "", None]) == ["@a_b", "@ab", "+x", "012 345 678", "+1 555 123 4567", "", None]
     assert values(spark, client.phone_shown, ["012345678 | 0961234567", "012345678, +1 555 123 4567", "", None]) == ["012 345 678 / 096 123 4567", "012345678, +1 555 123 4567", "", None]
     assert values(spark, client.international_digits, ["012 345 678", "85512345678", "12345678", "15551234567", "123", None]) == ["85512345678", "85512345678", "85512345678", "15551234567", None, None]
+
+
+def test_cleaned_rooms(spark):
+    texts = ["Villa: 4+1 bedrooms, 2 baths", "3 Bed | 4 Bath", "2 baths\n3 bathrooms", None]
+    df = spark.createDataFrame([(i, None, t, None, None, "riverton", None) for i, t in enumerate(texts)], "id int, title string, description string, price int, currency string, city string, location string")
+    got = [(r["bedrooms"], r["bathrooms"], [w for w in r["warnings"] if "rooms" in w]) for r in records.cleaned(df, AREAS, MARKS, NOISE).orderBy("id").collect()]
+    assert got == [(None, 2, ["bedrooms_conflict"]), (3, 4, []), (None, None, ["bathrooms_conflict"]), (None, None, [])]
