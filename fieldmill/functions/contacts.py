@@ -22,9 +22,8 @@ LISTED = r"[/,|\n]+"
 
 def subscriber(c: Column, country: str = "855") -> Column:
     """A number's digits without the country's code or the national 0; null below seven."""
-    d = digits(c)
-    own = F.when(F.startswith(d, F.lit(country)), F.substring(d, len(country) + 1, 99)).when(F.startswith(d, F.lit("0")), F.substring(d, 2, 99)).otherwise(d)
-    return F.when((F.length(d) >= 7) & (F.length(own) >= 7), own)
+    own = one(digits(c), lambda d: F.when(F.length(d) < 7, "").when(F.startswith(d, F.lit(country)), F.substring(d, len(country) + 1, 99)).when(F.startswith(d, F.lit("0")), F.substring(d, 2, 99)).otherwise(d))
+    return one(own, lambda x: F.when(F.length(x) >= 7, x))
 
 
 def _grouped(c: Column) -> Column:
@@ -32,11 +31,11 @@ def _grouped(c: Column) -> Column:
 
 
 def _domestic(c: Column) -> Column:
-    return F.concat(F.lit("0"), _grouped(subscriber(c)))
+    return one(subscriber(c), lambda x: F.concat(F.lit("0"), _grouped(x)))
 
 
 def _international(c: Column) -> Column:
-    return F.concat(F.lit("+855 "), _grouped(subscriber(c)))
+    return one(subscriber(c), lambda x: F.concat(F.lit("+855 "), _grouped(x)))
 
 
 def formatted(c: Column, style: str = "domestic") -> Column:
@@ -85,23 +84,26 @@ def contact_roles(text: Column, phone: Column | None = None, telegram: Column |
     phones are joined by " / ". A null text says nothing.
     """
     null = F.lit(None).cast("string")
-    text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.transform(F.split(text, r"\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    items = F.transform(F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, ITEMS))), lambda x: F.trim(x) != ""), _item)
-    suffix = {k: _domestic(_first(text, rf"(?i)({PHONE})\s*\((?:{words})\)")) for k, words in BEHIND.items()}
+    seeds = [formatted(phone) if phone is not None else null, telegram if telegram is not None else null, whatsapp if whatsapp is not None else null]
     last = lambda v, k: F.try_element_at(F.array_compact(F.transform(v, lambda x: x[k])), F.lit(-1))
 
-    def found(v: Column) -> Column:
+    def parted(text: Column) -> Column:
+        lines = F.filter(F.transform(F.split(text, r"\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+        items = F.transform(F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, ITEMS))), lambda x: F.trim(x) != ""), _item)
+        return one(one(items, lambda v: found(text, v)), settled)
+
+    def found(text: Column, v: Column) -> Column:
+        suffix = {k: _domestic(_first(text, rf"(?i)({PHONE})\s*\((?:{words})\)")) for k, words in BEHIND.items()}
         anywhere = F.coalesce(F.concat(F.lit("@"), _first(text, LINKS["telegram"])), _handle(text, 5, NO_HANDLE_ANYWHERE))
         calls = F.array_distinct(F.array_compact(F.concat(F.flatten(F.transform(v, lambda x: x["calls"])), F.array(suffix["call"]))))
         plain = F.array_distinct(F.flatten(F.transform(v, lambda x: x["plain"])))
-        return F.struct(F.coalesce(last(v, "telegram"), suffix["telegram"], anywhere).alias("t"), F.coalesce(last(v, "whatsapp"), suffix["whatsapp"]).alias("w"), F.when(F.size(calls) > 0, calls).otherwise(plain).alias("p"))
+        phones = one(calls, lambda x: F.when(F.size(x) > 0, x).otherwise(plain))
+        return F.struct(F.coalesce(last(v, "telegram"), suffix["telegram"], anywhere).alias("t"), F.coalesce(last(v, "whatsapp"), suffix["whatsapp"]).alias("w"), phones.alias("p"))
 
     def settled(x: Column) -> Column:
         chats = F.array_compact(F.array(x["t"], x["w"]))
-        others = F.filter(x["p"], lambda n: ~F.array_contains(chats, n))
-        phones = F.when(F.size(others) > 0, others).otherwise(x["p"])
-        said = F.when(F.size(phones) > 0, F.array_join(phones, " / "))
-        return F.struct(F.coalesce(said, formatted(phone) if phone is not None else null).alias("phone"), F.coalesce(x["t"], telegram if telegram is not None else null).alias("telegram"), F.coalesce(x["w"], whatsapp if whatsapp is not None else null).alias("whatsapp"))
+        phones = one(F.filter(x["p"], lambda n: ~F.array_contains(chats, n)), lambda v: F.when(F.size(v) > 0, v).otherwise(x["p"]))
+        said = one(phones, lambda v: F.when(F.size(v) > 0, F.array_join(v, " / ")))
+        return F.struct(F.coalesce(said, seeds[0]).alias("phone"), F.coalesce(x["t"], seeds[1]).alias("telegram"), F.coalesce(x["w"], seeds[2]).alias("whatsapp"))
 
-    return one(one(items, found), settled)
+    return one(F.coalesce(text, F.lit("")), parted)

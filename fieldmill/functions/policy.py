@@ -140,7 +140,11 @@ def grounded_facts(model: Column, source: Column, platform: Column, known_amenit
     if several differ, else the model's. Rooms: the author's count, null in conflict, else the form's where the model
     says the same. Category follows the kind of property. A null model gives null; a null source states nothing.
     """
-    source = F.coalesce(source, F.lit(""))
+    given = F.struct(F.coalesce(source, F.lit("")).alias("source"), model.alias("model"), platform.alias("platform"))
+    return one(given, lambda x: F.when(x["model"].isNotNull(), _grounded(x["model"], x["source"], x["platform"], known_amenities)))
+
+
+def _grounded(model: Column, source: Column, platform: Column, known_amenities: list[str]) -> Column:
 
     def counted(said: Column) -> Column:
         def of(kind: str) -> Column:
@@ -166,4 +170,4 @@ def grounded_facts(model: Column, source: Column, platform: Column, known_amenit
         )
 
     parts = one(rooms.room_counts(source), lambda said: F.struct(counted(said).alias("n"), monthly_rent(source).alias("rent"), property_type(model["property_type"], source).alias("kind")))
-    return F.when(model.isNotNull(), one(parts, facts))
+    return one(parts, facts)
