@@ -28,3 +28,7 @@ def test_or_join_shuffles_no_joined_rows_where_the_parts_are_apart(spark):
     twice = left.unionByName(spark.createDataFrame([(1, 8)], left.schema))  # a alone no longer tells rows apart
     out = shaping.or_join(twice, right, [("a", "b"), ("n", "m")], ["a", "b"])
     assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+
+
+def test_filters_that_ask_for_the_same_have_their_first_rows_found_once(spark):
+    assert "Aggregate [rooms" in plan(entry.queries()["topn_per_filter"](spark, DIR))
