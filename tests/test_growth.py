@@ -32,3 +32,7 @@ def test_or_join_shuffles_no_joined_rows_where_the_parts_are_apart(spark):
 
 def test_filters_that_ask_for_the_same_have_their_first_rows_found_once(spark):
     assert "Aggregate [rooms" in plan(entry.queries()["topn_per_filter"](spark, DIR))
+
+
+def test_a_users_equal_filters_are_joined_as_one(spark):
+    assert plan(entry.queries()["theta_saved_filters"](spark, DIR)).count("Aggregate [") == 2
