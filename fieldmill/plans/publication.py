@@ -72,7 +72,7 @@ def typed_key_join(spark, d):
 def strict_numbers(spark, d):
     u, k = F.col("user_id"), F.col("event_id") % 5
     v = F.when(k == 0, F.concat(F.lit(" "), u, F.lit(" "))).when(k == 1, F.concat(F.lit("-"), u)).when(k == 2, F.concat(u, F.lit(".5"))).when(k == 3, F.concat(F.lit("1e"), u % 400)).otherwise("x")
-    return table(spark, d, "events").select("event_id", publication.strict_integer(v, scale=100).alias("cents"), publication.strict_decimal(v).alias("number"))
+    return table(spark, d, "events").select("event_id", publication.strict_integer(v, scale=100, most=(1 << 63) - 1).alias("cents"), publication.strict_decimal(v).alias("number"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT s_suppkey AS id, s_suppkey % 7 AS cost, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier WHERE s_suppkey % 7 > 0),

@@ -36,3 +36,16 @@ def test_filters_that_ask_for_the_same_have_their_first_rows_found_once(spark):
 
 def test_a_users_equal_filters_are_joined_as_one(spark):
     assert plan(entry.queries()["theta_saved_filters"](spark, DIR)).count("Aggregate [") == 2
+
+
+def events(spark, user):
+    return spark.range(10).select(F.col("id").alias("event_id"), F.lit(user).cast("long").alias("user_id"))
+
+
+def test_integers_of_64_bits(spark, tmp_path):
+    user = 12_345_678_901_234_567
+    got = {r["event_id"]: r["cents"] for r in run(spark, tmp_path, "strict_numbers", events=events(spark, user)).collect()}
+    assert got == {i: user * 100 if i % 5 == 0 else None for i in range(10)}
+    df = spark.createDataFrame([("9223372036854775807",), ("9223372036854775808",), ("-9223372036854775808",)], "v string")
+    assert [r[0] for r in df.select(publication.strict_integer(F.col("v"), most=(1 << 63) - 1)).collect()] == [(1 << 63) - 1, None, None]
+    assert [r[0] for r in df.select(publication.strict_integer(F.col("v"))).collect()] == [None] * 3
