@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmill.operators import predicates
 from fieldmill.operators.analytics import due_after
+from fieldmill.plans.spec import SearchSpec
 
 
 def in_id_set(rows: DataFrame, key: str, ids: str) -> DataFrame:
@@ -68,3 +70,10 @@ def dispositions(rows: DataFrame, key: str, arrival: str, at: str, seen: str | N
 def page_and_total(page: DataFrame, total: DataFrame) -> DataFrame:
     """The page's rows with the total beside them; an empty page gives one row of nulls with it. total: one row."""
     return total.join(page, F.lit(True), "left")
+
+
+def searched(rows: DataFrame, spec: SearchSpec) -> DataFrame:
+    """The page of a search with the total beside it. A page behind the last match is known to be empty from the total, so nothing is ordered for it."""
+    total = predicates.total(rows, spec).first()["total"]
+    page = predicates.search(rows, spec) if total > max(spec.offset, 0) else rows.limit(0)
+    return page_and_total(page, rows.sparkSession.range(1).select(F.lit(total).cast("long").alias("total")))
