@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -188,13 +191,16 @@ def geography_tiers(spark, d):
  AND (min_lease IS NULL OR (filter_id % 3 = 0 AND min_lease <= 5) OR (filter_id % 3 = 1 AND min_lease >= 6) OR filter_id % 3 = 2)""")
 def saved_search_matches(spark, d):
     s = _filters(spark, d).select("filter_id", F.concat(F.lit("Brand#"), 11 + F.col("filter_id") % 5).alias("kind"), F.col("low"), F.col("high"), F.array("rooms").alias("bedrooms"), F.when(F.col("filter_id") % 3 == 0, 5).when(F.col("filter_id") % 3 == 1, 6).alias("lease"))
-    rows, c = listings(spark, d).alias("p"), F.col
+    # Filters that ask for the same match the same rows, which are found once.
+    asked = ["kind", "low", "high", "bedrooms", "lease"]
+    rows, kinds, c = shaping.spread(listings(spark, d), "id").alias("p"), s.select(*asked).distinct().alias("s"), F.col
     none, yes, places = F.lit(None).cast("string"), F.lit(False), F.array().cast("array<string>")
     fits = tiers.matches_search(
         {"kind": c("p.category"), "city": F.lit("x"), "category": none, "pool": yes, "min_lease": c("p.min_lease"), "bedrooms": c("p.bedrooms"), "place": F.lit(""), "price": c("p.price")},
         {"kind": c("s.kind"), "city": F.lit("x"), "category": none, "pool": yes, "lease": c("s.lease"), "bedrooms": c("s.bedrooms"), "places": places, "low": c("s.low") / 100, "high": c("s.high") / 100},
     )
-    return rows.join(s.alias("s"), (c("p.category") == c("s.kind")) & fits).select("id", "filter_id")
+    found = rows.join(kinds, (c("p.category") == c("s.kind")) & fits).select("id", *[c(f"s.{x}").alias(f"_{x}") for x in asked])
+    return found.join(s, reduce(and_, [c(x).eqNullSafe(c(f"_{x}")) for x in asked])).select("id", "filter_id")
 
 
 @query(LISTINGS + "SELECT CASE WHEN price IS NULL THEN 'no_price' WHEN price <= 0 THEN 'free' WHEN bedrooms IS NULL THEN 'no_rooms' ELSE 'shown' END AS reason, count(*) AS n FROM listings GROUP BY 1")

@@ -55,3 +55,7 @@ def test_a_page_behind_the_last_match_is_empty_at_any_size(spark, tmp_path):
     parts = spark.range(1, 70_001).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(4).alias("p_size"), F.lit(915.0).alias("p_retailprice"))
     (row,) = run(spark, tmp_path, "total_of_an_empty_page", part=parts).collect()
     assert row["id"] is None and row["total"] == sum(k % 9 > 0 and k % 11 > 0 for k in range(1, 70_001)) > 50_000
+
+
+def test_equal_saved_searches_are_matched_as_one(spark):
+    assert "Aggregate [" in plan(entry.queries()["saved_search_matches"](spark, DIR))
