@@ -65,3 +65,8 @@ def test_a_range_whose_bounds_meet_stays_a_range(spark, tmp_path):
     rows = spark.range(2).select(F.col("id").alias("event_id"), F.lit(400).cast("long").alias("user_id"))
     for r in run(spark, tmp_path, "demand_wishes", events=rows).collect():
         assert (r["low"], r["high"], r["target"], r["approximate"]) == (500.0, 500.0, None, False)
+
+
+@pytest.mark.parametrize("name", ["clean_pictures", "demand_wishes"])
+def test_costly_expressions_run_in_all_cores(spark, name):
+    assert entry.queries()[name](spark, DIR).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
