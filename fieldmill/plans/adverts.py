@@ -33,7 +33,7 @@ ADS = f"SELECT p_partkey AS id, {BODY} AS body, p_type AS title, CAST(round(p_re
 
 
 def ads(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").selectExpr("p_partkey AS id", f"{BODY} AS body", "p_type AS title", "CAST(round(p_retailprice * 100) AS BIGINT) AS rent")
+    return shaping.spread(table(spark, d, "part")).selectExpr("p_partkey AS id", f"{BODY} AS body", "p_type AS title", "CAST(round(p_retailprice * 100) AS BIGINT) AS rent")
 
 
 def _says(c: str, p: str) -> str:
