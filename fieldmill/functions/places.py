@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldmill.functions.rooms import one
+
 
 class Area(NamedTuple):
     """An area of a city. native: its name in the local script; official: whether it is an administrative unit of its own."""
@@ -49,8 +51,12 @@ def _first(rules: list[tuple[Column, str]]) -> Column:
 
 def official_area(c: Column, areas: list[Area], prefix: str = "") -> Column:
     """The key of the administrative area whose whole name a label is; a leading word such as "district" may be given as prefix."""
-    label = F.regexp_replace(plain(c), rf"^{prefix} ", "") if prefix else plain(c)
-    return _first([(label.isin(*{_plain(x) for x in (a.name, *a.aliases)}) | (F.trim(c) == a.native if a.native else F.lit(False)), a.key) for a in areas if a.official])
+    return one(F.struct(plain(c).alias("plain"), F.trim(c).alias("c")), lambda p: _official(p["plain"], p["c"], areas, prefix))
+
+
+def _official(label: Column, trimmed: Column, areas: list[Area], prefix: str) -> Column:
+    label = F.regexp_replace(label, rf"^{prefix} ", "") if prefix else label
+    return _first([(label.isin(*{_plain(x) for x in (a.name, *a.aliases)}) | (trimmed == a.native if a.native else F.lit(False)), a.key) for a in areas if a.official])
 
 
 def find_area(c: Column, areas: list[Area], noise: tuple[str, ...] = (), prefix: str = "") -> Column:
@@ -59,14 +65,25 @@ def find_area(c: Column, areas: list[Area], noise: tuple[str, ...] = (), prefix:
     In this order: the whole label, the parts between commas from the first on without generic names (noise), a native name
     anywhere, a name or an alias of four letters or more anywhere. Parts that name two official areas contradict each other: null.
     """
-    parts = F.filter(F.split(c, r"\s*(?:[,/&]|\band\b)\s*"), lambda p: ~plain(p).isin("", *[_plain(x) for x in noise]))
-    named = F.array_distinct(F.array_compact(F.transform(parts, lambda p: official_area(p, areas, prefix))))
-    spaced = F.concat(F.lit(" "), plain(c), F.lit(" "))
-    native = _first([(F.contains(c, F.lit(a.native)), a.key) for a in areas if a.native])
-    alias = lambda p: _first([(plain(p).isin(*{_plain(x) for x in (a.name, *a.aliases)}), a.key) for a in areas])
-    by_part = F.get(F.array_compact(F.transform(parts, alias)), 0)
-    inside = _first([(F.contains(spaced, F.lit(x)), a.key) for a in areas for x in [_plain(a.name), *(_plain(y) for y in a.aliases if len(_plain(y)) >= INSIDE)]])
-    return F.when(F.size(named) <= 1, F.coalesce(official_area(c, areas, prefix), F.get(named, 0), native, by_part, inside))
+    every = F.transform(F.split(c, r"\s*(?:[,/&]|\band\b)\s*"), lambda p: F.struct(plain(p).alias("plain"), F.trim(p).alias("c")))
+    parts = F.filter(every, lambda p: ~p["plain"].isin("", *[_plain(x) for x in noise]))
+    given = F.struct(c.alias("c"), F.trim(c).alias("trimmed"), plain(c).alias("plain"), parts.alias("parts"))
+
+    def named(x: Column) -> Column:
+        keys = F.array_distinct(F.array_compact(F.transform(x["parts"], lambda p: _official(p["plain"], p["c"], areas, prefix))))
+        return one(keys, lambda k: F.when(F.size(k) <= 1, F.coalesce(_official(x["plain"], x["trimmed"], areas, prefix), F.get(k, 0), _inside(x, areas))))
+
+    return F.when(c.isNotNull(), one(given, named))
+
+
+def _inside(x: Column, areas: list[Area]) -> Column:
+    """The area whose native name, whole alias in a part, or longer alias anywhere a text has. x: c, plain, parts."""
+    spaced = F.concat(F.lit(" "), x["plain"], F.lit(" "))
+    native = _first([(F.contains(x["c"], F.lit(a.native)), a.key) for a in areas if a.native])
+    alias = lambda p: _first([(p["plain"].isin(*{_plain(y) for y in (a.name, *a.aliases)}), a.key) for a in areas])
+    by_part = F.get(F.array_compact(F.transform(x["parts"], alias)), 0)
+    inside = _first([(F.contains(spaced, F.lit(y)), a.key) for a in areas for y in [_plain(a.name), *(_plain(z) for z in a.aliases if len(_plain(z)) >= INSIDE)]])
+    return F.coalesce(native, by_part, inside)
 
 
 def area_key(fields: list[Column], city: Column, areas: list[Area], prefix: str = "") -> Column:
@@ -87,8 +104,10 @@ def search_names(names: list[str], areas: list[Area], prefix: str = "District")
 
 def landmarks(c: Column, marks: list[Landmark], city: str | None = None) -> Column:
     """Identifiers of the landmarks that a text names, in the order of the table: a native name anywhere or an alias as whole words."""
-    spaced = F.concat(F.lit(" "), plain(c), F.lit(" "))
+    return one(F.struct(c.alias("c"), F.concat(F.lit(" "), plain(c), F.lit(" ")).alias("spaced")), lambda x: _named(x["c"], x["spaced"], marks, city))
+
 
+def _named(c: Column, spaced: Column, marks: list[Landmark], city: str | None) -> Column:
     def named(m: Landmark) -> Column:
         out = F.contains(c, F.lit(m.native)) if m.native else F.lit(False)
         for a in map(_plain, m.aliases):

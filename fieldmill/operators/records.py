@@ -88,15 +88,17 @@ def cleaned(raw: DataFrame, areas: list[places.Area], marks: list[places.Landmar
     """
     c = F.col
     body = F.concat_ws("\n", "title", "description")
-    read, found = source_price(body), places.landmarks(body, marks)
-    near = places.of_landmarks(found, marks)
-    area = F.coalesce(places.find_area(c("location"), areas, noise), places.find_area(body, areas, noise), near["area"])
+    # What several columns read is a column of its own, which Spark computes once.
+    raw = raw.withColumns({"_read": source_price(body), "_rooms": rooms.room_counts(body), "_found": places.landmarks(body, marks)})
+    raw = raw.withColumn("_near", places.of_landmarks(c("_found"), marks))
+    raw = raw.withColumn("_area", F.coalesce(places.find_area(c("location"), areas, noise), places.find_area(body, areas, noise), c("_near")["area"]))
+    read, found, near, area = c("_read"), c("_found"), c("_near"), c("_area")
     city = F.coalesce(near["city"], c("city"))
     price = F.coalesce(F.when(c("price") > 0, c("price").cast("double")), read["price"])
     currency = F.when(c("currency").isin("USD", "KHR"), c("currency")).otherwise(F.coalesce(read["currency"], F.lit("USD")))
     warn = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
     said = c("_rooms")
-    return raw.withColumn("_rooms", rooms.room_counts(body)).select(
+    return raw.select(
         "id", F.coalesce(F.nullif(text.collapse(c("title")), F.lit("")), F.lit("Untitled")).alias("title"), price.alias("price"), F.when(price.isNotNull(), currency).alias("currency"), city.alias("city"), area.alias("area"),
         adverts.category(body).alias("category"), adverts.offer_type(body).alias("offer"), said["bedrooms"].alias("bedrooms"), said["bathrooms"].alias("bathrooms"), found.alias("landmarks"),
         F.array_compact(F.array(
