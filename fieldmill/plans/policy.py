@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmill.functions import policy, rooms
 from fieldmill.operators import enrichment
+from fieldmill.operators.shaping import spread
 from fieldmill.plans.catalogue import query
 from fieldmill.sources.readers import table
 
@@ -48,7 +49,7 @@ def part_fact_policy(spark, d):
     model = F.struct(_joined(n, " bedrooms house ", F.col("p_name")).alias("title"), F.lit("").alias("description"), (F.round(F.col("p_retailprice") * 100) / 100).alias("price"), F.lit("USD").alias("currency"), n.alias("bedrooms"), F.lit(1).alias("bathrooms"), F.lit("Private House").alias("property_type"), F.lit("room").alias("category"), F.array(F.lit("refrigerator"), F.lit("moon")).alias("amenities"))
     form = F.struct(F.when(k % 5 == 3, m).alias("bedrooms"), F.lit(None).cast("int").alias("bathrooms"))
     facts = policy.grounded_facts(model, t, form, list(policy.AMENITIES))
-    return table(spark, d, "part").select(k.alias("id"), facts.alias("f")).select("id", *[f"f.{c}" for c in ("price", "currency", "bedrooms", "deposit", "property_type", "category", "amenities", "title")])
+    return spread(table(spark, d, "part")).select(k.alias("id"), facts.alias("f")).select("id", *[f"f.{c}" for c in ("price", "currency", "bedrooms", "deposit", "property_type", "category", "amenities", "title")])
 
 
 @query("""WITH m AS (SELECT l_partkey AS id, count(*) AS n, CAST(max(l_quantity) AS INTEGER) AS beds, 'L' || max(l_linenumber) AS place FROM lineitem GROUP BY l_partkey HAVING count(*) % 5 > 0),

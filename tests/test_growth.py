@@ -67,6 +67,6 @@ def test_a_range_whose_bounds_meet_stays_a_range(spark, tmp_path):
         assert (r["low"], r["high"], r["target"], r["approximate"]) == (500.0, 500.0, None, False)
 
 
-@pytest.mark.parametrize("name", ["raw_to_record", "clean_pictures", "advert_restrictions", "advert_spam", "demand_wishes"])
+@pytest.mark.parametrize("name", ["raw_to_record", "part_fact_policy", "clean_pictures", "advert_restrictions", "advert_spam", "demand_wishes"])
 def test_costly_expressions_run_in_all_cores(spark, name):
     assert entry.queries()[name](spark, DIR).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
