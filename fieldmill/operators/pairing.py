@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from functools import reduce
+from heapq import heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from fieldmill.operators.components import _cut, connected_components, shared_folder
 from fieldmill.operators.shaping import star_pairs
@@ -111,6 +116,72 @@ def interval_join(points: DataFrame, ranges: DataFrame, keys: list[tuple[str, st
     return j.where(inside).select(*points.columns, *ranges.columns)
 
 
+def least_of_ranges(ranges: DataFrame, keys: list[str], low: str, high: str, ident: str) -> DataFrame:
+    """keys, start, open, end, closed, ident: for each key the stretches of a line on which some range lies, with the least ident there.
+
+    A range has both its ends, a null end is open. A stretch begins with `start` itself or, if open, just behind it, and ends
+    with `end` itself if closed, else just before it; a null end is none. A key's ends pass one task in order, and a heap holds
+    the ranges under way, so its stretches are at most twice its ranges, however these overlap.
+    """
+    known = [f.name for f in ranges.schema if f.name in keys]
+    inf = float("inf")
+    r = ranges.where(F.col(ident).isNotNull()).select(*known, F.coalesce(F.col(low).cast("double"), F.lit(-inf)).alias("_low"), F.coalesce(F.col(high).cast("double"), F.lit(inf)).alias("_high"), F.col(ident).cast("long").alias("_id")).where("_low <= _high")
+    ends = r.withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_at", F.when(F.col("_end") == 0, F.col("_low")).otherwise(F.col("_high")))
+    columns = [*known, "_at", "_end", "_high", "_id"]
+    rows = ends.repartition(*known).sortWithinPartitions(*known, "_at", "_end").select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heap, now = None, [], None  # now: least ident, start, open
+        for b in batches:
+            out: list[tuple] = []
+
+            def close(at: float, closed: bool) -> None:
+                if now is not None and (now[1] < at or (closed and not now[2])):
+                    out.append((*key, now[1], now[2], at, closed, now[0]))
+
+            for *k, at, end, high_, i in zip(*(b[c].to_pylist() for c in columns)):
+                if k != key:
+                    key, heap, now = k, [], None
+                if end == 0:
+                    heappush(heap, (i, high_))
+                    if now is None or i < now[0]:
+                        close(at, False)
+                        now = (i, at, False)
+                elif now is not None and i == now[0]:
+                    # Ranges that end here end together; one that begins here has been taken in before.
+                    while heap and heap[0][1] <= at:
+                        heappop(heap)
+                    if not heap or heap[0][0] != i:
+                        close(at, True)
+                        now = (heap[0][0], at, True) if heap else None
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)], names=[*known, "start", "open", "end", "closed", ident])
+
+    schema = StructType([*(ranges.schema[k] for k in known), StructField("start", DoubleType()), StructField("open", BooleanType()), StructField("end", DoubleType()), StructField("closed", BooleanType()), StructField(ident, LongType())])
+    types = [f.type for f in to_arrow_schema(schema)]
+    return rows.mapInArrow(run, schema)
+
+
+def first_of_ranges(points: DataFrame, point: str, ranges: DataFrame, keys: list[tuple[str, str]], by: list[str], value: str, low: str, high: str, ident: str, buckets: int = 1 << 12) -> DataFrame:
+    """point, by, ident: for each point and value of `by` the least ident of the ranges that hold it. keys: equal columns of both.
+
+    What a point may meet is not every range but the stretches of least_of_ranges() in its own part of the line, at each
+    place one for each value of `by`. Parts are buckets of equal width between the points' ends.
+    """
+    right = [b for _, b in keys]
+    of = least_of_ranges(ranges, [*right, *by], low, high, ident)
+    p = points.where(F.col(value).isNotNull()).select(point, *[a for a, _ in keys], F.col(value).cast("double").alias("_v"))
+    ends = p.agg(F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    bucket = lambda c: F.when(F.col("_to") > F.col("_from"), F.floor((F.col(c) - F.col("_from")) / (F.col("_to") - F.col("_from")) * buckets)).otherwise(F.lit(0).cast("long"))
+    s = of.crossJoin(F.broadcast(ends)).where((F.col("start") <= F.col("_to")) & (F.col("end") >= F.col("_from")))  # one row
+    s = s.withColumn("_s", F.greatest("start", "_from")).withColumn("_e", F.least("end", "_to")).withColumn("_b", F.explode(F.sequence(bucket("_s"), bucket("_e"))))
+    p = p.crossJoin(F.broadcast(ends)).withColumn("_pb", bucket("_v")).drop("_from", "_to")
+    inside = ((F.col("_v") > F.col("start")) | ((F.col("_v") == F.col("start")) & ~F.col("open"))) & ((F.col("_v") < F.col("end")) | ((F.col("_v") == F.col("end")) & F.col("closed")))
+    j = p.join(s, [*[F.col(a) == F.col(b) for a, b in keys], F.col("_pb") == F.col("_b")]).where(inside).select(point, *by, ident)
+    if p.groupBy(point).count().where("count > 1").isEmpty():
+        return j
+    return j.groupBy(point, *by).agg(F.min(ident).alias(ident))
+
+
 # Clusters mended where signals changed.
 
 

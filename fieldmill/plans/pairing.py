@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldmill.operators.components import _cut, connected_components
-from fieldmill.operators.pairing import SignalIndex, delete_closure, greedy_pairs, interval_join, mended_clusters
+from fieldmill.operators.pairing import SignalIndex, delete_closure, first_of_ranges, greedy_pairs, interval_join, mended_clusters
 from fieldmill.operators.shaping import star_pairs
 from fieldmill.plans.catalogue import query
 from fieldmill.sources.readers import table
@@ -56,8 +56,7 @@ def _offers(spark, d):
 @query(f"WITH {SEARCHES} SELECT o_orderkey, user_id, min(filter_id) AS filter_id FROM orders JOIN searches ON o_orderpriority = kind AND (low IS NULL OR o_totalprice >= low) AND (high IS NULL OR o_totalprice <= high) GROUP BY ALL")
 def first_saved_match(spark, d):
     """Each order and user with the first of the user's searches that it matches."""
-    j = interval_join(_offers(spark, d), _searches(spark, d), [("o_orderpriority", "kind")], "o_totalprice", "low", "high", 5000.0, 2000)
-    return j.groupBy("o_orderkey", "user_id").agg(F.min("filter_id").alias("filter_id"))
+    return first_of_ranges(_offers(spark, d), "o_orderkey", _searches(spark, d), [("o_orderpriority", "kind")], ["user_id"], "o_totalprice", "low", "high", "filter_id")
 
 
 @query(f"""WITH {SEARCHES}, recent AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders QUALIFY r <= 500),

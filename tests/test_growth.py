@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fieldmill.operators import publication, shaping
+from fieldmill.operators import pairing, publication, shaping
 
 DIR = "/root/testdata/sf0.01"
 
@@ -70,3 +70,20 @@ def test_a_range_whose_bounds_meet_stays_a_range(spark, tmp_path):
 @pytest.mark.parametrize("name", ["raw_to_record", "part_fact_policy", "clean_pictures", "advert_restrictions", "advert_spam", "demand_wishes"])
 def test_costly_expressions_run_in_all_cores(spark, name):
     assert entry.queries()[name](spark, DIR).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_first_of_ranges_meets_stretches_and_not_all_ranges(spark):
+    n = 300
+    ranges = [(i * 7 % n, i % 2, i % 3, None if i % 11 == 0 else float(i % 20), None if i % 13 == 0 else float(i % 20 + i % 4)) for i in range(n)]
+    points = [(p, p % 2, float(p % 25)) for p in range(60)] + [(3, 1, 9.5), (99, 0, None)]
+    r = spark.createDataFrame(ranges, "ident long, kind long, user long, low double, high double")
+    p = spark.createDataFrame(points, "p long, k long, v double")
+    want = {}
+    for a, k, v in points:
+        for i, kind, user, low, high in ranges:
+            if v is not None and k == kind and (low is None or v >= low) and (high is None or v <= high):
+                want[a, user] = min(i, want.get((a, user), i))
+    got = pairing.first_of_ranges(p, "p", r, [("k", "kind")], ["user"], "v", "low", "high", "ident").collect()
+    assert sorted(map(tuple, got)) == sorted((*k, i) for k, i in want.items())
+    heavy = spark.range(20_000).select(F.col("id").alias("ident"), F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("user"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    assert [tuple(x) for x in pairing.least_of_ranges(heavy, ["kind", "user"], "low", "high", "ident").select("ident").collect()] == [(0,)]  # every point met 20,000 ranges before
