@@ -33,7 +33,7 @@ def _resolved(nodes: DataFrame, most_jumps: int = 60) -> DataFrame:
         if cur.where("up IS NOT NULL").isEmpty():
             return cur.select("node", F.substring("f", 1, 1).alias("state"))
         above = cur.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("f").alias("_f"))
-        j = cur.join(above, F.col("up") == F.col("_n"), "left")
+        j = cur.join(above.hint("merge"), F.col("up") == F.col("_n"), "left")
         cur = _cut(j.select("node", F.col("_up").alias("up"), F.when(F.col("up").isNull(), F.col("f")).otherwise(_translate(F.col("_f"), F.col("f"))).alias("f")))
     raise RuntimeError("pointers did not end")
 
@@ -52,6 +52,9 @@ def greedy_pairs(pairs: DataFrame, least: float = 0.55, most_rounds: int = 50) -
     waits for the next round. So along a path of pointers items are matched and left by turns, and one round decides all
     trees of pointers by jumping: a chain of any length ends in a round or two, not in one for each pair. Pairs of a null
     item or score, and those under `least`, are left out; of repeated pairs the best score counts.
+
+    All joins are by sorting: sizes guessed from a compressed file are far under those of its rows as pairs and nodes, and
+    a side taken for small would be gathered by the driver to be broadcast.
     """
     cols = ["a", "b", "score"]
     cur = _cut(pairs.select(*cols).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("score") >= least)).groupBy("a", "b").agg(F.max("score").alias("score")))
@@ -69,19 +72,19 @@ def greedy_pairs(pairs: DataFrame, least: float = 0.55, most_rounds: int = 50) -
         second = ranked.where("_r = 2").select(F.col("node").alias("_n"), F.col("other").alias("_second"))
         back = first.select(F.col("node").alias("_m"), F.col("up").alias("_back"))
         # What an item gives those that point at it: its choice besides its own pointer, and whether that one points back.
-        j = first.join(second, F.col("node") == F.col("_n"), "left").drop("_n")
-        j = j.join(back, F.col("_second") == F.col("_m"), "left").drop("_m")
+        j = first.join(second.hint("merge"), F.col("node") == F.col("_n"), "left").drop("_n")
+        j = j.join(back.hint("merge"), F.col("_second") == F.col("_m"), "left").drop("_m")
         giving = _cut(j.select(F.col("node").alias("_g"), F.col("up").alias("_gup"), "_second", (F.col("_second").isNull() | F.coalesce(F.col("_back") == F.col("node"), F.lit(False))).alias("_safe")))
-        k = first.join(giving, F.col("up") == F.col("_g"))
+        k = first.join(giving.hint("merge"), F.col("up") == F.col("_g"))
         root = F.col("_gup") == F.col("node")
         chosen = F.coalesce(F.col("_second") == F.col("node"), F.lit(False))
         f = F.when(root, "MMM").when(~F.col("_safe"), "FUU").when(chosen, "FMU").otherwise("FFU")
         nodes = k.select("node", F.when(~root, F.col("up")).alias("up"), f.alias("f"))
         state = _resolved(nodes)
-        matched = state.where("state = 'M'").join(first, "node").select(*cols).distinct()
+        matched = state.where("state = 'M'").join(first.hint("merge"), "node").select(*cols).distinct()
         matched = _cut(matched)
         out = out.unionByName(matched)
-        cur = _cut(cur.join(matched.select("a"), "a", "left_anti").join(matched.select("b"), "b", "left_anti").select(*cols))
+        cur = _cut(cur.join(matched.select("a").hint("merge"), "a", "left_anti").join(matched.select("b").hint("merge"), "b", "left_anti").select(*cols))
     raise RuntimeError(f"pairs left after {most_rounds} rounds")
 
 

@@ -87,3 +87,11 @@ def test_first_of_ranges_meets_stretches_and_not_all_ranges(spark):
     assert sorted(map(tuple, got)) == sorted((*k, i) for k, i in want.items())
     heavy = spark.range(20_000).select(F.col("id").alias("ident"), F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("user"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
     assert [tuple(x) for x in pairing.least_of_ranges(heavy, ["kind", "user"], "low", "high", "ident").select("ident").collect()] == [(0,)]  # every point met 20,000 ranges before
+
+
+def test_greedy_matching_sends_nothing_through_the_driver(spark, monkeypatch):
+    plans, cut = [], pairing._cut
+    monkeypatch.setattr(pairing, "_cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    pairs = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (2, 1, 0.8), (2, 2, 0.7)], "a long, b long, score double")
+    assert sorted(map(tuple, pairing.greedy_pairs(pairs).collect())) == [(1, 1, 0.9), (2, 2, 0.7)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
