@@ -276,11 +276,22 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     return common.cut(both.select("src", "dst", "_a", "_b").mapInArrow(compare, "src long, dst long").distinct())
 
 
+def fingerprint_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (src, dst) of rows with identifiers whose fingerprints, those of near_duplicates(), are equal or linked: of equal
+    ones each row with the least, of two linked ones the least of either."""
+    rows = common.cut(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    star = rows.join(nodes, "fp").select(F.col("doc_id").alias("src"), F.col("least").alias("dst"))
+    ends = [nodes.select(F.col("fp").alias(x), F.col("least").alias(f"_{x}")) for x in ("src", "dst")]
+    linked = links(nodes).join(ends[0], "src").join(ends[1], "dst").select(F.greatest("_src", "_dst").alias("src"), F.least("_src", "_dst").alias("dst"))
+    return star.unionByName(linked).where("src <> dst").distinct()
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of the documents that are linked: at least SIMILARITY of five-word shingles in common.
 
-    Pairs that are neighbours by one of VIEWS fingerprints of their word sets, or by a shingle of their prefixes, are held
-    against the texts first; their links' labels only spare known links. All pairs of different labels that share a shingle
+    Pairs whose SimHash fingerprints are linked, as near_duplicates() links them, pairs that are neighbours by one of VIEWS
+    fingerprints of their word sets, or by a shingle of their prefixes, are held against the texts first; their links' labels only spare known links. All pairs of different labels that share a shingle
     of their prefixes follow, which no pair of SIMILARITY can lack, so no link is lost. Null identifiers and texts without
     words take no part; of rows that share an identifier, all stand for it.
     """
@@ -289,7 +300,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     entries = prefixes(docs, shingle_counts(found.where("node IS NULL").select("shard", "part", "counts")), id_col, text_col)
     beside = entries.where("before <> node").select(F.greatest("before", "node").alias("src"), F.least("before", "node").alias("dst"))
     views = found.where("node IS NOT NULL").select("node", F.posexplode("fps").alias("f", "fp"))
-    near = verified(possible(neighbours(views).unionByName(beside).distinct(), known), docs, id_col, text_col)
+    first = fingerprint_pairs(docs, id_col, text_col).unionByName(neighbours(views)).unionByName(beside).distinct()
+    near = verified(possible(first, known), docs, id_col, text_col)
     far = verified(prefix_matches(entries, connected_components(near, rounds=LABEL_ROUNDS), known), docs, id_col, text_col)
     return connected_components(near.unionByName(far))
 

@@ -95,3 +95,17 @@ def test_greedy_matching_sends_nothing_through_the_driver(spark, monkeypatch):
     pairs = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (2, 1, 0.8), (2, 2, 0.7)], "a long, b long, score double")
     assert sorted(map(tuple, pairing.greedy_pairs(pairs).collect())) == [(1, 1, 0.9), (2, 2, 0.7)]
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_near_stage_takes_candidates_from_the_simhash_links(spark, monkeypatch):
+    import corpus_pipeline
+    from fieldmill.llm import simhash
+
+    found, whole = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps: found.append(whole(fps)) or found[-1])
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words[::-1]), " ".join(words)]
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, DIR).collect()) == [1, 3]
+    pairs = {tuple(r) for r in simhash.fingerprint_pairs(docs, "doc_id", "text").collect()}
+    assert len(found) == 2 and (4, 1) in pairs
