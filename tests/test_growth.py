@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fieldmill.operators import pairing, publication, shaping
+from fieldmill.operators import dedupe, pairing, publication, shaping
 
 DIR = "/root/testdata/sf0.01"
 
@@ -109,3 +109,13 @@ def test_near_stage_takes_candidates_from_the_simhash_links(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, DIR).collect()) == [1, 3]
     pairs = {tuple(r) for r in simhash.fingerprint_pairs(docs, "doc_id", "text").collect()}
     assert len(found) == 2 and (4, 1) in pairs
+
+
+def test_hashes_are_looked_up_without_a_broadcast_in_bands_of_all_64_bits(spark):
+    base = 0x0123456789ABCDEF
+    flips = [0, 0b11111, 0b111111, 0b111 << 60, 0b10101 << 40]
+    df = spark.createDataFrame([(i, base ^ f if (base ^ f) < 1 << 63 else (base ^ f) - (1 << 64)) for i, f in enumerate(flips)], "id long, hash long")
+    out = dedupe.band_pairs(df, 5)
+    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(flips) for j, b in enumerate(flips) if i < j and (a ^ b).bit_count() <= 5}
+    assert {tuple(r) for r in out.collect()} == want
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
