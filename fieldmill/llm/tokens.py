@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: Code points outside those whose letter, number and space classes are alike in the Unicode versions of Java 17 and of the tokenizers' libraries.
 RARE = re.compile("[^\u0000-\u07ff\u2000-\u2bff\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 
-#: Distinct pre-tokens that a worker remembers; it forgets all of them beyond.
-REMEMBERED = 200_000
+#: Distinct pre-tokens that a worker remembers until a new generation begins; those that the new one does not ask for are forgotten with the next.
+REMEMBERED = 400_000
 
 
 def with_pretokens(df: DataFrame, text: Column, pattern: str, keep: list[Column], special: str | None = None) -> DataFrame:
@@ -38,13 +38,20 @@ class Memo(dict):
 
     def __init__(self, many: Callable[[list[str]], list[bytes]]):
         super().__init__()
-        self.many = many
+        self.many, self.older = many, {}
 
     def of(self, words: list[str]) -> list[bytes]:
         if len(self) > REMEMBERED:
+            self.older = dict(self)
             self.clear()
         out = list(map(self.get, words))
-        if gaps := [i for i, x in enumerate(out) if x is None]:
+        gaps = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            if (x := self.older.get(words[i])) is None:
+                gaps.append(i)
+            else:
+                self[words[i]] = out[i] = x
+        if gaps:
             missing = [words[i] for i in gaps]
             for i, w, x in zip(gaps, missing, self.many(missing)):
                 self[w] = out[i] = x

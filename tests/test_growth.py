@@ -119,3 +119,16 @@ def test_hashes_are_looked_up_without_a_broadcast_in_bands_of_all_64_bits(spark)
     want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(flips) for j, b in enumerate(flips) if i < j and (a ^ b).bit_count() <= 5}
     assert {tuple(r) for r in out.collect()} == want
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pretokens_that_recur_are_encoded_once(monkeypatch):
+    from fieldmill.llm import tokens
+
+    asked = []
+    memo = tokens.Memo(lambda words: asked.extend(words) or [w.encode() for w in words])
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    for i in range(40):
+        new = [f"w{i}-{k}" for k in range(20)]
+        assert memo.of(["the", *new]) == [b"the", *(w.encode() for w in new)]
+        assert len(memo) + len(memo.older) <= 2 * (50 + 21)
+    assert asked.count("the") == 1 and len(asked) == 801
