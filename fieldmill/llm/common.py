@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmill.operators.components import _cut
+
 #: Rows and bytes of an Arrow batch at most; a single longer text is a batch of its own.
 ARROW_ROWS, ARROW_BYTES = 800, 64 << 20
 
@@ -44,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder. For narrow tables: each row is stored once."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return _cut(df)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -132,3 +132,14 @@ def test_pretokens_that_recur_are_encoded_once(monkeypatch):
         assert memo.of(["the", *new]) == [b"the", *(w.encode() for w in new)]
         assert len(memo) + len(memo.older) <= 2 * (50 + 21)
     assert asked.count("the") == 1 and len(asked) == 801
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    from fieldmill.operators.components import _cut
+
+    rows = spark.range(1000).repartition(5)
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    cut = _cut(rows)
+    assert files() <= before and cut.count() == 1000
+
