@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmill.operators.components import _cut, connected_components
 from fieldmill.operators.pairing import SignalIndex, delete_closure, first_of_ranges, greedy_pairs, interval_join, mended_clusters
-from fieldmill.operators.shaping import star_pairs
+from fieldmill.operators.shaping import spread, star_pairs
 from fieldmill.plans.catalogue import query
 from fieldmill.sources.readers import table
 
@@ -66,7 +66,7 @@ def saved_search_page(spark, d):
     """The second page of three of each search, among the 500 newest orders of its kind, with the number of all matches there."""
     newest = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_orderdate"), "o_orderkey")
     recent = _offers(spark, d).withColumn("r", F.row_number().over(newest)).where("r <= 500")
-    j = interval_join(recent, _searches(spark, d), [("o_orderpriority", "kind")], "o_totalprice", "low", "high", 5000.0)
+    j = interval_join(recent, spread(_searches(spark, d), "filter_id"), [("o_orderpriority", "kind")], "o_totalprice", "low", "high", 5000.0)
     totals = j.groupBy("filter_id").agg(F.count("*").alias("total"))
     page = j.withColumn("rank", F.row_number().over(Window.partitionBy("filter_id").orderBy("r")).cast("long")).where("rank <= 6").where("rank >= 4")
     return page.join(totals, "filter_id").select("filter_id", "o_orderkey", "rank", "total")

@@ -143,3 +143,8 @@ def test_a_checkpoint_leaves_no_shuffle_files(spark):
     cut = _cut(rows)
     assert files() <= before and cut.count() == 1000
 
+
+
+def test_searches_of_a_page_are_dealt_over_all_cores(spark):
+    plan_ = entry.queries()["saved_search_page"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(filter_id" in x and "REPARTITION_BY_NUM" in x for x in plan_.splitlines())
