@@ -76,3 +76,40 @@ def test_trigrams_of_any_characters(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in cases], "t string").select(text.trigrams(F.col("t"))).collect()]
     want = [([t] if t else []) if len(t) < 3 else list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) for t in cases]
     assert got == want
+
+
+def test_candidates_are_bounded_before_texts_are_read_and_no_link_is_lost(spark):
+    """Pairs of all documents of a small table by every rule, against brute force over the same candidates; words of any frequency, and with no word left out where texts are read."""
+    kinds = ["PROPERTY_CODE:A1", "MAPS_URL:m", "EMAIL:a@b.co"]
+    rows = []
+    for i in range(240):
+        words = [f"w{k}" for k in range(12)] + [f"g{i // 6}x{k}" for k in range(4 + i % 3 * 10)] + [f"own{i}"] * (i % 4)
+        rows.append((i, f"h{i // 12}" if i % 5 == 0 else f"h-{i}", f"u{i // 3}" if i % 2 else "", f"a{i % 7}", " ".join(words), [k for n, k in enumerate(kinds) if (i // 6 + n) % 4 < 2]))
+    items = spark.createDataFrame(rows, "id long, content_hash string, url string, author string, norm string, identifiers array<string>").withColumn("tokens", text.tokens(F.col("norm")))
+    from fieldmill.operators.dedupe import capped
+    from fieldmill.operators.shaping import star_pairs
+
+    side = lambda x: items.select(*[F.col(c).alias(f"{c}_{x}") for c in items.columns])
+    j = star_pairs(capped(R.signals(items), len(rows))).join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    s = text.similarity(F.col("tokens_a"), F.col("tokens_b"), text.trigrams(F.col("norm_a")), text.trigrams(F.col("norm_b")))
+    same = lambda c: (F.col(f"{c}_a") == F.col(f"{c}_b")) & (F.col(f"{c}_a") != "")
+    r = R.decision(s, F.size("tokens_a"), F.length("norm_a"), same("content_hash"), same("url"), same("norm"), same("author"), F.array_intersect("identifiers_a", "identifiers_b"))
+    want = {(x["a"], x["b"], x["r"]["method"], round(x["r"]["confidence"], 9)) for x in j.select("a", "b", r.alias("r")).where("r IS NOT NULL").collect()}
+    assert len({m for _, _, m, _ in want}) >= 4
+    got = {(x["a"], x["b"], x["method"], round(x["confidence"], 9)) for x in R.repost_pairs(items).collect()}
+    assert got == want
+    rows_ = items.withColumn("brief", R._brief())
+    found = {frequent: {tuple(x) for x in R.candidate_pairs(rows_, frequent=frequent).collect()} for frequent in (1, 100)}
+    assert found[1] == found[100] and {x[:2] for x in found[1]} >= {x[:2] for x in want}
+    apart = spark.createDataFrame([(1000 + i, "", "", f"z{i}", " ".join([f"v{k}" for k in range(40)] + [f"o{i}x{k}" for k in range(20)]), None) for i in range(30)], items.drop("tokens").schema)
+    rows_ = apart.withColumn("tokens", text.tokens(F.col("norm"))).withColumn("identifiers", F.array().cast("array<string>")).withColumn("brief", R._brief())
+    sketches = {x["id"]: x["sketch"] for x in R._sketches(rows_).collect()}
+    assert sum(abs(p - q) for p, q in zip(sketches[1000], sketches[1001])) <= 40 and sum(sketches[1000]) == 60
+
+
+def test_only_sizes_of_arrays_are_kept_between_steps(spark, monkeypatch):
+    kept, cut = [], R._cut
+    monkeypatch.setattr(R, "_cut", lambda df: kept.append(df.schema.simpleString()) or cut(df))
+    items = spark.createDataFrame([(i, f"h{i}", "", "ann", f"villa number {i % 2} near the river with a garden", None) for i in range(4)], "id long, content_hash string, url string, author string, norm string, identifiers array<string>").withColumn("tokens", text.tokens(F.col("norm")))
+    assert R.repost_pairs(items).count() == 2
+    assert len(kept) == 4 and not any("norm" in x or "grams_a" in x for x in kept)  # texts and trigrams of both sides were stored before
