@@ -23,15 +23,45 @@ from fieldmill.operators.shaping import star_pairs
 STATES = "MFU"
 
 
-def _resolved(nodes: DataFrame, most_jumps: int = 60) -> DataFrame:
+#: Nodes of a range whose pointers are followed in one task, about.
+RANGE_NODES = 200_000
+
+
+def _followed(nodes: DataFrame, order: list[Column]) -> DataFrame:
+    """node, up, f of _resolved()'s nodes, pointers followed as far as they stay in a range of the order: a task takes its rows in order, so what a node points at came before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, tuple[str | None, str]] = {}
+        for b in batches:
+            names, ups, fs = (b[c].to_pylist() for c in ("node", "up", "f"))
+            for i, (node, up, f) in enumerate(zip(names, ups, fs)):
+                if up is not None and (above := seen.get(up)) is not None:
+                    up, f = above[0], "".join([f[STATES.index(x)] for x in above[1]])
+                    ups[i], fs[i] = up, f
+                seen[node] = up, f
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(ups, pa.string()), pa.array(fs, pa.string())], names=["node", "up", "f"])
+
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // RANGE_NODES)
+    rows = nodes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return rows.select("node", "up", "f").mapInArrow(run, "node string, up string, f string")
+
+
+def _resolved(nodes: DataFrame, order: list[Column], most_jumps: int = 60) -> DataFrame:
     """node, state from node, up (null at a root), f: the states that M, F and U of `up` give the node, as three letters. A root's f is its state thrice.
 
-    Each jump composes a node's f with that of the node it points at and moves the pointer on, so a path of n nodes takes log2(n) jumps.
+    A node comes after the one it points at in the order. Pointers are first followed within ranges of it, so what is left
+    of a path has a node for each range at most; then only the nodes that some other range points at jump: each jump
+    composes a node's f with that of the node it points at and moves the pointer on, so n ranges take log2(n) jumps.
     """
-    cur = _cut(nodes.select("node", "up", "f"))
+    all_ = _cut(_followed(_cut(nodes), order))
+    ended = all_.where("up IS NULL").select("node", F.substring("f", 1, 1).alias("state"))
+    open_ = all_.where("up IS NOT NULL")
+    cur = _cut(all_.join(open_.select(F.col("up").alias("node")).distinct().hint("merge"), "node", "left_semi"))
     for _ in range(most_jumps):
         if cur.where("up IS NOT NULL").isEmpty():
-            return cur.select("node", F.substring("f", 1, 1).alias("state"))
+            above = cur.select(F.col("node").alias("_n"), F.col("f").alias("_f"))
+            late = open_.join(above.hint("merge"), F.col("up") == F.col("_n")).select("node", F.substring(_translate(F.col("_f"), F.col("f")), 1, 1).alias("state"))
+            return ended.unionByName(late)
         above = cur.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("f").alias("_f"))
         j = cur.join(above.hint("merge"), F.col("up") == F.col("_n"), "left")
         cur = _cut(j.select("node", F.col("_up").alias("up"), F.when(F.col("up").isNull(), F.col("f")).otherwise(_translate(F.col("_f"), F.col("f"))).alias("f")))
@@ -50,7 +80,7 @@ def greedy_pairs(pairs: DataFrame, least: float = 0.55, most_rounds: int = 50) -
     Every item points at its best pair's other side; pointers rise in score and end in two items that point at each
     other, which are matched. An item that its choice leaves takes its next best pair if that item points at it, else it
     waits for the next round. So along a path of pointers items are matched and left by turns, and one round decides all
-    trees of pointers by jumping: a chain of any length ends in a round or two, not in one for each pair. Pairs of a null
+    trees of pointers by following them: a chain of any length ends in a round or two, not in one for each pair. Pairs of a null
     item or score, and those under `least`, are left out; of repeated pairs the best score counts.
 
     All joins are by sorting: sizes guessed from a compressed file are far under those of its rows as pairs and nodes, and
@@ -63,7 +93,7 @@ def greedy_pairs(pairs: DataFrame, least: float = 0.55, most_rounds: int = 50) -
         if cur.isEmpty():
             return out.select(*cols)
         # Both sides' view of each pair; an item's two best are kept by a limit within groups.
-        one = cur.select(F.struct(F.lit(0).alias("side"), F.col("a").cast("string").alias("id")).alias("node"), F.struct(F.lit(1).alias("side"), F.col("b").cast("string").alias("id")).alias("other"), *cols)
+        one = cur.select(F.concat(F.lit("a"), F.col("a").cast("string")).alias("node"), F.concat(F.lit("b"), F.col("b").cast("string")).alias("other"), *cols)
         both = one.unionAll(one.select(F.col("other").alias("node"), F.col("node").alias("other"), *cols))
         w = Window.partitionBy("node").orderBy(F.desc("score"), "a", "b")
         ranked = both.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
@@ -79,8 +109,8 @@ def greedy_pairs(pairs: DataFrame, least: float = 0.55, most_rounds: int = 50) -
         root = F.col("_gup") == F.col("node")
         chosen = F.coalesce(F.col("_second") == F.col("node"), F.lit(False))
         f = F.when(root, "MMM").when(~F.col("_safe"), "FUU").when(chosen, "FMU").otherwise("FFU")
-        nodes = k.select("node", F.when(~root, F.col("up")).alias("up"), f.alias("f"))
-        state = _resolved(nodes)
+        nodes = k.select("node", F.when(~root, F.col("up")).alias("up"), f.alias("f"), *cols)
+        state = _resolved(nodes, [F.desc("score"), F.asc("a"), F.asc("b")])
         matched = state.where("state = 'M'").join(first.hint("merge"), "node").select(*cols).distinct()
         matched = _cut(matched)
         out = out.unionByName(matched)

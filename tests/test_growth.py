@@ -148,3 +148,14 @@ def test_a_checkpoint_leaves_no_shuffle_files(spark):
 def test_searches_of_a_page_are_dealt_over_all_cores(spark):
     plan_ = entry.queries()["saved_search_page"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert any("hashpartitioning(filter_id" in x and "REPARTITION_BY_NUM" in x for x in plan_.splitlines())
+
+
+def test_a_chains_pointers_are_followed_within_ranges_of_its_scores(spark, monkeypatch):
+    cuts, cut = [], pairing._cut
+    monkeypatch.setattr(pairing, "_cut", lambda df: cuts.append(1) or cut(df))
+    n = 3000
+    links = [((i, i + 1) if i % 2 else (i + 1, i)) + (float(i),) for i in range(1, n)]
+    chain = spark.createDataFrame(links, "a long, b long, score double")
+    got = sorted(map(tuple, pairing.greedy_pairs(chain, 1.0).collect()))
+    assert got == sorted(x for x in links if (n - 1 - x[2]) % 2 == 0)
+    assert len(cuts) <= 15  # a path of n nodes took log2(n) checkpoints of all nodes before
