@@ -45,8 +45,19 @@ def encoder(text: str) -> tuple:
 
         model, shown = t.model, byte_characters()
 
+        def as_shown(word: str) -> str:
+            """Of visible ASCII and blanks only the blank is shown as another character."""
+            if word.isascii() and word.isprintable():
+                return word.replace(" ", shown[32])
+            return word.encode().decode("latin-1").translate(shown)
+
         def many(words: list[str]) -> list[bytes]:
-            return [np.array([x.id for x in model.tokenize(w.encode().decode("latin-1").translate(shown))], "<u4").tobytes() for w in words]
+            ids, ends = [], [0]
+            for w in words:
+                ids += [x.id for x in model.tokenize(as_shown(w))]
+                ends.append(len(ids))
+            data = np.array(ids, "<u4").tobytes()
+            return [data[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
 
         _ENCODERS[key] = t, tokens.Memo(many)
     return _ENCODERS[key]

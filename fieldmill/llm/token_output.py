@@ -22,6 +22,8 @@ LENGTH, WIDTH, SHARD_ROWS = 1024, 2, 2048
 KEY = b"training order"
 #: Bytes of payload that a task of the ordered write holds, about.
 PART_BYTES = 256 << 20
+#: Texts of an Arrow batch at most; what a worker does for each distinct pre-token of a batch is done less often in larger ones.
+SPLIT_ROWS = 2 * common.ARROW_ROWS
 
 
 class Feistel:
@@ -71,7 +73,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     import public_tokenizers
 
     spark = docs.sparkSession
-    common.arrow_batches(spark)
+    common.arrow_batches(spark, SPLIT_ROWS)
     file = packing.tokenizer_file(spark, tokenizer_path)
     rows = tokens.with_pretokens(docs, common.text_of(text_col), public_tokenizers.PATTERN, [F.col(id_col).cast("long")], special="<|endoftext|>")
     kind = {2: "<u2", 4: "<u4"}[width]

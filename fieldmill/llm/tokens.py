@@ -70,7 +70,9 @@ def batch_ids(words: pa.ListArray, odd: pa.Array, memo: Memo, odd_words: Callabl
     inverse = coded.indices.to_numpy(zero_copy_only=False)
     distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     parts = memo.of(distinct)
-    rare = np.fromiter((not w.isascii() and RARE.search(w) is not None for w in distinct), bool, len(distinct))
+    rare = np.zeros(len(distinct), bool)
+    for i in np.flatnonzero(~pa.compute.string_is_ascii(coded.dictionary).to_numpy(zero_copy_only=False)).tolist():
+        rare[i] = RARE.search(distinct[i]) is not None
     rare = np.concatenate([np.zeros(1, np.int64), np.cumsum(rare[inverse]) if len(distinct) else np.zeros(0, np.int64)])
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
     starts = np.cumsum(lengths) - lengths

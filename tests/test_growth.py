@@ -159,3 +159,19 @@ def test_a_chains_pointers_are_followed_within_ranges_of_its_scores(spark, monke
     got = sorted(map(tuple, pairing.greedy_pairs(chain, 1.0).collect()))
     assert got == sorted(x for x in links if (n - 1 - x[2]) % 2 == 0)
     assert len(cuts) <= 15  # a path of n nodes took log2(n) checkpoints of all nodes before
+
+
+def test_token_output_splits_in_larger_batches_and_words_are_shown_as_the_model_has_them(spark, tmp_path):
+    import public_tokenizers
+    from fieldmill.llm import packing, token_output
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    words = ["plain", " word", "  ", "\t", "a\x7fb", "\x00", "größe", " 漢字", "!?", " 12", "x" * 40]
+    whole = Tokenizer.from_str(text)
+    assert [list(memoryview(x).cast("I")) for x in packing.encoder(text)[1].many(words)] == [whole.encode(w, add_special_tokens=False).ids for w in words]
+    docs = spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string")
+    assert token_output.tokenised(docs, path).count() == 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1600  # 800 before
