@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from fieldmill.operators.components import _cut, connected_components, shared_folder
-from fieldmill.operators.shaping import star_pairs
+from fieldmill.operators.components import _cut, near_components, shared_folder
+from fieldmill.operators.shaping import star_links
 
 # One-to-one matching.
 
@@ -217,6 +217,9 @@ def first_of_ranges(points: DataFrame, point: str, ranges: DataFrame, keys: list
 
 # Clusters mended where signals changed.
 
+#: Files of a bucket, at most; each is written by one task.
+SHARES = 4
+
 
 class SignalIndex:
     """Signals (id, signal) in two tables in the shared folder, by bucket of the signal and by bucket of the identifier, so that a look-up reads the buckets it asks for."""
@@ -227,13 +230,20 @@ class SignalIndex:
         #: Buckets of each look-up so far, by table.
         self.read: list[tuple[str, int]] = []
         if signals is not None:
-            rows = signals.select("id", "signal").where("id IS NOT NULL AND signal IS NOT NULL").distinct()
+            rows = signals.select("id", "signal").where("id IS NOT NULL AND signal IS NOT NULL")
             for by in ("id", "signal"):
-                rows.withColumn("bucket", self._bucket(by)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{by}")
+                # Equal rows lie in the same share, so that telling them apart takes no shuffle of its own.
+                dealt = rows.withColumn("bucket", self._bucket(by)).withColumn("_share", F.pmod(F.hash("id"), F.lit(SHARES))).repartition("bucket", "_share")
+                dealt.distinct().drop("_share").write.partitionBy("bucket").parquet(f"{self.path}/{by}")
+                rows = self.rows()
 
     def _bucket(self, by: str) -> Column:
         return F.pmod(F.xxhash64(by), F.lit(self.buckets)).cast("int")
 
+    def rows(self) -> DataFrame:
+        """All signals, each row once."""
+        return self.spark.read.parquet(f"{self.path}/id").select("id", "signal")
+
     def find(self, by: str, wanted: DataFrame) -> DataFrame:
         """The signals whose `by` is wanted; the number of buckets bounds what the driver gets."""
         hit = sorted(r["b"] for r in wanted.select(self._bucket(by).alias("b")).distinct().collect())
@@ -244,27 +254,36 @@ class SignalIndex:
 
 def frontier(index: SignalIndex, changed: DataFrame, old: DataFrame, most_rounds: int = 100) -> DataFrame:
     """id of all items that a chain of shared signals or of old clusters (id, cluster) links to a changed one, the changed ones included. Each round looks up the signals of what the round before added."""
+    return _linked(index, changed, old, most_rounds)[0]
+
+
+def _linked(index: SignalIndex, changed: DataFrame, old: DataFrame, most_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The items of frontier() and their signals. A round takes the old clusters of what it reaches at once, so where only changed items' signals differ from those of the old clusters the second round finds nothing."""
     known = old.select("id", "cluster")
     new = _cut(changed.select("id").where("id IS NOT NULL").distinct())
-    seen, signals = new, None
+    seen, signals, alone = new, None, new
     for _ in range(most_rounds):
+        found = _cut(index.find("id", new))
+        fresh = found.select("signal").distinct()
+        fresh = _cut(fresh if signals is None else fresh.join(signals.select("signal"), "signal", "left_anti"))
+        signals = found if signals is None else signals.unionByName(found)
+        reached = _cut(index.find("signal", fresh).select("id").distinct().join(seen, "id", "left_anti"))
+        alone = reached if alone is None else alone.unionByName(reached)
+        if alone.isEmpty():
+            return seen, signals
+        clusters = known.join(alone, "id", "left_semi").select("cluster").distinct()
+        new = _cut(known.join(clusters, "cluster", "left_semi").select("id").unionByName(reached).distinct().join(seen, "id", "left_anti"))
+        seen, alone = seen.unionByName(new), None
         if new.isEmpty():
-            return seen
-        found = index.find("id", new).select("signal").distinct()
-        fresh = _cut(found if signals is None else found.join(signals, "signal", "left_anti"))
-        signals = fresh if signals is None else signals.unionByName(fresh)
-        mates = known.join(known.join(new, "id", "left_semi").select("cluster").distinct(), "cluster", "left_semi").select("id")
-        reached = index.find("signal", fresh).select("id").unionByName(mates).distinct()
-        new = _cut(reached.join(seen, "id", "left_anti"))
-        seen = seen.unionByName(new)
+            return seen, signals
     raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
 def mended_clusters(index: SignalIndex, changed: DataFrame, old: DataFrame) -> DataFrame:
     """id, cluster after a change of some items' signals: only items linked to a changed one are clustered again, under their least identifier; others keep theirs. The index has the new signals, old the former clusters."""
-    inside = _cut(frontier(index, changed, old))
-    edges = star_pairs(index.find("id", inside))
-    of = connected_components(edges, "a", "b")
+    inside, signals = _linked(index, changed, old)
+    edges = star_links(signals).join(old.select(F.col("id").alias("b"), "cluster"), "b", "left").select("a", "b", F.coalesce("cluster", "b").alias("near"))
+    of = near_components(edges, "a", "b", "near")
     again = inside.join(of, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
     return old.select("id", "cluster").join(inside, "id", "left_anti").unionByName(again)
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fieldmill.operators.components import _cut, connected_components
+from fieldmill.operators.components import _cut, near_components
 from fieldmill.operators.pairing import SignalIndex, delete_closure, first_of_ranges, greedy_pairs, interval_join, mended_clusters
-from fieldmill.operators.shaping import spread, star_pairs
+from fieldmill.operators.shaping import spread, star_links
 from fieldmill.plans.catalogue import query
 from fieldmill.sources.readers import table
 
@@ -84,12 +84,13 @@ r AS (SELECT id, id AS reached FROM s UNION SELECT r.id, u.b FROM r JOIN u ON u.
 SELECT id, min(least) AS cluster FROM (SELECT r.id, r.reached AS least FROM r) GROUP BY id""")
 def mended_event_clusters(spark, d):
     """Clusters of the first 98 hundredths of events, mended when the others come; the same as clustering all of them at once."""
-    signals = _signals(spark, d)
+    index = SignalIndex(spark, _signals(spark, d))
+    signals = index.rows()
     cut = (signals.agg(F.max("id")).first()[0] or 0) * 98 // 100
     before = signals.where(F.col("id") <= cut)
-    of = connected_components(star_pairs(before), "a", "b")
+    of = near_components(star_links(before).withColumn("user", F.split_part("signal", F.lit("|"), F.lit(2))), "a", "b", "user")
     old = _cut(before.select("id").distinct().join(of, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster")))
-    return mended_clusters(SignalIndex(spark, signals), signals.where(F.col("id") > cut).select("id").distinct(), old)
+    return mended_clusters(index, signals.where(F.col("id") > cut).select("id").distinct(), old)
 
 
 REFERENCES = [

@@ -175,3 +175,64 @@ def test_token_output_splits_in_larger_batches_and_words_are_shown_as_the_model_
     docs = spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string")
     assert token_output.tokenised(docs, path).count() == 2
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1600  # 800 before
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_components_equal_those_of_the_rounds_whatever_is_near(spark, monkeypatch, kind):
+    import random
+
+    from fieldmill.operators import components
+
+    rng, n = random.Random(7), 400
+    ids = list(range(n)) if kind == "long" else [f"é{i}" if i % 3 else f"z{i}" for i in range(n)]
+    pick = lambda i: ids[min(n - 1, i // 20 * 20 + rng.randrange(21))]
+    rows = [(ids[i], pick(i), rng.choice([None, "hot", str(i // 20)])) for i in range(n) for _ in range(rng.randrange(3))] + [(ids[5], ids[5], "x"), (None, ids[6], "x"), (ids[7], None, None)]
+    edges = spark.createDataFrame(rows, f"a {kind}, b {kind}, near string").repartition(5)
+    want = sorted(map(tuple, components.connected_components(edges, "a", "b").collect()))
+    for most in (3, 100_000):
+        monkeypatch.setattr(components, "UNITED_EDGES", most)
+        assert sorted(map(tuple, components.near_components(edges, "a", "b", "near").collect())) == want
+    assert components.near_components(edges.limit(0), "a", "b", "near").count() == 0
+
+
+def test_components_of_equal_near_take_no_rounds_and_edges_are_worked_out_once(spark, monkeypatch):
+    from fieldmill.operators import components
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    edges = spark.range(3000).selectExpr("id AS a", "id + if(id % 10 < 9, 1, 0) AS b", "id div 10 AS near").mapInPandas(counted, "a long, b long, near long")
+    of = components.connected_components(edges, "a", "b")
+    want = {i: i // 10 * 10 for i in range(3000)}
+    assert dict(map(tuple, of.collect())) == want and seen.value == 3000  # twice before: for the nodes again
+    monkeypatch.setattr(components, "connected_components", None)
+    assert dict(map(tuple, components.near_components(edges, "a", "b", "near").collect())) == want and seen.value == 6000
+
+
+def test_event_clusters_are_mended_in_few_checkpoints(spark, monkeypatch):
+    from fieldmill.operators import components
+    from fieldmill.plans import pairing as plans
+
+    cuts, cut = [], components._cut
+    for module in (components, pairing, plans):
+        monkeypatch.setattr(module, "_cut", lambda df: cuts.append(1) or cut(df))
+    out = entry.queries()["mended_event_clusters"](spark, DIR)
+    assert out.count() == 10_000 and len(cuts) <= 16  # 21 before
+
+
+def test_a_mended_cluster_takes_two_rounds_of_look_ups(spark, tmp_path):
+    # A new item joins two old clusters, both chains: their far ends are reached with the first round.
+    chain = lambda k, n: [(k + i, f"s{k + i + j}") for i in range(n) for j in (0, 1)]
+    signals = [*chain(0, 6), *chain(100, 6), *chain(200, 6), (500, "s1"), (500, "s105"), (500, "s105"), (501, None), (None, "s3")]
+    index = pairing.SignalIndex(spark, spark.createDataFrame(signals, "id long, signal string"))
+    assert index.rows().count() == 3 * 12 + 2
+    old = spark.createDataFrame([(k + i, k) for k in (0, 100, 200) for i in range(6)], "id long, cluster long")
+    got = {r["id"]: r["cluster"] for r in pairing.mended_clusters(index, spark.createDataFrame([(500,)], "id long"), old).collect()}
+    assert got == {k + i: {100: 0}.get(k, k) for k in (0, 100, 200) for i in range(6)} | {500: 0}
+    assert len(index.read) == 4  # seven before
+    # Without old clusters, chains of signals are followed all the same.
+    assert {r["id"] for r in pairing.frontier(index, spark.createDataFrame([(0,)], "id long"), old.limit(0)).collect()} == {*range(6), 500, *range(100, 106)}
