@@ -133,11 +133,14 @@ def _counters(shards: list[int], part: int, counts: list[np.ndarray]) -> list[pa
 def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass over the texts, as a table. For each row with an identifier and a word: node; fps, VIEWS independent fingerprints
     of its set of lower-cased words; size, the number of its shingles; p0, p1, ..., the parities of the numbers of shingles by
-    PARITY_BITS values of a hash. And for each task shard, part, counts: its counters of all shingles by the leading bits of their hashes."""
+    PARITY_BITS values of a hash; map, the same by as many values as it has shingles (the next power of two), where these are more. And for each task shard, part, counts: its counters of all shingles by the leading bits of their hashes."""
     common.arrow_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), common.text_of(text_col).cast("binary").alias("_t"))
     words = PARITY_BITS // 64
-    names = ["node", "fps", "size", *(f"p{i}" for i in range(words)), "shard", "part", "counts"]
+    names = ["node", "fps", "size", *(f"p{i}" for i in range(words)), "map", "shard", "part", "counts"]
+
+    def parities(h: np.ndarray, bits: int) -> np.ndarray:
+        return np.bincount(((h * _MIX[0]) >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
 
     def views(h: np.ndarray) -> list[int]:
         out = []
@@ -152,21 +155,22 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
         for b in batches:
             texts = [(i, w) for i, t in zip(b["node"].to_pylist(), b["_t"].to_pylist()) if (w := t.lower().split())]
-            odd, sizes = np.zeros((len(texts), PARITY_BITS), np.uint8), []
+            odd, sizes, maps = np.zeros((len(texts), PARITY_BITS), np.uint8), [], []
             for k, (_, w) in enumerate(texts):
                 h = _shingles(w)
                 np.add.at(total, (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
-                odd[k] = np.bincount(((h * _MIX[0]) >> np.uint64(65 - PARITY_BITS.bit_length())).astype(np.int64), minlength=PARITY_BITS) & 1
+                odd[k] = parities(h, PARITY_BITS)
                 sizes.append(len(h))
+                maps.append(np.packbits(parities(h, 1 << (len(h) - 1).bit_length()).astype(np.uint8)).tobytes() if len(h) > PARITY_BITS else None)
             bits = np.packbits(odd, axis=1).view("<i8")
             fps = pa.array([views(_hashes(w)) for _, w in texts], pa.list_(pa.int64()))
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts], pa.int64()), fps, pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(words)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts], pa.int64()), fps, pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(words)), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         n = COUNTER_SHARDS
-        none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * words]
+        none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * words, pa.nulls(n, pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, *_counters(list(range(n)), TaskContext.get().partitionId(), np.split(total, n))], names=names)
 
-    schema = "node long, fps array<long>, size int, " + ", ".join(f"p{i} long" for i in range(words)) + ", " + _COUNTS
+    schema = "node long, fps array<long>, size int, " + ", ".join(f"p{i} long" for i in range(words)) + ", map binary, " + _COUNTS
     return common.written(rows.mapInArrow(run, schema), "profiles")
 
 
@@ -233,7 +237,8 @@ def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (src, dst) that can be similar by the sizes and parities of profiles()."""
     parity = [c for c in known.columns if c.startswith("p")]
     both = pairs.join(known.alias("a"), F.col("src") == F.col("a.node")).join(known.alias("b"), F.col("dst") == F.col("b.node"))
-    return both.where(_able(F.col("a.size") + F.col("b.size"), _unlike(parity))).select("src", "dst").distinct()
+    unlike = F.greatest(_unlike(parity), F.abs(F.col("a.size") - F.col("b.size")))  # a set's shingles beyond the other's number are its own
+    return both.where(_able(F.col("a.size") + F.col("b.size"), unlike)).select("src", "dst").distinct()
 
 
 def prefix_matches(entries: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
@@ -248,9 +253,31 @@ def prefix_matches(entries: DataFrame, labels: DataFrame, known: DataFrame) -> D
     return a.join(b, on).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (src, dst) whose texts share at least SIMILARITY of their sets of SIMILAR_WORDS-word shingles."""
-    pairs = common.cut(pairs)
+def alike(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (src, dst) that can be similar by the maps of profiles(), if both have one. They tell what PARITY_BITS parities
+    don't of long texts, whose sets take 32 to 64 times the maps' bytes. maps: node, size, map."""
+    both = pairs.join(maps.alias("a"), F.col("src") == F.col("a.node")).join(maps.alias("b"), F.col("dst") == F.col("b.node"))
+
+    def able(size: int, x: bytes | None, y: bytes | None) -> bool:
+        if x is None or y is None:
+            return True
+        x, y = sorted((np.unpackbits(np.frombuffer(m, np.uint8)) for m in (x, y)), key=len)
+        unlike = int((x ^ np.bitwise_xor.reduce(y.reshape(len(x), -1), axis=1)).sum())
+        return (size - unlike) * (1 + SIMILARITY) >= 2 * SIMILARITY * size - EPS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = pa.array(map(able, *(b[c].to_pylist() for c in ("size", "x", "y"))), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["src"].filter(mask), b["dst"].filter(mask)], names=["src", "dst"])
+
+    rows = both.select("src", "dst", (F.col("a.size") + F.col("b.size")).alias("size"), F.col("a.map").alias("x"), F.col("b.map").alias("y"))
+    return rows.mapInArrow(run, "src long, dst long").distinct()
+
+
+def verified(pairs: DataFrame, maps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (src, dst) whose texts share at least SIMILARITY of their sets of SIMILAR_WORDS-word shingles. Sets are
+    read of pairs only that alike() leaves, as a set goes along with each pair of its text."""
+    pairs = common.cut(alike(pairs, maps))
     nodes = common.cut(pairs.select(F.explode(F.array("src", "dst")).alias("_w")).distinct())
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), common.text_of(text_col).cast("binary").alias("_t"))
     rows = rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, F.col("_id") == F.col("_w"), "left_semi")
@@ -296,17 +323,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words take no part; of rows that share an identifier, all stand for it.
     """
     found = profiles(docs, id_col, text_col)
-    known = found.where("node IS NOT NULL").drop("fps", "shard", "part", "counts")
+    rows = found.where("node IS NOT NULL")
+    known, maps = rows.drop("fps", "map", "shard", "part", "counts"), rows.select("node", "size", "map")
     entries = prefixes(docs, shingle_counts(found.where("node IS NULL").select("shard", "part", "counts")), id_col, text_col)
     beside = entries.where("before <> node").select(F.greatest("before", "node").alias("src"), F.least("before", "node").alias("dst"))
-    views = found.where("node IS NOT NULL").select("node", F.posexplode("fps").alias("f", "fp"))
+    views = rows.select("node", F.posexplode("fps").alias("f", "fp"))
     first = fingerprint_pairs(docs, id_col, text_col).unionByName(neighbours(views)).unionByName(beside).distinct()
-    near = verified(possible(first, known), docs, id_col, text_col)
-    far = verified(prefix_matches(entries, connected_components(near, rounds=LABEL_ROUNDS), known), docs, id_col, text_col)
+    near = verified(possible(first, known), maps, docs, id_col, text_col)
+    far = verified(prefix_matches(entries, connected_components(near, rounds=LABEL_ROUNDS), known), maps, docs, id_col, text_col)
     return connected_components(near.unionByName(far))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each group of similar documents the one with the least identifier."""
-    drop = similar_documents(docs, id_col, text_col).where("component < node").select(F.col("node").alias("_drop"))
-    return docs.join(drop, docs[id_col].cast("long") == drop["_drop"], "left_anti")
+    drop = common.cut(similar_documents(docs, id_col, text_col).where("component < node").select(F.col("node").alias("_drop")))
+    return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, docs[id_col].cast("long") == drop["_drop"], "left_anti")

@@ -173,6 +173,43 @@ def test_similar_documents_finds_cut_inserted_and_appended_copies(spark):
     assert {r["node"]: r["component"] for r in got.collect()} == want
 
 
+def candidates(spark, texts):
+    """All pairs of the texts, and those that are left before sets of shingles are read."""
+    found = simhash.profiles(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text").where("node IS NOT NULL")
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a > b], "src long, dst long")
+    left = simhash.alike(simhash.possible(pairs, found.drop("fps", "map", "shard", "part", "counts")), found.select("node", "size", "map"))
+    return {(r["src"], r["dst"]) for r in left.collect()}
+
+
+def test_sets_are_read_of_pairs_only_that_can_be_similar(spark):
+    w = [f"w{i}" for i in range(3000)]
+    texts = {1: w, 2: [*w[:1500], "other", *w[1501:]], 3: [f"o{i}" for i in range(3000)], 4: w[:600], 5: w[:60], 6: [*w[:1500], *(f"n{i}" for i in range(1500))]}
+    assert candidates(spark, {i: " ".join(x) for i, x in texts.items()}) == {(2, 1)}
+
+
+def test_parities_of_long_texts_lose_no_similar_pair(spark):
+    texts = {}
+    for n in (512, 513, 640, 641, 1024, 1025, 1280, 1281, 2561):
+        w = [f"w{n}x{i}" for i in range(n + 4)]
+        least = -(-4 * n // 5)
+        for copy in (w, w[: least + 4], w[: least + 3], [*w[: n // 2], *(f"in{n}x{i}" for i in range(n // 5)), *w[n // 2 :]], w[n // 12 :]):
+            texts[len(texts)] = copy
+    grams = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in texts.items()}
+    want = {(a, b) for a in texts for b in texts if a > b and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])}
+    assert {(a % 5, b % 5) for a, b in want} >= {(1, 0), (4, 0), (2, 1)} and (2, 0) not in {(a % 5, b % 5) for a, b in want}
+    assert want <= candidates(spark, {i: " ".join(w) for i, w in texts.items()})
+
+
+@pytest.mark.parametrize("most", [-1, simhash.BROADCAST_ROWS])
+def test_near_copies_go_whether_identifiers_are_broadcast_or_not(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+    w = " ".join(f"w{i}" for i in range(100))
+    rows = spark.createDataFrame([(1, w), (2, w + " end"), (2, w + " end"), (3, "else"), (None, w)], "doc_id long, text string")
+    out = simhash.keep_one(rows)
+    assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 3]
+    assert ("strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()) == (most > 0)
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 20))
